@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cliptide.functions.arrays import let
+
 #: Norms at or below this value leave a vector unchanged.
 NORM_FLOOR = 1e-12
 #: Scores are rounded to this many digits before a comparison decides a rank.
@@ -26,18 +28,29 @@ def norm(vector: Column) -> Column:
 
 
 def normalize(vector: Column) -> Column:
-    """L2-normalise; a (near) zero vector is returned as it is."""
-    length = norm(vector)
-    return F.when(length <= NORM_FLOOR, as_doubles(vector)).otherwise(
-        F.transform(as_doubles(vector), lambda x: x / length)
+    """L2-normalise; a (near) zero vector is returned as it is.
+
+    Vector and length are bound once: a lambda body is evaluated per element, and an inlined
+    norm would make this quadratic.
+    """
+    return let(
+        as_doubles(vector),
+        lambda v: let(
+            norm(v),
+            lambda n: F.when(n <= NORM_FLOOR, v).otherwise(F.transform(v, lambda x: x / n)),
+        ),
     )
 
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity; zero when a side is empty, null or has no length."""
-    scale = norm(left) * norm(right)
-    usable = (F.size(left) > 0) & (norm(left) > NORM_FLOOR) & (norm(right) > NORM_FLOOR)
-    return F.coalesce(F.when(usable, dot(left, right) / scale), F.lit(0.0))
+    lengths = F.struct(norm(left).alias("l"), norm(right).alias("r"))
+
+    def ratio(n: Column) -> Column:
+        usable = (F.size(left) > 0) & (n["l"] > NORM_FLOOR) & (n["r"] > NORM_FLOOR)
+        return F.coalesce(F.when(usable, dot(left, right) / (n["l"] * n["r"])), F.lit(0.0))
+
+    return let(lengths, ratio)
 
 
 def confidence(similarity: Column) -> Column:
@@ -46,15 +59,14 @@ def confidence(similarity: Column) -> Column:
 
 
 def mean_pool(vectors: Column) -> Column:
-    """Mean of a list of vectors, normalised; null for an empty list."""
+    """Mean direction of a list of vectors (the scale drops out); null for an empty list."""
     first = F.element_at(vectors, 1)
     total = F.aggregate(
         vectors,
         F.transform(as_doubles(first), lambda x: F.lit(0.0)),
         lambda acc, v: F.zip_with(acc, as_doubles(v), lambda x, y: x + y),
     )
-    mean = F.transform(total, lambda x: x / F.size(vectors))
-    return F.when(F.size(vectors) > 0, normalize(mean))
+    return F.when(F.size(vectors) > 0, normalize(total))
 
 
 def minmax(value: Column, low: Column, high: Column, degenerate: float = 0.0) -> Column:

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cliptide.functions.vectors import SCORE_DIGITS
 
@@ -96,6 +98,9 @@ def greedy_prefix(
     types = dict(pool.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in key), _TRACE, *(f"{c} {types[c]}" for c in carry)])
 
+    # the declared schema has nullable fields throughout, whatever the pool's flags
+    carried = {c: to_arrow_type(T.StructType.fromDDL(f"c {types[c]}")["c"].dataType) for c in carry}
+
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         rows = table.num_rows
@@ -112,7 +117,7 @@ def greedy_prefix(
         out["redundancy"] = pa.array([step[1] for step in path], pa.float64())
         out["marginal"] = pa.array([step[2] for step in path], pa.float64())
         for c in carry:
-            out[c] = table[c].take(order)
+            out[c] = table[c].take(order).cast(carried[c])
         return pa.table(out)
 
     slim = pool.select(*key, "pos", "clip_id", "relevance", "vector", *carry)
