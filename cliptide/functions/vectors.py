@@ -44,13 +44,15 @@ def normalize(vector: Column) -> Column:
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity; zero when a side is empty, null or has no length."""
-    lengths = F.struct(norm(left).alias("l"), norm(right).alias("r"))
+    def ratio(p: Column) -> Column:
+        def divide(n: Column) -> Column:
+            usable = (F.size(p["l"]) > 0) & (n["l"] > NORM_FLOOR) & (n["r"] > NORM_FLOOR)
+            return F.when(usable, dot(p["l"], p["r"]) / (n["l"] * n["r"]))
 
-    def ratio(n: Column) -> Column:
-        usable = (F.size(left) > 0) & (n["l"] > NORM_FLOOR) & (n["r"] > NORM_FLOOR)
-        return F.coalesce(F.when(usable, dot(left, right) / (n["l"] * n["r"])), F.lit(0.0))
+        return let(F.struct(norm(p["l"]).alias("l"), norm(p["r"]).alias("r")), divide)
 
-    return let(lengths, ratio)
+    sides = F.struct(as_doubles(left).alias("l"), as_doubles(right).alias("r"))
+    return F.coalesce(let(sides, ratio), F.lit(0.0))
 
 
 def confidence(similarity: Column) -> Column:

@@ -114,21 +114,16 @@ def islands(
     chunk: Column,
     limit: Column | int,
     strict: bool = False,
-    same: str | None = None,
 ) -> DataFrame:
     """Number the islands of intervals ordered by start.
 
     A row opens an island when it starts more than ``limit`` after everything before it ended
-    (at least ``limit`` with ``strict``), or when the ``same`` column changes.
+    (at least ``limit`` with ``strict``).
     """
-    specs = {"__reach": Running("max", F.col(end), inclusive=False)}
-    if same:
-        specs["__before"] = Running("last", F.col(same), inclusive=False)
-    seen = running(df, keys, [start, tie], chunk, specs)
+    reach = {"__reach": Running("max", F.col(end), inclusive=False)}
+    seen = running(df, keys, [start, tie], chunk, reach)
     gap = F.col(start) - F.col("__reach")
-    opens = (gap >= limit) if strict else (gap > limit)
-    if same:
-        opens = opens | (F.col("__before") != F.col(same))
-    flagged = seen.withColumn("__opens", F.when(F.col("__reach").isNull() | opens, 1).otherwise(0))
+    opens = F.col("__reach").isNull() | ((gap >= limit) if strict else (gap > limit))
+    flagged = seen.withColumn("__opens", F.when(opens, 1).otherwise(0))
     numbered = running(flagged, keys, [start, tie], chunk, {"island": Running("sum", F.col("__opens"))})
-    return numbered.drop("__reach", "__before", "__opens")
+    return numbered.drop("__reach", "__opens")
