@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliptide.functions import text as X
+from cliptide.functions.arrays import let
 from cliptide.functions.vectors import SCORE_DIGITS
 from cliptide.session import broadcast_when_small
 
@@ -161,3 +163,36 @@ def token_f1(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame
     precision, recall = common / F.size(left), common / F.size(right)
     f1 = F.when(common > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
     return both.withColumn("f1", f1).drop("common")
+
+
+def _pair_f1(left: Column, right: Column) -> Column:
+    """Token F1 of two short token arrays."""
+    common = F.aggregate(
+        F.array_distinct(left),
+        F.lit(0),
+        lambda acc, t: acc
+        + F.least(F.size(F.filter(left, lambda x: x == t)), F.size(F.filter(right, lambda x: x == t))),
+    )
+
+    def score(c: Column) -> Column:
+        precision, recall = c / F.size(left), c / F.size(right)
+        return F.when(c > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+
+    return let(common, score)
+
+
+def list_f1(prediction: Column, gold: Column) -> Column:
+    """Comma-list F1: the best prediction part per gold part, averaged over the gold parts."""
+    def parts(text: Column) -> Column:
+        pieces = F.filter(F.transform(F.split(text, ","), X.squeeze), lambda p: p != "")
+        return F.transform(pieces, X.answer_tokens)
+
+    def score(p: Column) -> Column:
+        best = F.transform(
+            p["gold"], lambda g: F.array_max(F.transform(p["pred"], lambda t: _pair_f1(t, g)))
+        )
+        summed = F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x)
+        empty = (F.size(p["gold"]) == 0) | (F.size(p["pred"]) == 0)
+        return F.when(empty, F.lit(0.0)).otherwise(summed / F.size(p["gold"]))
+
+    return let(F.struct(parts(prediction).alias("pred"), parts(gold).alias("gold")), score)
