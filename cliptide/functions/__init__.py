@@ -1 +1 @@
-
+"""Column expressions: vectors, arrays, text, times and answers."""

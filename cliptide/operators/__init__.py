@@ -1 +1 @@
-
+"""DataFrame operators: scoring, selection, intervals, graphs and evaluation."""

@@ -1 +1 @@
-
+"""End-to-end plans built from the operators."""

@@ -1 +1 @@
-
+"""Structured Streaming operators over ordered clip streams."""
