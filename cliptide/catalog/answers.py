@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.catalog.registry import big, digits, query, table
+from cliptide.catalog.registry import big, digits, query, table, text_table
 from cliptide.catalog.texts import sql_answer_tokens
 from cliptide.functions import answers as R
 from cliptide.functions import text as X
@@ -14,7 +14,7 @@ from cliptide.operators import lexical
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """Every turn as a model response in one of eight answer styles, around its whole text."""
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations")
     letter = F.char(F.lit(65) + (F.col("conv_id") + F.col("turn")) % 4)
     other = F.char(F.lit(65) + (F.col("conv_id") + F.col("turn") * 3 + 1) % 4)
     style = (F.col("conv_id") * 7 + F.col("turn")) % 8
@@ -190,7 +190,7 @@ f AS (SELECT pb.conv_id, pb.turn, pb.j, max(CASE WHEN c > 0 THEN 2 * (c / len(pa
 SELECT {_IDS}, round(avg(f), 6) + 0.0 AS f1 FROM f GROUP BY conv_id, turn""",
 )
 def multi_f1(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    turns = text_table(spark, folder, "conversations").select("conv_id", "turn", "text")
     previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold"))
     rows = turns.join(previous, ["conv_id", "turn"])
     return rows.select(

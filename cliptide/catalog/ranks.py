@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.catalog.registry import big, digits, query, table
+from cliptide.catalog.registry import big, digits, query, table, text_table
 from cliptide.catalog.selection import scored_vectors
 from cliptide.catalog.sqlparts import SCORED, mmr_ctes
 from cliptide.functions import answers as R
@@ -135,7 +135,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, array_t
 array_to_string(list_concat(l[1:2], list_filter([1, 2, 3, 4, 5, 6], lambda q: NOT list_contains(l[1:2], q))[1:greatest(2 - len(l[1:2]), 0)]), ',') AS filled FROM d""",
 )
 def listed_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations")
     text = lambda c: c.cast("string")
     said = (
         F.when(
@@ -176,7 +176,7 @@ def lambda_sweep(spark: SparkSession, folder: str) -> DataFrame:
 def evidence_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Pool per label whose clips carry the text of the document with the same id."""
     pool = scoring.candidate_pool(scored_vectors(spark, folder), ["label"], 200)
-    tokens = table(spark, folder, "documents").select(
+    tokens = text_table(spark, folder, "documents").select(
         F.col("doc_id").alias("vec_id"), coverage.evidence_tokens(F.col("text")).alias("tokens")
     )
     return pool.join(tokens, "vec_id").select(
@@ -223,7 +223,7 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(count(DISTINCT stem) AS BIGINT) AS
 OR stem IN ({', '.join(f"'{w}'" for w in coverage.ACTION_WORDS)})) AS BIGINT) AS actions FROM k GROUP BY doc_id""",
 )
 def evidence_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", coverage.evidence_tokens(F.col("text")).alias("t"))
+    docs = text_table(spark, folder, "documents").select("doc_id", coverage.evidence_tokens(F.col("text")).alias("t"))
     return docs.filter(F.size("t.words") > 0).select(
         big("doc_id"), F.size("t.words").cast("bigint").alias("words"), F.size("t.actions").cast("bigint").alias("actions")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.catalog.registry import big, digits, query, table
+from cliptide.catalog.registry import big, digits, query, table, text_table
 from cliptide.functions import text as X
 from cliptide.functions import vectors as V
 from cliptide.operators import lexical
@@ -35,7 +35,7 @@ def sql_answer_tokens(column: str) -> str:
 
 def turn_questions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Each conversation's last turn is its question, all earlier turns are its memory."""
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations")
     last = turns.groupBy("conv_id").agg(
         F.max("turn").alias("last_turn"), F.max_by("text", "turn").alias("question")
     )
@@ -101,6 +101,7 @@ CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS BIGIN
 def hybrid_rank(spark: SparkSession, folder: str) -> DataFrame:
     docs, questions = turn_questions(spark, folder)
     sparse = lexical.tfidf_scores(docs, questions, ["conv_id"], "turn", "tokens")
+    sparse = docs.select("conv_id", "turn", "text").join(sparse, ["conv_id", "turn"])
     profile = questions.select("conv_id", X.letter_profile(F.col("question")).alias("query_vector"))
     both = sparse.withColumnRenamed("score", "sparse").join(profile, "conv_id")
     dense = both.withColumn(
@@ -126,7 +127,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id
 SELECT CAST(item_id AS BIGINT) AS item_id, CAST(doc_id AS BIGINT) AS doc_id, round(s, 6) + 0.0 AS score, CAST(r AS BIGINT) AS rank FROM rk WHERE r <= 10""",
 )
 def bm25_rank(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", X.answer_tokens(F.col("text")).alias("tokens"))
+    docs = text_table(spark, folder, "documents").select("doc_id", X.answer_tokens(F.col("text")).alias("tokens"))
     items = table(spark, folder, "benchmark").select("item_id", X.answer_tokens(F.col("text")).alias("tokens"))
     best = lexical.bm25_top(docs, items, "doc_id", "item_id", "tokens", 10)
     return best.select(big("item_id"), big("doc_id"), digits("score"), big("rank"))
@@ -144,7 +145,7 @@ SELECT CAST(r.conv_id AS BIGINT) AS conv_id, CAST(r.turn AS BIGINT) AS turn, rou
   2 * (c / len(a)) * (c / len(b)) / (c / len(a) + c / len(b)) END, 6) + 0.0 AS f1 FROM r LEFT JOIN cm ON cm.conv_id = r.conv_id AND cm.turn = r.turn""",
 )
 def token_f1(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    turns = text_table(spark, folder, "conversations").select("conv_id", "turn", "text")
     previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold"))
     pairs = turns.join(previous, ["conv_id", "turn"]).select(
         "conv_id",
@@ -164,7 +165,7 @@ SELECT CASE WHEN w LIKE '%ing' AND len(w) > 6 THEN left(w, len(w) - 3) WHEN w LI
   CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1""",
 )
 def stem_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "documents").select(F.explode(X.words(F.col("text"))).alias("word"))
+    words = text_table(spark, folder, "documents").select(F.explode(X.words(F.col("text"))).alias("word"))
     return words.groupBy(X.stem(F.col("word")).alias("stem")).agg(F.count("*").alias("n"))
 
 
@@ -173,5 +174,5 @@ def stem_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, {sql_normal('text')} AS answer FROM conversations",
 )
 def answer_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations")
     return turns.select(big("conv_id"), big("turn"), X.normalize_answer(F.col("text")).alias("answer"))

@@ -25,24 +25,27 @@ def words(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Words without stop words and single characters."""
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \t\n\r\f\u000b]+", " "))
 
 
+def _without_articles(text: Column) -> Column:
+    """Lower case without punctuation (commas included) and articles; blanks not yet squeezed."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
+    return F.regexp_replace(plain, rf"(?U)\b(?:{'|'.join(ARTICLES)})\b", " ")
+
+
 def normalize_answer(text: Column) -> Column:
     """Answer form for token F1: no commas or punctuation, lower case, no articles."""
-    plain = F.translate(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ",", "")), PUNCTUATION, "")
-    edge = "[\\p{L}\\p{N}_]"
-    return squeeze(F.regexp_replace(plain, f"(?<!{edge})({'|'.join(ARTICLES)})(?!{edge})", " "))
+    return squeeze(_without_articles(text))
 
 
 def answer_tokens(text: Column) -> Column:
     """Tokens of a normalised answer."""
-    return F.regexp_extract_all(normalize_answer(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(_without_articles(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def stem(token: Column) -> Column:

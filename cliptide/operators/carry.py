@@ -4,6 +4,9 @@ A window partitioned by a key alone sorts a hot key in one task. Here a key's ro
 chunks by a deterministic expression of the order column (an hour of time, a block of
 positions, a score band); rows are windowed per (key, chunk), each chunk is summarised with a
 map-side aggregate, and only the chunk summaries are windowed per key.
+
+``chunk_if_hot`` counts rows per key first: if every key fits one task comfortably it returns
+None and plain windows are used, which then share one shuffle and sort.
 """
 
 from __future__ import annotations
@@ -13,8 +16,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliptide.session import cut_lineage
+
 _CHUNK = "__chunk"
 
+#: Keys with more rows than this are windowed in chunks.
+HOT_ROWS = 1_000_000
+
+
+def chunk_if_hot(df: DataFrame, keys: list[str], chunk: Column, hot_rows: int | None = None) -> Column | None:
+    """``chunk`` if some key has more than ``hot_rows`` rows (or there is no key), else None."""
+    if not keys:
+        return chunk
+    most = HOT_ROWS if hot_rows is None else hot_rows
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return None if counts.filter(F.col("n") > most).isEmpty() else chunk
+
 
 @dataclass(frozen=True)
 class Running:
@@ -51,16 +68,27 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
+    chunk: Column | None,
     specs: dict[str, Running],
     descending: bool = False,
 ) -> DataFrame:
     """Add one running column per spec, in ascending (or descending) ``order``.
 
-    ``chunk`` must not decrease along ``order``. The order columns must identify a row of a key.
+    ``chunk`` must not decrease along ``order``; None asks for plain windows per key. The order
+    columns must identify a row of a key.
     """
-    rows = df.withColumn(_CHUNK, chunk)
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(*[direction(c) for c in order])
+        return df.withColumns(
+            {
+                name: _window_value(s.kind, s.value).over(
+                    whole.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
+                )
+                for name, s in specs.items()
+            }
+        )
+    rows = df.withColumn(_CHUNK, chunk)
     within = Window.partitionBy(*keys, _CHUNK).orderBy(*[direction(c) for c in order])
     local = rows
     for name, spec in specs.items():
@@ -100,7 +128,12 @@ def running(
     return joined.drop(_CHUNK, *[f"__{n}" for n in specs])
 
 
-def position(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:
+def settled(df: DataFrame, chunk: Column | None) -> DataFrame:
+    """Between two chunked passes: store the rows, because a chunked pass reads its input twice."""
+    return df if chunk is None else cut_lineage(df)
+
+
+def position(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, name: str) -> DataFrame:
     """1-based row position per key."""
     return running(df, keys, order, chunk, {name: Running("count", F.lit(1))})
 
@@ -111,7 +144,7 @@ def islands(
     start: str,
     end: str,
     tie: str,
-    chunk: Column,
+    chunk: Column | None,
     limit: Column | int,
     strict: bool = False,
 ) -> DataFrame:
@@ -124,6 +157,6 @@ def islands(
     seen = running(df, keys, [start, tie], chunk, reach)
     gap = F.col(start) - F.col("__reach")
     opens = F.col("__reach").isNull() | ((gap >= limit) if strict else (gap > limit))
-    flagged = seen.withColumn("__opens", F.when(opens, 1).otherwise(0))
+    flagged = settled(seen.withColumn("__opens", F.when(opens, 1).otherwise(0)), chunk)
     numbered = running(flagged, keys, [start, tie], chunk, {"island": Running("sum", F.col("__opens"))})
     return numbered.drop("__reach", "__opens")

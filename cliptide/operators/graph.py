@@ -141,7 +141,8 @@ def number_groups(
 ) -> DataFrame:
     """Number groups from zero by their smallest member id."""
     roots = members.select(*graph, F.col(group)).distinct()
-    placed = carry.position(roots, graph, [group], F.floor(F.col(group) / chunk_width), name)
+    chunk = carry.chunk_if_hot(roots, graph, F.floor(F.col(group) / chunk_width))
+    placed = carry.position(roots, graph, [group], chunk, name)
     return members.join(placed.withColumn(name, F.col(name) - 1), [*graph, group])
 
 

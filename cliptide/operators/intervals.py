@@ -79,7 +79,7 @@ def next_at_or_after(
         stacked,
         keys,
         ["__at", "__left"],
-        F.floor(F.col("__at") / chunk_width),
+        carry.chunk_if_hot(stacked, keys, F.floor(F.col("__at") / chunk_width)),
         {"next": Running("last", F.when(F.col("__left") == 2, F.col("__at")))},
         descending=True,
     )
@@ -91,6 +91,7 @@ def merge_intervals(
     df: DataFrame, keys: list[str], tie: str, chunk: Column, gap: int = 0, strict: bool = False
 ) -> DataFrame:
     """Merged intervals per key: touching (or at most ``gap`` apart) intervals become one."""
+    chunk = carry.chunk_if_hot(df, keys, chunk)
     numbered = carry.islands(df, keys, "start", "end", tie, chunk, gap, strict)
     return numbered.groupBy(*keys, "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("members")
@@ -118,14 +119,16 @@ def merge_turns(
     df: DataFrame, keys: list[str], speaker: str, tie: str, chunk: Column, gap: int
 ) -> DataFrame:
     """Merge neighbouring turns of one speaker at most ``gap`` apart; a speaker change always splits."""
+    chunk = carry.chunk_if_hot(df, keys, chunk)
     marked = carry.running(
         df, keys, ["start", tie], chunk, {"__was": Running("last", F.col(speaker), inclusive=False)}
     )
     change = marked.withColumn(
         "__change", F.when(F.col("__was").isNull() | (F.col("__was") != F.col(speaker)), 1).otherwise(0)
     ).drop("__was")
-    runs = carry.running(change, keys, ["start", tie], chunk, {"run": Running("sum", F.col("__change"))})
-    numbered = carry.islands(runs.drop("__change"), [*keys, "run"], "start", "end", tie, chunk, gap)
+    runs = carry.running(carry.settled(change, chunk), keys, ["start", tie], chunk, {"run": Running("sum", F.col("__change"))})
+    runs = carry.settled(runs.drop("__change"), chunk)
+    numbered = carry.islands(runs, [*keys, "run"], "start", "end", tie, chunk, gap)
     return numbered.groupBy(*keys, "run", "island", speaker).agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("turns")
     )
@@ -136,6 +139,7 @@ def dialogue_links(
 ) -> DataFrame:
     """Link each turn to the previous one when speakers differ and the pause is at most ``gap``."""
     before = F.struct(F.col(speaker).alias("speaker"), F.col("end").alias("end"))
+    chunk = carry.chunk_if_hot(turns, keys, chunk)
     seen = carry.running(
         turns, keys, ["start", tie], chunk, {"before": Running("last", before, inclusive=False)}
     )

@@ -25,6 +25,7 @@ def attach_memory(
     ``memory`` may hold clip_id, start and end; a question without memory keeps one row without
     a clip, or none if ``keep_missing`` is off.
     """
+    chunk = carry.chunk_if_hot(memory, [key], chunk)
     placed = carry.position(memory, [key], [order], chunk, "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
     length = times.CLIP_SECONDS
     begin = F.col("ordinal").cast("double") * length

@@ -21,52 +21,37 @@ def term_counts(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, scope: list[str], doc: str, tokens: str) -> DataFrame:
-    """TF-IDF cosine of each scope's query with each of its documents.
+    """TF-IDF cosine of each scope's query with each of its documents: (scope, doc, score).
 
-    Document frequencies and the corpus size are those of the scope; documents sharing no token
-    with the query score zero and stay in the result.
+    Document frequencies and the corpus size are those of the scope. Documents sharing no token
+    with the query score zero and stay in the result; a document without tokens has one posting
+    with a null token.
     """
-    counts = term_counts(docs, [*scope, doc], tokens)
-    size = docs.groupBy(*scope).agg(F.count("*").alias("n"))
-    frequency = counts.groupBy(*scope, "token").agg(F.count("*").alias("df"))
-    idf = frequency.join(size, scope).select(
-        *scope, "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).alias("idf")
+    counts = (
+        docs.select(*scope, doc, F.size(tokens).alias("total"), F.explode_outer(tokens).alias("token"))
+        .groupBy(*scope, doc, "total", "token")
+        .agg(F.count("token").alias("tf"))
     )
-    query_counts = (
-        term_counts(queries, scope, tokens)
+    size = docs.groupBy(*scope).agg(F.count("*").alias("n"))
+    frequency = counts.filter(F.col("token").isNotNull()).groupBy(*scope, "token").agg(F.count("*").alias("df"))
+    asked = term_counts(queries, scope, tokens).withColumnsRenamed({"tf": "qtf", "total": "qtotal"})
+    idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0
+    terms = (
+        frequency.join(asked, [*scope, "token"], "full")
         .join(size, scope)
-        .join(frequency, [*scope, "token"], "left")
-        .select(
-            *scope,
-            "token",
-            (
-                F.col("tf")
-                / F.col("total")
-                * (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0)
-            ).alias("qw"),
-        )
-    )
-    query_norm = query_counts.groupBy(*scope).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    weighted = counts.join(idf, [*scope, "token"]).withColumn(
-        "w", F.col("tf") / F.col("total") * F.col("idf")
+        .select(*scope, "token", idf.alias("idf"), (F.col("qtf") / F.col("qtotal") * idf).alias("qw"))
     )
+    query_norm = terms.groupBy(*scope).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    weight = F.col("tf") / F.greatest(F.col("total"), F.lit(1)) * F.col("idf")
     matched = (
-        weighted.join(query_counts, [*scope, "token"], "left")
+        counts.join(terms, [*scope, "token"], "left")
         .groupBy(*scope, doc)
-        .agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"),
-            F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("hit"),
-        )
-        .join(query_norm, scope, "left")
-    )
-    score = F.coalesce(
-        F.when((F.col("dn") > 1e-12) & (F.col("qn") > 1e-12), F.col("hit") / F.col("dn") / F.col("qn")),
-        F.lit(0.0),
-    )
-    scored = matched.select(*scope, doc, F.round(score, SCORE_DIGITS).alias("score"))
-    return docs.join(scored, [*scope, doc], "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0)) + F.lit(0.0)
+        .agg(F.sqrt(F.sum(weight * weight)).alias("dn"), F.sum(weight * F.col("qw")).alias("hit"))
     )
+    usable = (F.col("dn") > 1e-12) & (F.col("qn") > 1e-12)
+    score = F.coalesce(F.when(usable, F.col("hit") / F.col("dn") / F.col("qn")), F.lit(0.0))
+    scored = matched.join(query_norm, scope, "left")
+    return scored.select(*scope, doc, (F.round(score, SCORE_DIGITS) + F.lit(0.0)).alias("score"))
 
 
 def ranked_pool(scored: DataFrame, scope: list[str], start: Column, tie: str, size: int = 200) -> DataFrame:

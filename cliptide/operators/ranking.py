@@ -15,7 +15,8 @@ BAND = 1.0 / 256
 def rank_all(df: DataFrame, key: list[str], score: str, tie: str, name: str = "rank") -> DataFrame:
     """Position of every row by descending score, chunked by score band."""
     ordered = df.withColumn("__neg", -F.col(score))
-    placed = carry.position(ordered, key, ["__neg", tie], F.floor(F.col("__neg") / BAND), name)
+    chunk = carry.chunk_if_hot(df, key, F.floor(F.col("__neg") / BAND))
+    placed = carry.position(ordered, key, ["__neg", tie], chunk, name)
     return placed.drop("__neg")
 
 
@@ -32,7 +33,8 @@ def within_text_budget(nodes: DataFrame, key: list[str], score: str, tie: str, t
     """Nodes in score order until at least ``k`` texts are collected."""
     ordered = nodes.withColumn("__neg", -F.col(score))
     spec = {"__before": Running("sum", F.col(texts), inclusive=False)}
-    summed = carry.running(ordered, key, ["__neg", tie], F.floor(F.col("__neg") / BAND), spec)
+    chunk = carry.chunk_if_hot(nodes, key, F.floor(F.col("__neg") / BAND))
+    summed = carry.running(ordered, key, ["__neg", tie], chunk, spec)
     return summed.filter(F.coalesce("__before", F.lit(0)) < k).drop("__neg", "__before")
 
 
@@ -62,7 +64,8 @@ def gap_counts(
         "rank": Running("count", F.lit(1)),
         "__last": Running("last", F.col(score), inclusive=False),
     }
-    ranked = carry.running(ordered, key, ["__neg", tie], F.floor(F.col("__neg") / BAND), specs)
+    chunk = carry.chunk_if_hot(df, key, F.floor(F.col("__neg") / BAND))
+    ranked = carry.running(ordered, key, ["__neg", tie], chunk, specs)
     size = df.groupBy(*key).agg(F.count("*").alias("n"))
     falls = ranked.filter(F.col("rank") > 1).join(size, key)
     gaps = F.col("n") - 1
@@ -109,7 +112,8 @@ def clips_from_node_curve(
     cap = F.lit(max_clips if max_clips else 2**31 - 1)
     base = F.greatest(F.least(F.col("hit"), cap), F.least(F.lit(min_clips), cap))
     limits = totals.select(*key, F.least(base + extra_clips, F.greatest(cap, base)).alias("limit"))
-    placed = carry.position(chosen, key, ["first_rank"], F.floor(F.col("first_rank") / 4096), "position")
+    chunk = carry.chunk_if_hot(nodes, key, F.floor(F.col("first_rank") / 4096))
+    placed = carry.position(chosen, key, ["first_rank"], chunk, "position")
     return placed.join(limits, key).filter(F.col("position") <= F.col("limit")).select(
         *key, "clip_id", "position", "first_rank", "selected_nodes"
     )

@@ -14,7 +14,7 @@ SCENE_FRAGMENTS = 20
 
 def batches(df: DataFrame, keys: list[str], order: list[str], chunk: Column, size: int, name: str = "batch") -> DataFrame:
     """Tumbling batches of ``size`` consecutive rows per key, numbered from zero."""
-    placed = carry.position(df, keys, order, chunk, "__pos")
+    placed = carry.position(df, keys, order, carry.chunk_if_hot(df, keys, chunk), "__pos")
     return placed.withColumn(name, F.floor((F.col("__pos") - 1) / size)).drop("__pos")
 
 
@@ -51,7 +51,7 @@ def rolling_context(
     Every row offers itself to the next ``size`` positions; an equi-join key per position keeps
     hot keys spread.
     """
-    placed = carry.position(clips, keys, order, chunk, "pos")
+    placed = carry.position(clips, keys, order, carry.chunk_if_hot(clips, keys, chunk), "pos")
     offers = placed.select(
         *keys,
         F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + size)).alias("pos"),
@@ -71,6 +71,7 @@ def previous_known(
     clips: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, name: str
 ) -> DataFrame:
     """Last known value before each row; rows without a value do not reset it."""
+    chunk = carry.chunk_if_hot(clips, keys, chunk)
     return carry.running(clips, keys, order, chunk, {name: Running("last", value, inclusive=False)})
 
 

@@ -59,3 +59,13 @@ def broadcast_when_small(
     if df.limit(most + 1).count() <= most:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has slots.
+
+    Looks at the planned splits only. A large input has more splits than slots and is left alone,
+    so nothing is shuffled at scale; a small file with one row group would keep one core busy.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
