@@ -11,10 +11,10 @@ LINE_CHUNK = 4096
 
 def read_files(spark: SparkSession, path: str, suffix: str = "", recursive: bool = False) -> DataFrame:
     """One row per file: ``path``, ``name`` (without suffix) and whole ``text``."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     name = F.element_at(F.split(F.url_decode("path"), "/"), -1)
     stem = F.substring(name, F.lit(1), F.length(name) - len(suffix)) if suffix else name
     return rows.withColumn("name", stem)
