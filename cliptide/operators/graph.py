@@ -6,6 +6,8 @@ both directions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -209,31 +211,32 @@ def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple]
     return out
 
 
-def similarity_forest(
-    df: DataFrame, keys: list[str], node: str, vector: str, threshold: float, block_rows: int = 1024
+def _meet_blocks(
+    rows: DataFrame,
+    keys: list[str],
+    threshold: float,
+    block_rows: int,
+    extra: list[str],
+    decide: Callable,
+    out: list[str],
 ) -> DataFrame:
-    """Edges that connect exactly the nodes linked by cosine >= ``threshold``.
+    """Bring blocks of unit vectors together wherever a cosine >= ``threshold`` is possible.
 
-    Identical vectors collapse to their smallest id first. The rest is cut into blocks of bounded
-    size; two blocks meet only if their angular bounds allow a match, and a meeting emits a
-    spanning forest of its matches, never all pairs.
+    ``rows`` holds keys, id, v and ``extra`` columns. A block is one dominant axis direction,
+    hash-split to a bounded size. Two blocks meet only if the angle between their centres less
+    their angular radii allows a match. ``decide(left, right, cosines, ids, extras)`` returns
+    rows of ``out`` id columns; pairs as such never leave a meeting.
     """
-    rows = df.select(*keys, F.col(node).alias("id"), V.normalize(F.col(vector)).alias("v"))
-    same = rows.groupBy(*keys, "v").agg(F.min("id").alias("rep"))
-    copies = rows.join(same, [*keys, "v"]).filter("id <> rep").select(
-        *keys, F.col("rep").alias("src"), F.col("id").alias("dst")
+    axis = F.array_max(
+        F.transform("v", lambda x, i: F.struct(F.abs(x).alias("a"), F.signum(x).alias("s"), i.alias("i")))
     )
-    # blocks: the nearest of a fixed set of axis directions, then a hash salt sized by the count
-    axis = F.array_max(F.transform("v", lambda x, i: F.struct(F.abs(x).alias("a"), F.signum(x).alias("s"), i.alias("i"))))
-    placed = same.withColumn("axis", F.struct(axis["s"], axis["i"]))
+    placed = rows.withColumn("axis", F.struct(axis["s"], axis["i"]))
     sizes = placed.groupBy(*keys, "axis").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    blocked = placed.join(sizes, [*keys, "axis"]).select(
-        *keys,
-        F.xxhash64("axis", F.pmod(F.xxhash64("rep"), "parts")).alias("block"),
-        F.col("rep").alias("id"),
-        "v",
+    blocked = cut_lineage(
+        placed.join(sizes, [*keys, "axis"]).select(
+            *keys, F.xxhash64("axis", F.pmod(F.xxhash64("id"), "parts")).alias("block"), "id", "v", *extra
+        )
     )
-    blocked = cut_lineage(blocked)
     centres = scoring.centroid(blocked, [*keys, "block"], "v", "c").withColumn("c", V.normalize(F.col("c")))
 
     def angle(cosine: Column) -> Column:
@@ -250,37 +253,82 @@ def similarity_forest(
         (F.col("block") <= F.col("block2"))
         & (angle(V.dot(F.col("c"), F.col("c2"))) - F.col("r") - F.col("r2") <= reach)
     ).select(*keys, "block", "block2")
-    one = meetings.join(blocked, [*keys, "block"]).select(*keys, F.col("block").alias("b1"), F.col("block2").alias("b2"), "id", "v", F.lit(0).alias("side"))
-    two = meetings.filter("block <> block2").join(blocked.withColumnRenamed("block", "block2"), [*keys, "block2"]).select(
-        *keys, F.col("block").alias("b1"), F.col("block2").alias("b2"), "id", "v", F.lit(1).alias("side")
+    shape = [*keys, F.col("block").alias("b1"), F.col("block2").alias("b2"), "id", "v", *extra]
+    one = meetings.join(blocked, [*keys, "block"]).select(*shape, F.lit(0).alias("side"))
+    two = (
+        meetings.filter("block <> block2")
+        .join(blocked.withColumnRenamed("block", "block2"), [*keys, "block2"])
+        .select(*shape, F.lit(1).alias("side"))
     )
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"src {types[node]}", f"dst {types[node]}"])
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{o} {types['id']}" for o in out)])
 
     def meet(table: pa.Table) -> pa.Table:
         ids = np.asarray(table["id"].to_pylist())
         side = table["side"].to_numpy()
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        v = flat.reshape(len(ids), -1)
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1)
+        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if len(b) == 0:
             b = a
-        hits = np.round(v[a] @ v[b].T, V.SCORE_DIGITS) >= threshold
-        i, j = np.nonzero(hits)
+        i, j = np.nonzero(np.round(v[a] @ v[b].T, V.SCORE_DIGITS) >= threshold)
         left, right = a[i], b[j]
         keep = left != right
-        pairs = _forest(ids, left[keep], right[keep])
-        out = {k: pa.array([table[k][0].as_py()] * len(pairs), table.schema.field(k).type) for k in keys}
+        found = decide(left[keep], right[keep], ids, {c: np.asarray(table[c].to_pylist()) for c in extra})
+        cols = {k: pa.array([table[k][0].as_py()] * len(found), table.schema.field(k).type) for k in keys}
         kind = table.schema.field("id").type
-        out["src"] = pa.array([p[0] for p in pairs], kind)
-        out["dst"] = pa.array([p[1] for p in pairs], kind)
-        return pa.table(out)
+        for n, name in enumerate(out):
+            cols[name] = pa.array([f[n] for f in found], kind)
+        return pa.table(cols)
+
+    return one.unionByName(two).groupBy(*keys, "b1", "b2").applyInArrow(meet, schema)
 
-    linked = one.unionByName(two).groupBy(*keys, "b1", "b2").applyInArrow(meet, schema)
+
+def similarity_forest(
+    df: DataFrame, keys: list[str], node: str, vector: str, threshold: float, block_rows: int = 1024
+) -> DataFrame:
+    """Edges that connect exactly the nodes linked by cosine >= ``threshold``.
+
+    Identical vectors collapse to their smallest id first; a meeting of two blocks emits a
+    spanning forest of its matches.
+    """
+    rows = df.select(*keys, F.col(node).alias("id"), V.normalize(F.col(vector)).alias("v"))
+    same = rows.groupBy(*keys, "v").agg(F.min("id").alias("rep"))
+    copies = rows.join(same, [*keys, "v"]).filter("id <> rep").select(
+        *keys, F.col("rep").alias("src"), F.col("id").alias("dst")
+    )
+
+    def forest(left, right, ids, extras):
+        return _forest(ids, left, right)
+
+    distinct = same.select(*keys, F.col("rep").alias("id"), "v")
+    linked = _meet_blocks(distinct, keys, threshold, block_rows, [], forest, ["src", "dst"])
     return linked.unionByName(copies)
 
 
+def without_near_copies(
+    df: DataFrame, keys: list[str], node: str, vector: str, weight: str, threshold: float, block_rows: int = 1024
+) -> DataFrame:
+    """Rows without a similar row (cosine > ``threshold``) that is heavier, or as heavy and earlier.
+
+    Of identical vectors only the best can survive, so they collapse before blocks meet.
+    """
+    rank = F.struct((-F.col(weight)).alias("w"), F.col(node).alias("n"))
+    unit = df.withColumn("__v", V.normalize(F.col(vector)))
+    best = unit.groupBy(*keys, "__v").agg(F.min(rank).alias("b"))
+    rows = best.select(*keys, F.col("b.n").alias("id"), F.col("__v").alias("v"), (-F.col("b.w")).alias("w"))
+    # strictly above the threshold at the digits scores are compared with
+    above = threshold + 10.0**-V.SCORE_DIGITS
+
+    def losers(left, right, ids, extras):
+        w = extras["w"]
+        lost = np.where((w[left] > w[right]) | ((w[left] == w[right]) & (ids[left] < ids[right])), right, left)
+        return [(ids[k],) for k in np.unique(lost)]
+
+    lost = _meet_blocks(rows, keys, above, block_rows, ["w"], losers, ["id"]).distinct()
+    kept = rows.join(lost, [*keys, "id"], "left_anti").select(*keys, F.col("id").alias(node))
+    return df.join(kept, [*keys, node], "left_semi")
+
+
 def truncate_by_clip(
     nodes: DataFrame, edges: DataFrame, graph: list[str], clip: Column
 ) -> tuple[DataFrame, DataFrame]:
