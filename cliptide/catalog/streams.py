@@ -136,9 +136,9 @@ def split_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("string").alias("recording")
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = table(spark, folder, "events").select(
-        hour, start.alias("start"), (start + F.col("value")).alias("end"), F.col("user_id").alias("speaker")
+        hour, "event_id", start.alias("start"), (start + F.col("value")).alias("end"), F.col("user_id").alias("speaker")
     )
-    out = P.split_overlaps(rows, ["recording"])
+    out = P.split_overlaps(rows, ["recording"], "event_id", F.floor(F.col("start") / 600))
     return out.select("recording", digits("start", 3), digits("end", 3), big("speaker"))
 
 

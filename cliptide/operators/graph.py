@@ -230,7 +230,13 @@ def _meet_blocks(
     axis = F.array_max(
         F.transform("v", lambda x, i: F.struct(F.abs(x).alias("a"), F.signum(x).alias("s"), i.alias("i")))
     )
-    placed = rows.withColumn("axis", F.struct(axis["s"], axis["i"]))
+    # a scope of one block is not cut; a larger one is cut along the axes, coarsely at first
+    scopes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("__blocks"))
+    direction = F.xxhash64(axis["s"], axis["i"])
+    coarse = F.pmod(direction, F.col("__blocks"))
+    placed = rows.join(scopes, keys).withColumn(
+        "axis", F.when(F.col("__blocks") < 64, coarse).otherwise(direction)
+    )
     sizes = placed.groupBy(*keys, "axis").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
     blocked = cut_lineage(
         placed.join(sizes, [*keys, "axis"]).select(

@@ -77,18 +77,23 @@ def utterance_means(chunks: DataFrame, keys: list[str], vector: str) -> DataFram
     return scoring.centroid(chunks, keys, vector, vector)
 
 
-def split_overlaps(segments: DataFrame, keys: list[str]) -> DataFrame:
+def split_overlaps(segments: DataFrame, keys: list[str], tie: str, chunk: Column) -> DataFrame:
     """Join touching segments of one speaker and cut overlaps of different speakers in the middle.
 
-    Each cut depends on the one before, so a recording's segments are folded in order. A
-    recording has few segments; they are read as one sorted group.
+    Each cut depends on the one before, but only within a stretch of overlapping or touching
+    segments: a segment that starts after everything before it ended starts afresh. Stretches are
+    found with running maxima and folded one by one, so a long recording is many small folds.
     """
+    stretches = carry.islands(segments, keys, "start", "end", tie, carry.chunk_if_hot(segments, keys, chunk), 0)
     types = dict(segments.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "start double, end double, speaker bigint"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "island bigint", "start double, end double, speaker bigint"])
+    lone = F.count("*").over(Window.partitionBy(*keys, "island")) == 1
+    marked = stretches.withColumn("__lone", lone)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for start, end, speaker in pdf.sort_values(["start", "end"])[["start", "end", "speaker"]].itertuples(index=False):
+        ordered = pdf.sort_values(["start", tie])
+        for start, end, speaker in ordered[["start", "end", "speaker"]].itertuples(index=False):
             if out and speaker == out[-1][2] and start <= out[-1][1]:
                 out[-1][1] = end
                 continue
@@ -98,11 +103,18 @@ def split_overlaps(segments: DataFrame, keys: list[str]) -> DataFrame:
                 start = middle
             out.append([start, end, speaker])
         made = pd.DataFrame(out, columns=["start", "end", "speaker"])
-        for k in reversed(keys):
-            made.insert(0, k, pdf[k].iloc[0])
+        for name in reversed([*keys, "island"]):
+            made.insert(0, name, pdf[name].iloc[0])
         return made
 
-    return segments.groupBy(*keys).applyInPandas(fold, schema)
+    folded = (
+        marked.filter(~F.col("__lone"))
+        .select(*keys, "island", "start", "end", F.col("speaker").cast("bigint").alias("speaker"), tie)
+        .groupBy(*keys, "island")
+        .applyInPandas(fold, schema)
+    )
+    alone = marked.filter("__lone").select(*keys, "island", "start", "end", F.col("speaker").cast("bigint").alias("speaker"))
+    return folded.unionByName(alone).drop("island")
 
 
 def _average_linkage(vectors: np.ndarray, floor: float) -> np.ndarray:
