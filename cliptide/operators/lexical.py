@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +69,10 @@ def ranked_pool(scored: DataFrame, scope: list[str], start: Column, tie: str, si
     return ranked.filter(F.col("rank") <= size)
 
 
+#: Largest query-by-vocabulary matrix (cells) that is shipped to every task for BM25.
+BLOCK_CELLS = 20_000_000
+
+
 def bm25_top(
     docs: DataFrame,
     queries: DataFrame,
@@ -76,11 +85,26 @@ def bm25_top(
 ) -> DataFrame:
     """Best ``k`` positive BM25 documents per query over one corpus; ties go to the later document.
 
-    Only postings of query tokens leave the scan stage. Repeated query tokens count repeatedly.
+    Repeated query tokens count repeatedly. The query terms are counted first: if their matrix is
+    small it is shipped and every task scores its own documents, sending only its best ``k`` per
+    query; otherwise postings of query tokens are joined with the terms.
     """
     terms = queries.select(query, F.explode(tokens).alias("token")).groupBy(query, "token").agg(
         F.count("*").alias("qtf")
     )
+    sizes = terms.agg(F.count_distinct("token").alias("v"), F.count_distinct(query).alias("q")).first()
+    if sizes["v"] * sizes["q"] <= BLOCK_CELLS:
+        hits = _bm25_by_matrix(docs, terms, doc, query, tokens, k, k1, b)
+    else:
+        hits = _bm25_by_join(docs, terms, doc, query, tokens, k1, b)
+    order = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(doc))
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _bm25_by_join(
+    docs: DataFrame, terms: DataFrame, doc: str, query: str, tokens: str, k1: float, b: float
+) -> DataFrame:
+    """Positive scores by joining postings and query terms on the token."""
     vocabulary = broadcast_when_small(terms.select("token").distinct(), _TERM_BYTES)
     lengths = docs.select(doc, F.size(tokens).alias("len"), tokens)
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
@@ -93,24 +117,78 @@ def bm25_top(
     n, avg_len = corpus.select("n").scalar(), corpus.select("avg_len").scalar()
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = frequency.select("token", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    share = F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len)
     weighted = postings.join(idf, "token").select(
-        doc,
-        "token",
-        (
-            F.col("idf")
-            * F.col("tf")
-            * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-        ).alias("w"),
+        doc, "token", (F.col("idf") * F.col("tf") * (k1 + 1) / share).alias("w")
     )
-    hits = (
+    return (
         weighted.join(broadcast_when_small(terms, _TERM_BYTES), "token")
         .groupBy(query, doc)
         .agg(F.round(F.sum(F.col("w") * F.col("qtf")), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)
     )
-    order = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(doc))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _bm25_by_matrix(
+    docs: DataFrame, terms: DataFrame, doc: str, query: str, tokens: str, k: int, k1: float, b: float
+) -> DataFrame:
+    """Best positive scores per task and query (ties at the cut kept) by block products."""
+    spark = docs.sparkSession
+    listed = terms.toArrow()  # at most BLOCK_CELLS entries, counted by the caller
+    words = pc.unique(listed["token"].combine_chunks())
+    askers = pc.unique(listed[query].combine_chunks())
+    matrix = np.zeros((len(words), len(askers)))
+    matrix[
+        pc.index_in(listed["token"], value_set=words).to_numpy(), pc.index_in(listed[query], value_set=askers).to_numpy()
+    ] = listed["qtf"].to_numpy()
+    # one pass over the corpus: document frequencies, and under the empty token its size and length
+    wanted = [*words.to_pylist(), ""]
+    vocabulary = F.broadcast(spark.createDataFrame([(w,) for w in wanted], "token string"))
+    marked = docs.select(
+        F.size(tokens).alias("len"),
+        F.explode(F.concat(F.array_distinct(tokens), F.array(F.lit("")))).alias("token"),
+    )
+    counted = marked.join(vocabulary, "token").groupBy("token").agg(
+        F.count("*").alias("df"), F.sum(F.when(F.col("token") == "", F.col("len"))).alias("len")
+    )
+    rows = {r["token"]: r for r in counted.toLocalIterator()}  # at most one row per query token
+    if "" not in rows:
+        rows[""] = {"df": 0, "len": 0}
+    size, total = rows[""]["df"], rows[""]["len"]
+    seen = np.array([rows[w]["df"] if w in rows else 0 for w in words.to_pylist()], dtype=float)
+    idf = np.log(1 + (size - seen + 0.5) / (seen + 0.5))
+    shipped = spark.sparkContext.broadcast((words, askers, matrix, idf, (total / size if size else 0.0) or 1.0))
+    types = dict(docs.dtypes)
+    schema = f"{query} {dict(terms.dtypes)[query]}, {doc} {types[doc]}, score double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, askers, matrix, idf, avg_len = shipped.value
+        block = max(1, 4_000_000 // max(1, len(words)))
+        for batch in batches:
+            ids, listed_tokens = batch.column(0), batch.column(1)
+            length = pc.list_value_length(listed_tokens).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), length)
+            code = pc.index_in(listed_tokens.flatten(), value_set=words)
+            known = code.is_valid().to_numpy(zero_copy_only=False)
+            code = pc.fill_null(code, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+            place, tf = np.unique(owner[known] * len(words) + code, return_counts=True)
+            row, col = place // len(words), place % len(words)
+            weight = idf[col] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
+            scores = np.zeros((batch.num_rows, len(askers)))
+            for begin in range(0, batch.num_rows, block):
+                part = slice(*np.searchsorted(row, [begin, begin + block]))
+                dense = np.zeros((min(block, batch.num_rows - begin), len(words)))
+                dense[row[part] - begin, col[part]] = weight[part]
+                scores[begin : begin + block] = dense @ matrix
+            scores = np.round(scores, SCORE_DIGITS)
+            least = np.partition(scores, -k, axis=0)[-k] if batch.num_rows > k else np.zeros(len(askers))
+            hit, asker = np.nonzero((scores >= least) & (scores > 0))
+            yield pa.RecordBatch.from_arrays(
+                [askers.take(pa.array(asker)), ids.take(pa.array(hit)), pa.array(scores[hit, asker])],
+                names=[query, doc, "score"],
+            )
+
+    return docs.select(doc, tokens).mapInArrow(score, schema)
 
 
 def hybrid_scores(scored: DataFrame, scope: list[str], dense: str, sparse: str, weight: float = 0.7) -> DataFrame:
