@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cliptide.functions import text as X
 from cliptide.functions.arrays import let
 from cliptide.functions.vectors import SCORE_DIGITS
-from cliptide.session import broadcast_when_small
+from cliptide.session import broadcast_when_small, cut_lineage
 
 #: Generous size of one (query, token, count) row when a broadcast is checked.
 _TERM_BYTES = 128
@@ -30,9 +30,10 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, scope: list[str], doc: str
 
     Document frequencies and the corpus size are those of the scope. Documents sharing no token
     with the query score zero and stay in the result; a document without tokens has one posting
-    with a null token.
+    with a null token. Postings and term weights are each read twice, so both are stored first:
+    texts are tokenised and shuffled once.
     """
-    counts = (
+    counts = cut_lineage(
         docs.select(*scope, doc, F.size(tokens).alias("total"), F.explode_outer(tokens).alias("token"))
         .groupBy(*scope, doc, "total", "token")
         .agg(F.count("token").alias("tf"))
@@ -41,7 +42,7 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, scope: list[str], doc: str
     frequency = counts.filter(F.col("token").isNotNull()).groupBy(*scope, "token").agg(F.count("*").alias("df"))
     asked = term_counts(queries, scope, tokens).withColumnsRenamed({"tf": "qtf", "total": "qtotal"})
     idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0
-    terms = (
+    terms = cut_lineage(
         frequency.join(asked, [*scope, "token"], "full")
         .join(size, scope)
         .select(*scope, "token", idf.alias("idf"), (F.col("qtf") / F.col("qtotal") * idf).alias("qw"))

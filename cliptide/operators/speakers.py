@@ -14,6 +14,8 @@ from cliptide.operators.carry import Running
 FACE_DETECTION, FACE_QUALITY, VOICE_SECONDS = 0.85, 22.0, 2
 #: Recordings with fewer chunks than this are clustered by average linkage.
 SMALL_RECORDING = 40
+#: Overlap stretches folded in one call.
+STRETCHES_PER_FOLD = 256
 
 
 def good_faces(faces: DataFrame, detection: str, quality: str) -> DataFrame:
@@ -86,7 +88,7 @@ def split_overlaps(segments: DataFrame, keys: list[str], tie: str, chunk: Column
     """
     stretches = carry.islands(segments, keys, "start", "end", tie, carry.chunk_if_hot(segments, keys, chunk), 0)
     types = dict(segments.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "island bigint", "start double, end double, speaker bigint"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "start double, end double, speaker bigint"])
     lone = F.count("*").over(Window.partitionBy(*keys, "island")) == 1
     marked = stretches.withColumn("__lone", lone)
 
@@ -103,18 +105,15 @@ def split_overlaps(segments: DataFrame, keys: list[str], tie: str, chunk: Column
                 start = middle
             out.append([start, end, speaker])
         made = pd.DataFrame(out, columns=["start", "end", "speaker"])
-        for name in reversed([*keys, "island"]):
+        for name in reversed(keys):
             made.insert(0, name, pdf[name].iloc[0])
         return made
 
-    folded = (
-        marked.filter(~F.col("__lone"))
-        .select(*keys, "island", "start", "end", F.col("speaker").cast("bigint").alias("speaker"), tie)
-        .groupBy(*keys, "island")
-        .applyInPandas(fold, schema)
-    )
-    alone = marked.filter("__lone").select(*keys, "island", "start", "end", F.col("speaker").cast("bigint").alias("speaker"))
-    return folded.unionByName(alone).drop("island")
+    shape = [*keys, "start", "end", F.col("speaker").cast("bigint").alias("speaker")]
+    # a few hundred whole stretches share one call; the fold starts afresh at each by itself
+    batch = F.floor(F.col("island") / STRETCHES_PER_FOLD).alias("__batch")
+    folded = marked.filter(~F.col("__lone")).select(*shape, tie, batch).groupBy(*keys, "__batch").applyInPandas(fold, schema)
+    return folded.unionByName(marked.filter("__lone").select(*shape))
 
 
 def _average_linkage(vectors: np.ndarray, floor: float) -> np.ndarray:
