@@ -139,14 +139,14 @@ for _mode, _fn in (("sum", "sum"), ("max", "max"), ("mean", "avg")):
     "scene_boost",
     f"""WITH {SCORED}, {_CLIPS},
 base AS (SELECT label, clip_id, max(rel) AS score FROM clips GROUP BY label, clip_id),
-scene AS (SELECT label, vec_id // 8 AS sc, rel AS sim FROM scored WHERE vec_id % 2 = 1 AND rel > 0.05)
+scene AS (SELECT label, vec_id // 8 AS sc, rel AS sim FROM scored WHERE rel > 0.05)
 SELECT CAST(b.label AS BIGINT) AS label, CAST(b.clip_id AS BIGINT) AS clip_id, round(b.score + coalesce(0.2 * sum(s.sim), 0), 6) + 0.0 AS score
 FROM base b LEFT JOIN scene s ON s.label = b.label AND b.clip_id BETWEEN s.sc - 5 AND s.sc GROUP BY b.label, b.clip_id, b.score""",
 )
 def scene_boost(spark: SparkSession, folder: str) -> DataFrame:
     rows = scored_vectors(spark, folder).withColumn("clip_id", F.expr("vec_id div 8"))
     clips = nodes.clip_scores(rows, ["label"], "max")
-    scenes = rows.filter(F.col("vec_id") % 2 == 1).select(
+    scenes = rows.select(
         "label", F.col("clip_id").alias("scene_clip"), F.col("relevance").alias("sim")
     )
     boosted = nodes.scene_boost(clips, scenes, ["label"], 0.2, floor=0.05)

@@ -50,11 +50,11 @@ def text_budget(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "extended_selection",
     f"""WITH {HITS} SELECT CAST(label AS BIGINT) AS label, CAST(vec_id AS BIGINT) AS vec_id FROM
-(SELECT *, row_number() OVER (PARTITION BY label, vec_id % 2 = 0 AND rk <= 6 ORDER BY rk) AS x FROM h) WHERE (vec_id % 2 = 0 AND rk <= 6) OR x <= 2""",
+(SELECT *, rel > 0.12 AND rk <= 6 AS chosen, row_number() OVER (PARTITION BY label, rel > 0.12 AND rk <= 6 ORDER BY rk) AS x FROM h) WHERE chosen OR x <= 2""",
 )
 def extended_selection(spark: SparkSession, folder: str) -> DataFrame:
     ranked = scoring.top_k(node_hits(spark, folder), ["label"], [F.desc("score"), F.asc("vec_id")], 200)
-    chosen = ranked.filter("rank <= 6 and vec_id % 2 = 0").select("label", "vec_id")
+    chosen = ranked.filter("rank <= 6 and score > 0.12").select("label", "vec_id")
     out = ranking.extend(ranked, chosen, ["label"], "vec_id", "rank", 2)
     return out.select(big("label"), big("vec_id"))
 
@@ -247,7 +247,7 @@ def question_roles(spark: SparkSession, folder: str) -> DataFrame:
     return items.select(big("item_id"), *[F.col("w")[n].alias(n) for n in names])
 
 
-_HISTORY = f"""WITH {SCORED}, cl AS (SELECT label, vec_id, vec_id % 4 = 0 AS past, v FROM scored)
+_HISTORY = f"""WITH {SCORED}, cl AS (SELECT label, vec_id, v[1] > 0 AS past, v FROM scored)
 SELECT CAST(label AS BIGINT) AS label, CAST(arg_min(vec_id, (s, vec_id)) AS BIGINT) AS vec_id, round(min(s), 6) + 0.0 AS similarity FROM
 (SELECT a.label, a.vec_id, round(avg(list_dot_product(a.v, b.v)), 9) AS s FROM cl a JOIN cl b ON a.label = b.label AND b.past AND NOT a.past GROUP BY a.label, a.vec_id) GROUP BY label"""
 
@@ -256,8 +256,8 @@ SELECT CAST(label AS BIGINT) AS label, CAST(arg_min(vec_id, (s, vec_id)) AS BIGI
 def diverse_query(spark: SparkSession, folder: str) -> DataFrame:
     """Per label the candidate least similar on average to the past queries."""
     rows = table(spark, folder, "embeddings").select("label", "vec_id", V.normalize(F.col("embedding")).alias("v"))
-    past = scoring.centroid(rows.filter("vec_id % 4 = 0"), ["label"], "v", "mean")
-    scored = rows.filter("vec_id % 4 <> 0").join(past, "label").withColumn(
+    past = scoring.centroid(rows.filter(F.get("v", F.lit(0)) > 0), ["label"], "v", "mean")
+    scored = rows.filter(F.get("v", F.lit(0)) <= 0).join(past, "label").withColumn(
         "similarity", F.round(V.dot(F.col("v"), F.col("mean")), 9)
     )
     best = scored.groupBy("label").agg(F.min(F.struct("similarity", "vec_id")).alias("b"))

@@ -105,17 +105,17 @@ def anti_seen(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "semi_new_clips",
-    """WITH e AS (SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
-a AS (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'signup' AND user_id % 3 <> 0), q AS (SELECT DISTINCT user_id FROM a)
+    """WITH e AS (SELECT user_id, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+a AS (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'signup' AND value > 200), q AS (SELECT DISTINCT user_id FROM a)
 SELECT CAST(e.user_id AS BIGINT) AS user_id, CAST(e.event_id AS BIGINT) AS event_id FROM e LEFT JOIN q ON q.user_id = e.user_id LEFT JOIN a ON a.user_id = e.user_id AND a.k = e.k
 WHERE q.user_id IS NULL OR a.k IS NOT NULL""",
 )
 def semi_new_clips(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select(
-        "user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")
+        "user_id", "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
-    # users divisible by three name no entity, so they are not restricted
-    allowed = rows.filter("event_type = 'signup' and user_id % 3 <> 0").select("user_id", "k")
+    # users without a signup of that value name no entity, so they are not restricted
+    allowed = rows.filter("event_type = 'signup' and value > 200").select("user_id", "k")
     kept = joins.restrict_when_any(rows, allowed, ["user_id"], "k")
     return kept.select(big("user_id"), big("event_id"))
 
@@ -167,7 +167,7 @@ def token_sets(spark: SparkSession, folder: str) -> DataFrame:
     "memory_bank",
     """WITH d AS (SELECT conv_id, 'D' || conv_id || ':' || turn AS doc_id, '[day ' || conv_id || '] ' || role || ': ' || text AS t, 'dialogue' AS source FROM conversations),
 o AS (SELECT conv_id, 'O' || conv_id || ':' || role || ':' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS doc_id, '[day ' || conv_id || '] Observation about ' || role || ': ' || text AS t, 'observation' AS source
-      FROM conversations WHERE turn % 2 = 1),
+      FROM conversations WHERE role = 'assistant'),
 s AS (SELECT conv_id, 'S' || conv_id AS doc_id, '[day ' || conv_id || '] Session summary: ' || arg_min(text, turn) AS t, 'summary' AS source FROM conversations GROUP BY conv_id)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, doc_id, source, md5(t) AS digest FROM (SELECT * FROM d UNION ALL SELECT * FROM o UNION ALL SELECT * FROM s)""",
 )
@@ -181,7 +181,7 @@ def memory_bank(spark: SparkSession, folder: str) -> DataFrame:
         session, when, "turn", F.concat(F.lit("D"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("dia_id"),
         F.col("role").alias("speaker"), "text", F.lit(None).cast("string").alias("blip_caption"),
     )
-    observations = turns.filter("turn % 2 = 1").select(session, when, F.col("role").alias("speaker"), F.col("turn").alias("seq"), "text")
+    observations = turns.filter("role = 'assistant'").select(session, when, F.col("role").alias("speaker"), F.col("turn").alias("seq"), "text")
     summaries = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("summary")).select(session, when, "summary")
     bank = C.memory_bank(dialogue, observations, summaries)
     return bank.select(

@@ -45,6 +45,19 @@ def stream_entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(big("label"), big("vec_id"), big("node"))
 
 
+@query("stream_memory_upsert")
+def stream_memory_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of a label as memories about two of five entities."""
+    tag = lambda n: F.concat(F.lit("voice_"), n.cast("string"))
+    rows = table_stream(spark, folder, "embeddings").select(
+        "label", "vec_id", F.array(tag(F.col("vec_id") % 5), tag(F.col("vec_id") % 3)).alias("entities"), "embedding"
+    )
+    done = stateful.run_available(
+        stateful.upsert_memories(rows, "label", "vec_id", "entities", "embedding", 0.2, -0.2), spark, "memories"
+    )
+    return done.select(big("label"), big("vec_id"), "action", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+
+
 @query(
     "best_faces",
     """WITH f AS (SELECT user_id, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),

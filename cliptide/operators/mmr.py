@@ -23,6 +23,16 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(rows, -1)
 
 
+def _counts(column: pa.ChunkedArray) -> np.ndarray:
+    """Token counts per row over the tokens of all rows (one empty column without any token)."""
+    bags = column.combine_chunks()
+    length = np.asarray([len(b) for b in bags])
+    codes = bags.flatten().dictionary_encode()
+    out = np.zeros((len(bags), max(1, len(codes.dictionary))))
+    np.add.at(out, (np.repeat(np.arange(len(bags)), length), codes.indices.to_numpy()), 1.0)
+    return out
+
+
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.where(length <= 1e-12, matrix, matrix / np.maximum(length, 1e-12))
@@ -82,9 +92,12 @@ def greedy_prefix(
     objective: str = "redundancy",
     clip_lambda: bool = False,
     carry: tuple[str, ...] = (),
+    bags: str | None = None,
 ) -> DataFrame:
     """Ordered prefix per query with the trace of every step.
 
+    ``bags`` names a token-array column: token counts over the pool's own vocabulary then take the
+    place of ``vector``.
     ``carry`` names pool columns that travel with the chosen rows, so nothing is joined back.
 
     ``relevance_mode``: ``minmax_zero`` / ``minmax_one`` (value of an all-equal pool) or ``raw``.
@@ -105,7 +118,7 @@ def greedy_prefix(
         table = table.sort_by("pos")
         rows = table.num_rows
         relevance = np.round(_scaled(table["relevance"].to_numpy(), relevance_mode), SCORE_DIGITS)
-        vectors = _matrix(table["vector"], rows)
+        vectors = _counts(table[bags]) if bags else _matrix(table["vector"], rows)
         if normalize:
             vectors = _unit_rows(vectors)
         path = _walk(relevance, vectors, steps, lambda_, tie, objective)
@@ -120,7 +133,7 @@ def greedy_prefix(
             out[c] = table[c].take(order).cast(carried[c])
         return pa.table(out)
 
-    slim = pool.select(*key, "pos", "clip_id", "relevance", "vector", *carry)
+    slim = pool.select(*key, "pos", "clip_id", "relevance", bags or "vector", *carry)
     if steps <= 0:
         return slim.limit(0).groupBy(*key).applyInArrow(fold, schema)
     return slim.groupBy(*key).applyInArrow(fold, schema)

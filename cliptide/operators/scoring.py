@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliptide.functions import vectors as V
+from cliptide.session import broadcast_when_small, cut_lineage
+
+#: Generous size of one stored query with its vector when a broadcast is checked.
+QUERY_BYTES = 32_768
 
 
 def centroid(df: DataFrame, keys: list[str], vector: str, name: str = "query_vector") -> DataFrame:
@@ -23,8 +27,13 @@ def centroid(df: DataFrame, keys: list[str], vector: str, name: str = "query_vec
 def score_against(
     memory: DataFrame, queries: DataFrame, scope: list[str], vector: str, query_vector: str
 ) -> DataFrame:
-    """Attach the cosine relevance of every memory row to the queries of its scope."""
-    prepared = queries.withColumn(query_vector, V.normalize(F.col(query_vector)))
+    """Attach the cosine relevance of every memory row to the queries of its scope.
+
+    The queries are stored and counted first. If they fit, they are broadcast and the memory is
+    scored where it is read, without a shuffle; otherwise both sides are joined on the scope.
+    """
+    stored = cut_lineage(queries.withColumn(query_vector, V.normalize(F.col(query_vector))))
+    prepared = broadcast_when_small(stored, QUERY_BYTES)
     joined = memory.join(prepared, scope)
     unit = joined.withColumn(vector, V.normalize(F.col(vector)))
     score = F.round(V.dot(F.col(vector), F.col(query_vector)), V.SCORE_DIGITS)

@@ -104,3 +104,51 @@ def resolve_entities(
         yield pd.DataFrame(made, columns=[key, order, "node"])
 
     return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_memories(
+    rows: DataFrame, key: str, order: str, entities: str, vector: str, same: float = 0.85, opposite: float = 0.0
+) -> DataFrame:
+    """Insert semantic memories, or reinforce / weaken the ones they repeat or contradict.
+
+    Compared are the kept memories of the first entity that know all entities of the new one. All
+    edges of a memory move together (by two per vote, from one), so one weight per memory is
+    enough; at zero or below its edges are gone and it is no longer found.
+    """
+    types = dict(rows.dtypes)
+    out = f"{key} {types[key]}, {order} {types[order]}, action string, nodes array<bigint>"
+    state = "entities array<array<string>>, vectors array<array<double>>, weights array<double>"
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        known, vectors, weights = held.get if held.exists else ([], [], [])
+        known = [list(k) for k in known]
+        vectors = [list(v) for v in vectors]
+        weights = list(weights)
+        made = []
+        pdf = pd.concat(list(batches)).sort_values(order)
+        for at, tags, raw in pdf[[order, entities, vector]].itertuples(index=False):
+            tags = list(tags) if tags is not None else []
+            v = np.asarray(raw, dtype=float)
+            v = v / max(np.linalg.norm(v), 1e-12)
+            votes = {}
+            for node, theirs in enumerate(known):
+                if tags and weights[node] > 0 and set(tags) <= set(theirs):
+                    sim = round(float(np.asarray(vectors[node]) @ v), 9)
+                    if sim > same:
+                        votes[node] = 2.0
+                    elif sim < opposite:
+                        votes[node] = -2.0
+            for node, change in votes.items():
+                weights[node] += change
+            if votes:
+                action = "reinforce" if max(votes.values()) > 0 else "weaken"
+                made.append((keys[0], at, action, sorted(votes)))
+            else:
+                known.append(tags)
+                vectors.append(v.tolist())
+                weights.append(1.0)
+                made.append((keys[0], at, "new", [len(known) - 1]))
+        held.update((known, vectors, weights))
+        yield pd.DataFrame(made, columns=[key, order, "action", "nodes"])
+
+    return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
