@@ -152,7 +152,7 @@ def heuristic_route(spark: SparkSession, folder: str) -> DataFrame:
 WHEN turn % 3 = 1 THEN 'Action: [Search]' || chr(10) || 'Content: ' || text ELSE text END AS r FROM rs),
 s AS (SELECT *, string_split(r, '</think>')[-1] AS tail FROM a)
 SELECT {_IDS}, CASE WHEN regexp_matches(tail, '(?s)Action: \\[(.*)\\].*Content: (.*)') THEN regexp_extract(tail, '(?s)Action: \\[(.*)\\].*Content: (.*)', 1) ELSE 'Search' END AS action,
-CASE WHEN regexp_matches(tail, '(?s)Action: \\[(.*)\\].*Content: (.*)') THEN md5(trim(regexp_extract(tail, '(?s)Action: \\[(.*)\\].*Content: (.*)', 2), ' ')) END AS content FROM s""",
+CASE WHEN regexp_matches(tail, '(?s)Action: \\[(.*)\\].*Content: (.*)') THEN md5(trim(regexp_extract(tail, '(?s)Action: \\[(.*)\\].*Content: (.*)', 2), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) END AS content FROM s""",
 )
 def agent_actions(spark: SparkSession, folder: str) -> DataFrame:
     rows = responses(spark, folder)

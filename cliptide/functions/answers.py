@@ -180,7 +180,7 @@ def agent_action(response: Column) -> Column:
     found = tail.rlike(pattern)
     return F.struct(
         F.when(found, F.regexp_extract(tail, pattern, 1)).otherwise(F.lit("Search")).alias("action"),
-        F.when(found, F.trim(F.regexp_extract(tail, pattern, 2))).alias("content"),
+        F.when(found, X.strip(F.regexp_extract(tail, pattern, 2))).alias("content"),
     )
 
 
@@ -190,9 +190,8 @@ def build_query(question: Column, options: Column) -> Column:
         F.coalesce(options, F.array().cast("array<string>")),
         lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o),
     )
-    return F.trim(
-        F.array_join(F.concat(F.array(F.trim(F.coalesce(question, F.lit("")))), lines), "\n")
-    )
+    asked = X.strip(F.coalesce(question, F.lit("")))
+    return X.strip(F.array_join(F.concat(F.array(asked), lines), "\n"))
 
 
 def token_cost(tokens: Column, usd_per_million: Column) -> Column:

@@ -82,7 +82,7 @@ def open_answer_correct(prediction: Column, gold: Column) -> Column:
 
 def option_parts(text: Column) -> Column:
     """(letter, text) of an answer like ``B`` or ``Answer: B) text``; no letter keeps the whole text."""
-    body = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("*"), F.lit("")))
+    body = X.strip(F.replace(F.coalesce(text, F.lit("")), F.lit("*"), F.lit("")))
     shape = r"(?i)Answer:\s*([A-E])\)?\.?\s*(.*)"
     alone, tagged = body.rlike("(?i)^[A-E]$"), body.rlike(shape)
     return F.struct(
@@ -142,19 +142,35 @@ def float_list(text: Column) -> Column:
 
 
 def plan_steps(text: Column, question: Column) -> Column:
-    """Numbered or dashed plan lines, the question itself if there are none."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda t: F.trim(t))
-    marked = F.filter(lines, lambda t: t.rlike(r"^([0-9]+[.)]|[-*])\s+\S"))
-    steps = F.transform(marked, lambda t: F.regexp_replace(t, r"^([0-9]+[.)]|[-*])\s+", ""))
-    return F.when(F.size(steps) > 0, steps).otherwise(F.array(question))
+    """Steps of a plan: a JSON list, else the lines without their list marks, else the question."""
+    body = X.strip(F.coalesce(text, F.lit("")))
+
+    def kept(items: Column) -> Column:
+        return F.filter(F.transform(items, X.strip), lambda t: t != "")
+
+    is_list = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("ARRAY"), F.lit(False))
+    listed = F.when(is_list, kept(F.from_json(body, "array<string>")))
+    lines = kept(
+        F.transform(F.split(body, "\n"), lambda t: F.regexp_replace(t, r"^\s*(?:[-*]|[0-9]+[.):：-])\s*", ""))
+    )
+    return (
+        F.when(F.size(listed) > 0, listed).when(F.size(lines) > 0, lines).otherwise(F.array(X.strip(question)))
+    )
 
 
 def total_score(text: Column) -> Column:
-    """Number after "total score", else the last number, else zero."""
-    named = F.regexp_extract(text, r"(?i)total[ _]?score[^0-9\-]*(-?[0-9]+(?:\.[0-9]+)?)", 1)
-    numbers = F.regexp_extract_all(text, F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    last = F.when(F.size(numbers) > 0, F.element_at(numbers, -1))
-    return F.coalesce(named.try_cast("double"), last.try_cast("double"), F.lit(0.0))
+    """Number after "total score:", else the sum of all "score:" numbers, else the last number, else zero."""
+    number = r"(-?[0-9]+(?:\.[0-9]+)?)"
+    named = F.regexp_extract(text, rf"(?i)total\s+score\s*[:：]\s*{number}", 1)
+    scores = F.regexp_extract_all(text, F.lit(rf"(?i)\bscore\s*[:：]\s*{number}"), F.lit(1))
+    numbers = F.regexp_extract_all(text, F.lit(number), F.lit(1))
+    summed = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return (
+        F.when(named != "", named.try_cast("double"))
+        .when(F.size(scores) > 0, summed)
+        .when(F.size(numbers) > 0, F.element_at(numbers, -1).try_cast("double"))
+        .otherwise(F.lit(0.0))
+    )
 
 
 def cache_key(value: Column) -> Column:
@@ -201,7 +217,11 @@ def merged_memories(given: Column, extra: Column, mode: str) -> Column:
     return F.array_distinct(joined)
 
 
-def clip_text(texts: Column, limit: int = 1600) -> Column:
-    """Clip text for a reranking prompt, cut to the prompt's length with an ellipsis."""
-    joined = F.array_join(texts, "\n")
-    return F.when(F.length(joined) > limit, F.concat(F.substring(joined, 1, limit), F.lit("..."))).otherwise(joined)
+def clip_text(texts: Column, clip: Column, limit: int = 1600) -> Column:
+    """Clip text for a reranking prompt, cut to the prompt's length; a clip without text is named."""
+    joined = X.strip(F.array_join(F.filter(texts, lambda t: t != ""), "\n"))
+    known = F.when(joined != "", joined).otherwise(
+        F.concat(F.lit("Memory evidence from CLIP_"), clip.cast("string"), F.lit("."))
+    )
+    cut = F.concat(F.rtrim(F.substring(known, 1, limit)), F.lit("..."))
+    return F.when(F.length(known) > limit, cut).otherwise(known)

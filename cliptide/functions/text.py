@@ -28,6 +28,11 @@ def content_tokens(text: Column) -> Column:
     return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
+def strip(text: Column) -> Column:
+    """Outer blanks, tabs and line breaks removed."""
+    return F.btrim(text, F.lit(" \t\n\r\f\u000b"))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \t\n\r\f\u000b]+", " "))
 
@@ -65,7 +70,7 @@ def text_key(text: Column) -> Column:
 def clean_newlines(text: Column) -> Column:
     """Unix line ends, at most one blank line in a row, trimmed."""
     unix = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n")
-    return F.trim(F.regexp_replace(unix, "\n{3,}", "\n\n"))
+    return F.regexp_replace(strip(unix), "\n{3,}", "\n\n")
 
 
 def letter_profile(text: Column) -> Column:

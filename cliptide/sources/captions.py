@@ -87,10 +87,14 @@ def look_back_captions(
     return ended.withColumn("time_label", F.concat(clock(F.col(stamp)), F.lit(" --> "), clock(F.col("next_stamp")))).drop("cell", "__s")
 
 
-def clean_caption(text: Column) -> Column:
-    """Drop the transcript tail and the first label, squeeze blanks."""
-    visual = F.get(F.split(text, "(?i)asr:|transcript:"), 0)
-    return X.squeeze(F.regexp_replace(visual, "^[^:\n]{0,40}:", ""))
+def clean_caption(text: Column, keep_transcript: bool = False) -> Column:
+    """One line per clip: no transcript tail, no leading label, single blanks."""
+    shown = text if keep_transcript else F.substring_index(text, "ASR transcript:", 1)
+    place = F.instr(shown, F.lit("Visual caption:"))
+    without = F.concat(
+        F.substring(shown, F.lit(1), place - 1), F.substring(shown, place + len("Visual caption:"), F.length(shown))
+    )
+    return X.squeeze(F.when(place > 0, without).otherwise(shown))
 
 
 def memory_documents(

@@ -32,13 +32,17 @@ def test_reply_parsers(spark):
     assert one(spark, F.to_json(P.json_payload(F.lit('sure: {"a": [2]} ok')))) == '{"a":[2]}'
     assert one(spark, P.json_payload(F.lit("nothing"))) is None
     assert one(spark, P.float_list(F.lit("0.5, 2, x, -1, 0.5"))) == [1e-6, 0.5, 1.0]
-    assert one(spark, P.plan_steps(F.lit("1. look\n2) wait\nnoise"), F.lit("q"))) == ["look", "wait"]
-    assert one(spark, P.plan_steps(F.lit("none"), F.lit("q"))) == ["q"]
-    assert one(spark, P.total_score(F.lit("Total score: 7.5 of 10"))) == 7.5 and one(spark, P.total_score(F.lit("-"))) == 0.0
+    assert one(spark, P.plan_steps(F.lit("1. look\n2) wait\n\n- go"), F.lit("q"))) == ["look", "wait", "go"]
+    assert one(spark, P.plan_steps(F.lit('["a", " "]'), F.lit("q"))) == ["a"]
+    assert one(spark, P.plan_steps(F.lit(" "), F.lit("q"))) == ["q"]
+    score = lambda t: one(spark, P.total_score(F.lit(t)))
+    assert score("score: 2, Total score: 7.5 of 10") == 7.5 and score("score: 2; score: 3") == 5.0
+    assert score("about 4 or 6") == 6.0 and score("-") == 0.0
     assert one(spark, P.detail_text(F.lit('["a", " ", "b"]'))) == "a b" and one(spark, P.detail_text(F.lit('{"x": "c"}'))) == "c"
     assert one(spark, P.subset_name(F.lit("test_Art_History_12"))) == "Art_History"
     assert one(spark, P.merged_memories(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a")), "prepend")) == ["b", "a"]
-    assert one(spark, P.clip_text(F.array(F.lit("x" * 10)), 4)) == "xxxx..."
+    assert one(spark, P.clip_text(F.array(F.lit("x" * 10)), F.lit(3), 4)) == "xxxx..."
+    assert one(spark, P.clip_text(F.array(F.lit("")), F.lit(3))) == "Memory evidence from CLIP_3."
     assert len(one(spark, P.cache_key(F.struct(F.lit(1))))) == 40
 
 
@@ -151,3 +155,22 @@ def test_memory_upsert_stream(spark, tmp_path):
     assert got == {
         1: ("new", [0]), 2: ("reinforce", [0]), 3: ("new", [1]), 4: ("weaken", [0]), 5: ("weaken", [0]), 6: ("new", [2]), 7: ("new", [3]),
     }
+
+
+def test_prompts_and_search_results(spark):
+    from cliptide.plans import prompts
+    from cliptide.sources import captions
+
+    row = spark.createDataFrame(
+        [("q?", ["x", "y"], "sub", "cap", "aud")], "question string, options array<string>, subtitle string, caption string, audio_captions string"
+    )
+    text = row.select(prompts.prompt("standard")).first()[0]
+    assert text.index("sub") < text.index("cap") < text.index("q?") < text.index("A: x\nB: y")
+    assert "aud" in row.select(prompts.prompt("standard_with_audio")).first()[0]
+    assert "A: x" not in row.select(prompts.prompt("open-ended")).first()[0]
+    with pytest.raises(ValueError):
+        prompts.prompt("nothing")
+    found = spark.createDataFrame([(1, 10, "b"), (1, 2, "a"), (1, 2, "c")], "id int, clip_id bigint, text string")
+    placed = found.withColumn("seq", F.lit(1))
+    assert prompts.search_results(placed, ["id"], "clip_id", "seq", "text").first().result == '{"CLIP_2":["a","c"],"CLIP_10":["b"]}'
+    assert one(spark, captions.clean_caption(F.lit("Visual caption: a  cat\nruns ASR transcript: hi"))) == "a cat runs"
