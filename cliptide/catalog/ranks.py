@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cliptide.catalog.registry import big, digits, query, table, text_table
 from cliptide.catalog.selection import scored_vectors
-from cliptide.catalog.sqlparts import SCORED, mmr_ctes
+from cliptide.catalog.sqlparts import SCORED, mmr_ctes, unit
+from cliptide.catalog.texts import sql_answer_tokens
 from cliptide.functions import answers as R
+from cliptide.functions import text as X
 from cliptide.functions import vectors as V
-from cliptide.operators import coverage, depth, mmr, ranking, scoring
+from cliptide.operators import coverage, depth, lexical, mmr, ranking, scoring
 from cliptide.plans import select
 
 
@@ -281,3 +283,83 @@ def policy_select(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         big("label"), big("selected_k"), (F.col("place") + 1).cast("bigint").alias("position"), F.col("item.clip_id").alias("clip_id")
     )
+
+
+_SEARCH = f"""WITH {SCORED}, qc AS (SELECT label, v[1] > 0 AS side, p, avg(v[p]) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS p FROM emb) GROUP BY ALL),
+qr AS (SELECT label, side, list(x ORDER BY p) AS c FROM qc GROUP BY label, side), q AS (SELECT label, side, {unit('c')} AS c FROM qr),
+s AS (SELECT u.label, u.vec_id // 8 AS clip, u.vec_id, q.side, round(list_dot_product(u.v, q.c), 9) AS sim FROM unitv u JOIN q USING (label))"""
+_REDUCE = {
+    "max": "SELECT label, clip, max(sim) AS sc FROM s GROUP BY label, clip",
+    "min": "SELECT label, clip, min(sim) AS sc FROM s GROUP BY label, clip",
+    "mean": "SELECT label, clip, avg(sim) AS sc FROM s GROUP BY label, clip",
+    "sum": "SELECT label, clip, sum(m) AS sc FROM (SELECT label, clip, side, avg(sim) AS m FROM s GROUP BY label, clip, side) GROUP BY label, clip",
+}
+for _mode in _REDUCE:
+
+    def _build(spark: SparkSession, folder: str, mode: str = _mode) -> DataFrame:
+        """Clips of a label searched with the mean vectors of its two halves."""
+        rows = table(spark, folder, "embeddings").withColumn("side", F.get("embedding", F.lit(0)) > 0)
+        queries = scoring.centroid(rows, ["label", "side"], "embedding")
+        nodes = rows.select("label", F.expr("vec_id div 8").alias("clip_id"), "embedding")
+        found = scoring.search_nodes(nodes, queries, ["label"], ["clip_id"], "embedding", "query_vector", mode)
+        return found.select(big("label"), big("clip_id"), digits("score"))
+
+    query(
+        f"node_search_{_mode}",
+        f"{_SEARCH} SELECT CAST(label AS BIGINT) AS label, CAST(clip AS BIGINT) AS clip_id, round(sc, 6) + 0.0 AS score FROM ({_REDUCE[_mode]})",
+    )(_build)
+
+
+def _pairwise_steps(steps: int, lam: float) -> str:
+    """Greedy steps over ``pool(item_id, doc_id, ix, rel)`` with similarities looked up in ``sims``."""
+    parts = [
+        "st1 AS (SELECT item_id, doc_id, ix, r, -1e300 AS red, r AS sc FROM (SELECT *, round(CASE WHEN hi > lo THEN (rel - lo) / (hi - lo) ELSE 1.0 END, 9) AS r "
+        "FROM (SELECT *, min(rel) OVER (PARTITION BY item_id) AS lo, max(rel) OVER (PARTITION BY item_id) AS hi FROM pool)))"
+    ]
+    for i in range(1, steps + 1):
+        if i > 1:
+            parts.append(
+                f"st{i} AS (SELECT item_id, doc_id, ix, r, red, round({lam} * r - {round(1 - lam, 10)} * red, 9) AS sc FROM (SELECT p.item_id, p.doc_id, p.ix, p.r, "
+                f"greatest(p.red, round(coalesce(m.s, 0.0), 9)) AS red FROM st{i - 1} p JOIN pick{i - 1} k USING (item_id) LEFT JOIN sims m ON m.item_id = p.item_id "
+                f"AND m.a = p.doc_id AND m.b = k.doc_id WHERE p.ix <> k.ix))"
+            )
+        parts.append(
+            f"pick{i} AS MATERIALIZED (SELECT * FROM st{i} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sc DESC, ix) = 1)"
+        )
+    parts.append(
+        "trace AS (" + " UNION ALL ".join(f"SELECT item_id, {i} AS rank, doc_id, sc FROM pick{i}" for i in range(1, steps + 1)) + ")"
+    )
+    return ", ".join(parts)
+
+
+@query(
+    "bm25_diverse",
+    f"""WITH d AS (SELECT doc_id, {sql_answer_tokens('text')} AS tk FROM documents), dl AS (SELECT doc_id, len(tk) AS l FROM d),
+dt AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS t FROM d) GROUP BY doc_id, t),
+q AS (SELECT item_id, t, count(*) AS qtf FROM (SELECT item_id, unnest({sql_answer_tokens('text')}) AS t FROM benchmark) GROUP BY item_id, t),
+df AS (SELECT t, count(*) AS df FROM dt GROUP BY t), sz AS (SELECT count(*) AS n, avg(l) AS a FROM dl),
+sc AS (SELECT q.item_id, dt.doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 9) AS rel
+       FROM q JOIN dt ON dt.t = q.t JOIN df ON df.t = q.t JOIN dl ON dl.doc_id = dt.doc_id, sz GROUP BY q.item_id, dt.doc_id),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rel DESC, doc_id DESC) AS ix FROM sc WHERE rel > 0) WHERE ix <= 20),
+nm AS (SELECT doc_id, sqrt(sum(tf * tf)) AS nm FROM dt GROUP BY doc_id),
+sims AS (SELECT x.item_id, x.doc_id AS a, y.doc_id AS b, sum(p.tf * r.tf) / any_value(nx.nm) / any_value(ny.nm) AS s FROM pool x JOIN pool y ON y.item_id = x.item_id AND y.doc_id <> x.doc_id
+         JOIN dt p ON p.doc_id = x.doc_id JOIN dt r ON r.doc_id = y.doc_id AND r.t = p.t JOIN nm nx ON nx.doc_id = x.doc_id JOIN nm ny ON ny.doc_id = y.doc_id GROUP BY x.item_id, x.doc_id, y.doc_id),
+{_pairwise_steps(5, 0.75)}
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(rank AS BIGINT) AS rank, CAST(doc_id AS BIGINT) AS doc_id, round(sc, 6) + 0.0 AS score FROM trace""",
+)
+def bm25_diverse(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 pool of twenty per question, reordered by word-count diversity."""
+    docs = text_table(spark, folder, "documents").select("doc_id", X.answer_tokens(F.col("text")).alias("tokens"))
+    items = text_table(spark, folder, "benchmark").select("item_id", X.answer_tokens(F.col("text")).alias("tokens"))
+    best = lexical.bm25_top(docs, items, "doc_id", "item_id", "tokens", 20)
+    pool = best.join(docs, "doc_id").select(
+        "item_id",
+        F.col("rank").alias("pos"),
+        F.col("doc_id").cast("string").alias("clip_id"),
+        F.col("score").alias("relevance"),
+        "tokens",
+    )
+    trace = mmr.greedy_prefix(pool, ["item_id"], 5, 0.75, relevance_mode="minmax_one", tie="first", bags="tokens")
+    return trace.select(
+        big("item_id"), big("rank"), F.col("clip_id").cast("bigint").alias("doc_id"), (F.round("marginal", 6) + 0.0).alias("score")
+    )

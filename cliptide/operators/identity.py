@@ -141,3 +141,16 @@ def query_variants(queries: DataFrame, members: DataFrame, graph: list[str], key
             "__variants", F.slice(F.when(F.col("aliases").isNotNull(), grown).otherwise(F.col("__variants")), 1, limit)
         ).drop("aliases", "character_tag")
     return rows.select(*graph, *key, F.posexplode("__variants").alias("variant", text))
+
+
+def resolve_nodes(
+    items: DataFrame, known: DataFrame, matches: DataFrame, graph: list[str], item: str, content: str, node: str
+) -> DataFrame:
+    """Node of each item: the node that holds exactly its content, else its confident vector match.
+
+    ``known``: (graph, content, node). ``matches``: (graph, item, node) that passed the margin.
+    """
+    exact = known.groupBy(*graph, content).agg(F.min(node).alias("__exact"))
+    near = matches.select(*graph, item, F.col(node).alias("__near"))
+    joined = items.join(exact, [*graph, content], "left").join(near, [*graph, item], "left")
+    return joined.withColumn(node, F.coalesce("__exact", "__near")).drop("__exact", "__near")

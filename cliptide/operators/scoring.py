@@ -83,3 +83,33 @@ def average_similarity(
     both = mean_unit(left, left_key, "left_mean").join(mean_unit(right, right_key, "right_mean"), on)
     score = F.round(V.dot(F.col("left_mean"), F.col("right_mean")), V.SCORE_DIGITS) + F.lit(0.0)
     return both.withColumn("similarity", score).drop("left_mean", "right_mean")
+
+
+#: Fixed value: a question is searched with at most this many rewritten variants.
+QUERY_VARIANTS = 100
+
+
+def search_nodes(
+    nodes: DataFrame, queries: DataFrame, scope: list[str], node: list[str], vector: str, query_vector: str, mode: str = "max"
+) -> DataFrame:
+    """Score nodes that own several vectors against a question with several query vectors.
+
+    ``max``, ``min`` and ``mean`` run over all (query, vector) cosines; ``sum`` averages over a
+    node's vectors and adds up the queries. ``queries`` holds at most ``QUERY_VARIANTS`` rows per
+    scope; they are packed into one row, so a node vector is read once and no pair is emitted.
+    """
+    per_row = {
+        "max": (F.array_max, F.max),
+        "min": (F.array_min, F.min),
+        "mean": (lambda sims: F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / F.size(sims), F.avg),
+        "sum": (lambda sims: F.aggregate(sims, F.lit(0.0), lambda a, x: a + x), F.avg),
+    }
+    if mode not in per_row:
+        raise ValueError(f"unknown search mode: {mode}")
+    reduce_row, reduce_node = per_row[mode]
+    packed = queries.groupBy(*scope).agg(F.collect_list(V.normalize(F.col(query_vector))).alias("__queries"))
+    stored = broadcast_when_small(cut_lineage(packed), QUERY_BYTES * QUERY_VARIANTS)
+    joined = nodes.join(stored, scope).withColumn("__v", V.normalize(F.col(vector)))
+    sims = F.transform("__queries", lambda q: F.round(V.dot(F.col("__v"), q), V.SCORE_DIGITS))
+    scored = joined.withColumn("__score", reduce_row(sims))
+    return scored.groupBy(*scope, *[n for n in node if n not in scope]).agg(reduce_node("__score").alias("score"))

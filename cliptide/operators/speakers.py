@@ -158,9 +158,3 @@ def cluster_small(chunks: DataFrame, keys: list[str], order: str, vector: str, f
 
 def large_recordings(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.count("*").alias("chunks")).filter(F.col("chunks") >= SMALL_RECORDING)
-
-
-def recent_best(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
-    """Best row per key by score, the lowest ``tie`` among equals."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
-    return df.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliptide.functions import text as X
 from cliptide.functions import times
-from cliptide.operators import intervals
+from cliptide.operators import carry, intervals
 from cliptide.sources import subtitles
 from cliptide.sources.lines import read_files, to_lines
 
@@ -49,9 +49,9 @@ def keyed_json_captions(spark: SparkSession, path: str, sections: list[str], str
         F.get(F.split("name", "[.]"), 0).cast("bigint").alias("number"),
         F.concat_ws("\n", *pieces).alias("text"),
     )
-    order = Window.partitionBy("video_id").orderBy("number")
-    # one row per clip of one video: the window's partition is a video's clip list
-    placed = rows.withColumn("n", F.row_number().over(order) - 1).filter(F.col("n") % stride == 0)
+    chunk = carry.chunk_if_hot(rows, ["video_id"], F.floor(F.col("number") / 4096))
+    numbered = carry.position(rows, ["video_id"], ["number"], chunk, "n").withColumn("n", F.col("n") - 1)
+    placed = numbered.filter(F.col("n") % stride == 0)
     start = F.col("n").cast("double") * clip_length
     return placed.select(
         "video_id", (F.col("n") / stride).cast("bigint").alias("index"), start.alias("start"), (start + clip_length).alias("end"), "text"

@@ -286,3 +286,51 @@ def test_saturation_stops_and_roles_cover(spark):
 def test_average_linkage():
     v = np.array([[1.0, 0], [0.99, 0.1], [0, 1.0], [0.05, 0.99], [-1.0, 0]])
     assert speakers._average_linkage(v, 0.4).tolist() == [0, 0, 1, 1, 2]
+
+
+def test_split_overlaps_against_a_plain_loop(spark):
+    rng = np.random.default_rng(11)
+    rows, at = [], 0.0
+    for i in range(300):
+        at = round(at + float(rng.integers(0, 4)), 1)
+        rows.append((1, i, at, at + float(rng.integers(1, 4)), int(rng.integers(0, 2))))
+    df = spark.createDataFrame(rows, "r int, id int, start double, end double, speaker bigint")
+    got = sorted((x.start, x.end, x.speaker) for x in speakers.split_overlaps(df, ["r"], "id", F.floor(F.col("start") / 10)).collect())
+    want = []
+    for _, _, start, end, who in sorted(rows, key=lambda x: (x[2], x[1])):
+        if want and who == want[-1][2] and start <= want[-1][1]:
+            want[-1][1] = end
+        else:
+            if want and start < want[-1][1]:
+                want[-1][1] = start = (want[-1][1] + start) / 2
+            want.append([start, end, who])
+    assert got == sorted(map(tuple, want))
+
+
+def test_resolve_nodes(spark):
+    from cliptide.operators import identity as I
+
+    items = spark.createDataFrame([(0, 1, "x"), (0, 2, "y"), (0, 3, "z")], "g int, i int, c string")
+    known = spark.createDataFrame([(0, "x", 7), (0, "x", 5)], "g int, c string, n int")
+    near = spark.createDataFrame([(0, 1, 9), (0, 2, 8)], "g int, i int, n int")
+    out = I.resolve_nodes(items, known, near, ["g"], "i", "c", "n")
+    assert {r.i: r.n for r in out.collect()} == {1: 5, 2: 8, 3: None}
+
+
+def test_strongest_and_verified_links(spark):
+    links = spark.createDataFrame([(0, 1, 2.0, 9, True), (0, 1, 2.0, 4, True), (0, 1, 1.0, 3, False)], "g int, v int, w double, n int, face boolean")
+    kept = G.strongest_equivalence(links, ["g", "v"], "w", "n", F.col("face"))
+    assert sorted(r.n for r in kept.collect()) == [3, 4]
+
+
+def test_bm25_matrix_and_join_agree(spark, monkeypatch):
+    from cliptide.operators import lexical
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, [words[int(j)] for j in rng.integers(0, 30, int(rng.integers(0, 15)))]) for i in range(80)], "d bigint, t array<string>")
+    asked = spark.createDataFrame([(i, [words[int(j)] for j in rng.integers(0, 30, 4)]) for i in range(6)], "q bigint, t array<string>")
+    run = lambda: {(r.q, r.d, r.rank, r.score) for r in lexical.bm25_top(docs, asked, "d", "q", "t", 5).collect()}
+    by_matrix = run()
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 0)
+    assert run() == by_matrix and by_matrix
