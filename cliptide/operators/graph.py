@@ -94,30 +94,41 @@ def strongest_equivalence(
     )
 
 
+def _all_stars(pairs: DataFrame, graph: list[str]) -> bool:
+    """True when every node hangs on one root and no root hangs on anything."""
+    ends = pairs.select(
+        *graph, F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("n"), F.lit(0).alias("hangs")))).alias("e")
+    ).select(*graph, "e.*")
+    roles = ends.groupBy(*graph, "n").agg(F.sum("hangs").alias("up"), F.min("hangs").alias("least"))
+    return roles.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("least") == 0))).isEmpty()
+
+
 def connected_components(edges: DataFrame, graph: list[str], max_rounds: int = 60) -> DataFrame:
     """Smallest node id of each node's component, by alternating star contraction.
 
     Each round hooks every node to the smallest id it can see; both halves aggregate per node
     with a map-side minimum. The edge set is cut to the checkpoint folder per round and the loop
-    ends when a fingerprint of it stops changing.
+    ends as soon as only stars are left.
     """
     pairs = edges.filter(F.col("src") != F.col("dst")).select(
         *graph, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     ).distinct()
     pairs = cut_lineage(pairs)
-
-    def fingerprint(df: DataFrame) -> tuple:
-        row = df.agg(
-            F.count("*"), F.sum(F.xxhash64(*graph, "u", "v").cast("decimal(38,0)"))
-        ).first()
-        return tuple(row)
-
-    mark = fingerprint(pairs)
-    for _ in range(max_rounds):
+    rounds = 0
+    while not _all_stars(pairs, graph):
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
         both = pairs.unionByName(pairs.select(*graph, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*graph, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, [*graph, "u"]).filter("v > u").select(*graph, F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        low = both.groupBy(*graph, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = (
+            both.filter("v > u")
+            .join(low, [*graph, "u"])
+            .select(*graph, F.col("v").alias("u"), F.col("m").alias("v"))
+            .filter("u <> v")
+            .distinct()
+        )
+        large = cut_lineage(large)
         below = large.groupBy(*graph, "u").agg(F.min("v").alias("m"))
         small = (
             large.join(below, [*graph, "u"])
@@ -126,16 +137,8 @@ def connected_components(edges: DataFrame, graph: list[str], max_rounds: int = 6
             .distinct()
         )
         pairs = cut_lineage(small)
-        now = fingerprint(pairs)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = pairs.select(*graph, F.col("v").alias("u"), "v").distinct()
-    return pairs.unionByName(roots).distinct().select(
-        *graph, F.col("u").alias("node_id"), F.col("v").alias("root")
-    )
+    return pairs.unionByName(roots).select(*graph, F.col("u").alias("node_id"), F.col("v").alias("root"))
 
 
 def number_groups(
