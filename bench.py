@@ -14,7 +14,7 @@ from cliptide.catalog import QUERIES  # noqa: E402
 from cliptide.session import get_session  # noqa: E402
 
 HEADLINE = [
-    "deck_select",
+    "evidence_select",
     "mmr_prefix",
     "node_aggregate",
     "graph_select",

@@ -59,7 +59,7 @@ chosen AS (SELECT p.label, CASE WHEN b.k IS NULL THEN least({max_k}, p.n)
 
 
 @query(
-    "deck_select",
+    "evidence_select",
     f"""WITH {SCORED}, {mmr_ctes(9, 0.85)}, {depth_sql()},
 kept AS (SELECT t.label, t.rank, t.clip_id, s.st, s.rel, c.k, c.reason FROM trace t JOIN chosen c USING (label)
          JOIN scored s ON s.label = t.label AND s.clip_id = t.clip_id WHERE t.rank <= c.k)
@@ -68,7 +68,7 @@ SELECT CAST(label AS BIGINT) AS label, CAST(k AS BIGINT) AS selected_k, reason A
        clip_id, CAST(rank AS BIGINT) AS mmr_rank, round(rel, 6) + 0.0 AS relevance, st AS start
 FROM kept""",
 )
-def deck_select(spark: SparkSession, folder: str) -> DataFrame:
+def evidence_select(spark: SparkSession, folder: str) -> DataFrame:
     chosen = select.select_evidence(scored_vectors(spark, folder), ["label"], select.STANDALONE)
     rows = chosen.select(
         "label", "selected_k", "stop_reason", F.posexplode("selected").alias("place", "item")

@@ -9,13 +9,16 @@ from typing import Any
 from cliptide.operators.nodes import NodeSettings
 from cliptide.plans.select import STANDALONE, SelectionPlan
 
+# Method names that settings files may carry; both mean the calibrated depth.
+METHODS = ("calibrated", "deck")
+
 
 @dataclass(frozen=True)
 class Experiment:
     """A named selector run. ``nodes`` is None when records may not hold memory nodes."""
 
-    name: str = "deck"
-    method: str = "deck"
+    name: str = "calibrated"
+    method: str = "calibrated"
     plan: SelectionPlan = STANDALONE
     nodes: NodeSettings | None = None
     extra: dict[str, Any] = field(default_factory=dict)
@@ -43,7 +46,7 @@ def from_mapping(value: dict[str, Any]) -> Experiment:
     if "leader_weights" in structured:
         structured["leader_weights"] = tuple(float(w) for w in structured["leader_weights"])
     settings = NodeSettings(**structured)
-    name, method = data.pop("name", "deck"), data.pop("method", "deck")
+    name, method = data.pop("name", "calibrated"), data.pop("method", "calibrated")
     if "lambda" in data:
         data["lambda_"] = data.pop("lambda")
     order = "time" if data.pop("temporal_output", True) else "rank"
@@ -58,7 +61,7 @@ def from_mapping(value: dict[str, Any]) -> Experiment:
 def check(method: str, plan: SelectionPlan) -> None:
     """Raise ValueError for settings outside their range."""
     rules = [
-        (method == "deck", "the only method is 'deck'"),
+        (method in METHODS, f"the method must be one of {METHODS}"),
         (plan.candidate_pool > 0, "candidate_pool must be positive"),
         (0 < plan.min_k <= plan.max_k, "expected 0 < min_k <= max_k"),
         (1 <= plan.start_k <= plan.max_k, "start_k must lie between 1 and max_k"),

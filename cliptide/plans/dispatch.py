@@ -13,8 +13,8 @@ from cliptide.plans import select
 #: Rank-based selectors, and the depth policy behind each curve-based one.
 TOP = {"topk", "fixed", "adaptiverag"}
 CURVE_SELECTORS = {
-    "deck": "caption_host",
-    "relret": "relative_retention_survival",
+    "calibrated": "caption_host",
+    "retention": "relative_retention_survival",
     "delta_root": "raw_mmr_delta_root_legacy",
     "mmr": "top_k",
 }
@@ -22,7 +22,7 @@ CURVE_SELECTORS = {
 
 @dataclass(frozen=True)
 class CaptionSettings:
-    selector: str = "deck"
+    selector: str = "calibrated"
     pool: int = 200
     min_k: int = 2
     max_k: int = 8

@@ -82,11 +82,11 @@ def test_caption_selectors(spark):
     for name, want in (("topk", 3), ("adaptiverag", 2), ("adaptivek", 3), ("mmr", 3)):
         s = dispatch.CaptionSettings(name, max_k=3)
         assert dispatch.select_captions(scored(spark), ["q"], s, labels).count() == want, name
-    for name in ("deck", "relret", "delta_root"):
+    for name in ("calibrated", "retention", "delta_root"):
         n = dispatch.select_captions(scored(spark), ["q"], dispatch.CaptionSettings(name, max_k=3)).count()
         assert 2 <= n <= 3
     with pytest.raises(ValueError):
-        dispatch.select_captions(scored(spark), ["q"], dispatch.CaptionSettings("no"))
+        dispatch.select_captions(scored(spark), ["q"], dispatch.CaptionSettings("unheard-of"))
 
 
 def test_graph_selectors(spark):
