@@ -6,8 +6,6 @@ monotone curve). ``trace``: the greedy marginal scores of each label's pool.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
