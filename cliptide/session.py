@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,23 @@ def get_session(app_name: str = "cliptide", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's source to the workers, once per application, so that folds can be unpickled anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_cliptide_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    folder = tempfile.mkdtemp(prefix="cliptide-package-")
+    name = os.path.join(folder, "cliptide.zip")
+    Path(name).write_bytes(packed.getvalue())
+    context.addPyFile(name)
+    context._cliptide_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; fall back to a folder only in local mode."""
     context = spark.sparkContext
