@@ -57,9 +57,14 @@ def text_or_empty() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def tie() -> Column:
+    """Digest that tells texts under one id apart; null counts as empty."""
+    return F.xxhash64(text_or_empty())
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(id, tie, text): rows with equal ids and texts are one document, other texts under an id are others."""
-    return docs.select(doc_id().alias("id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    return docs.select(doc_id().alias("id"), tie().alias("tie"), text_or_empty().alias("text"))
 
 
 def remainder(parts: int) -> Column:

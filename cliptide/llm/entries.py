@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cliptide.llm import licenses, mixing, toxicity
+from cliptide.llm import licenses, linedup, mixing, toxicity
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,11 @@ def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op6_line_dedup", linedup.SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return linedup.dedup(docs).select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5")
+    )
