@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import licenses, linedup, mixing, toxicity
+from cliptide.llm import licenses, linedup, mixing, toxicity, unitdedup
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linedup.dedup(docs).select(
         "doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5")
     )
+
+
+@query("op4_unit_dedup")
+def unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return unitdedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
