@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import licenses, linedup, mixing, toxicity, unitdedup
+from cliptide.llm import jaccard, licenses, linedup, mixing, toxicity, unitdedup
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_unit_dedup")
 def unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return unitdedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op9_jaccard_join")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
