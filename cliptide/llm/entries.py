@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import jaccard, licenses, linedup, mixing, toxicity, unitdedup
+from cliptide.llm import decontaminate, jaccard, licenses, linedup, mixing, toxicity, unitdedup
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def unit_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jaccard_join")
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_decontaminate")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, folder, "benchmark"))
