@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, jaccard, licenses, linedup, mixing, toxicity, unitdedup
+from cliptide.llm import decontaminate, jaccard, licenses, linedup, mixing, pivots, toxicity, unitdedup
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, table(spark, folder, "benchmark"))
+
+
+@query("op5_pivot_index")
+def pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"))
