@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, jaccard, licenses, linedup, mixing, pivots, toxicity, unitdedup
+from cliptide.llm import decontaminate, jaccard, licenses, linedup, mixing, pivots, ppm, toxicity, unitdedup
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_pivot_index")
 def pivot_index(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op2_ppm_score")
+def ppm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score(table(spark, folder, "documents").select("doc_id", "text"))
