@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, keep: list[str] | None = None
 ) -> DataFrame:
-    """Copies of each document in the mix: (doc_id, size, source_size, target, copies, taken, *keep).
+    """Copies of each document in the mix: (doc_id, size, source_size, target, copies, taken, row); row holds the columns ``keep``.
 
     Within a source the documents stand largest first, ties by id. Each is expected
     ``target / source_size`` times, so the expected copies up to a document are its place times that
@@ -61,10 +61,9 @@ def mix(
     over many tasks. Null texts and texts without words have size 0 and are never taken in words;
     a null source is a source; repeated rows are documents of their own; an empty table gives none.
     """
-    keep = keep or []
+    kept = F.struct(*keep) if keep else F.lit(None).cast("int")
     sized = docs.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), words(F.col("text")).alias("__size"),
-        *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)],
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), words(F.col("text")).alias("__size"), kept.alias("__row")
     )
     order = [F.col("__source").asc_nulls_last(), F.col("__size").desc(), F.col("__id").asc_nulls_last()]
     placed = positioned(sized, order)
@@ -83,7 +82,7 @@ def mix(
         .select(
             F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "copies",
             (F.col("copies") * F.col("__size")).cast("bigint").alias("taken"),
-            *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)],
+            F.col("__row").alias("row"),
         )
     )
 
