@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, jaccard, licenses, linedup, mixing, pivots, ppm, toxicity, unitdedup
+from cliptide.llm import decontaminate, jaccard, licenses, linedup, longrepeats, mixing, pivots, ppm, toxicity, unitdedup
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def pivot_index(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_ppm_score")
 def ppm_score(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op7_long_repeats")
+def long_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return longrepeats.remove(docs).drop("spans")
