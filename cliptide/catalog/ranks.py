@@ -176,14 +176,14 @@ def lambda_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """Pool per label whose clips carry the text of the document with the same id."""
+    """Pool per label whose clips carry the text of the document with the same id, or no text."""
     pool = scoring.candidate_pool(scored_vectors(spark, folder), ["label"], 200)
     tokens = text_table(spark, folder, "documents").select(
         F.col("doc_id").alias("vec_id"), coverage.evidence_tokens(F.col("text")).alias("tokens")
     )
-    return pool.join(tokens, "vec_id").select(
-        "label", "pos", "vec_id", "relevance", "vector", "tokens.entities", "tokens.words", "tokens.actions"
-    )
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(f"tokens.{p}", none).alias(p) for p in ("entities", "words", "actions")]
+    return pool.join(tokens, "vec_id", "left").select("label", "pos", "vec_id", "relevance", "vector", *parts)
 
 
 @query("evidence_saturation")

@@ -137,11 +137,19 @@ def utterance_means(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("speaker_clusters")
+@query(
+    "speaker_clusters",
+    f"""WITH RECURSIVE {SCORED}, pr AS (SELECT a.label, a.vec_id AS x, b.vec_id AS y FROM unitv a JOIN unitv b ON a.label = b.label AND a.vec_id <> b.vec_id
+AND round(list_dot_product(a.v, b.v), 9) >= 0.4),
+re(label, x, y) AS (SELECT label, vec_id, vec_id FROM unitv UNION SELECT r.label, r.x, p.y FROM re r JOIN pr p ON p.label = r.label AND p.x = r.y),
+roots AS (SELECT label, x, min(y) AS root FROM re GROUP BY label, x)
+SELECT CAST(label AS BIGINT) AS label, CAST(x AS BIGINT) AS vec_id, CAST(dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS BIGINT) AS speaker FROM roots""",
+)
 def speaker_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "embeddings").select("label", F.expr("vec_id div 80").alias("part"), "vec_id", "embedding")
-    out = P.cluster_small(chunks, ["label", "part"], "vec_id", "embedding", 0.05)
-    return out.select(big("label"), big("part"), big("vec_id"), big("speaker"))
+    """Each label is a recording of any length."""
+    chunks = table(spark, folder, "embeddings").select("label", "vec_id", "embedding")
+    out = P.cluster_recordings(chunks, ["label"], "vec_id", "embedding", 0.4)
+    return out.select(big("label"), big("vec_id"), big("speaker"))
 
 
 @query("split_overlaps")

@@ -75,7 +75,7 @@ CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS BIGIN
 def tfidf_rank(spark: SparkSession, folder: str) -> DataFrame:
     docs, questions = turn_questions(spark, folder)
     scored = lexical.tfidf_scores(docs, questions, ["conv_id"], "turn", "tokens")
-    ranked = lexical.ranked_pool(scored, ["conv_id"], F.col("turn").cast("double"), "turn")
+    ranked = lexical.ranked_all(scored, ["conv_id"], F.col("turn").cast("double"), "turn")
     return ranked.select(big("conv_id"), big("turn"), digits("score"), big("rank"))
 
 
@@ -109,7 +109,7 @@ def hybrid_rank(spark: SparkSession, folder: str) -> DataFrame:
         F.round(V.cosine(X.letter_profile(F.col("text")), F.col("query_vector")), V.SCORE_DIGITS),
     )
     blended = lexical.hybrid_scores(dense, ["conv_id"], "dense", "sparse", 0.7)
-    ranked = lexical.ranked_pool(blended, ["conv_id"], F.col("turn").cast("double"), "turn")
+    ranked = lexical.ranked_all(blended, ["conv_id"], F.col("turn").cast("double"), "turn")
     return ranked.select(big("conv_id"), big("turn"), digits("score"), big("rank"))
 
 

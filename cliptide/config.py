@@ -9,8 +9,8 @@ from typing import Any
 from cliptide.operators.nodes import NodeSettings
 from cliptide.plans.select import STANDALONE, SelectionPlan
 
-# Method names that settings files may carry; both mean the calibrated depth.
-METHODS = ("calibrated", "deck")
+#: Method names that settings files may carry.
+METHODS = ("calibrated",)
 
 
 @dataclass(frozen=True)

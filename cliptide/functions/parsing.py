@@ -217,11 +217,13 @@ def merged_memories(given: Column, extra: Column, mode: str) -> Column:
     return F.array_distinct(joined)
 
 
-def clip_text(texts: Column, clip: Column, limit: int = 1600) -> Column:
-    """Clip text for a reranking prompt, cut to the prompt's length; a clip without text is named."""
+def clip_text(texts: Column, clip: Column, limit: int | None = None) -> Column:
+    """Clip text for a reranking prompt, cut to ``limit`` characters if one is given; a clip without text is named."""
     joined = X.strip(F.array_join(F.filter(texts, lambda t: t != ""), "\n"))
     known = F.when(joined != "", joined).otherwise(
         F.concat(F.lit("Memory evidence from CLIP_"), clip.cast("string"), F.lit("."))
     )
+    if limit is None:
+        return known
     cut = F.concat(F.rtrim(F.substring(known, 1, limit)), F.lit("..."))
     return F.when(F.length(known) > limit, cut).otherwise(known)

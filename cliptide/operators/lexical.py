@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cliptide.functions import text as X
 from cliptide.functions.arrays import let
 from cliptide.functions.vectors import SCORE_DIGITS
+from cliptide.operators import carry
 from cliptide.session import broadcast_when_small, cut_lineage
 
 #: Generous size of one (query, token, count) row when a broadcast is checked.
@@ -60,8 +61,18 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame, scope: list[str], doc: str
     return scored.select(*scope, doc, (F.round(score, SCORE_DIGITS) + F.lit(0.0)).alias("score"))
 
 
+def ranked_all(scored: DataFrame, scope: list[str], start: Column, tie: str) -> DataFrame:
+    """Every candidate with its place by score, then start (null counts as zero), then position.
+
+    A hot scope is cut into bands of the score that are ranked by themselves.
+    """
+    ordered = scored.withColumns({"__neg": -F.col("score"), "__start": F.coalesce(start, F.lit(0.0))})
+    chunk = carry.chunk_if_hot(scored, scope, F.floor(-F.col("score") * 256))
+    return carry.position(ordered, scope, ["__neg", "__start", tie], chunk, "rank").drop("__neg", "__start")
+
+
 def ranked_pool(scored: DataFrame, scope: list[str], start: Column, tie: str, size: int = 200) -> DataFrame:
-    """Candidate pool by score, then start (null counts as zero), then position.
+    """The first ``size`` candidates by score, then start (null counts as zero), then position.
 
     The bound turns into a per-task limit before the shuffle, so a hot scope is never sorted whole.
     """

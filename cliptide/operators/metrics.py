@@ -33,8 +33,8 @@ def roc_points(df: DataFrame, score: str, label: str, band: float, weight: Colum
         "score",
         "targets",
         "impostors",
-        (F.col("below_targets") / totals.select("t").scalar()).alias("fnr"),
-        (1.0 - F.col("below_impostors") / totals.select("i").scalar()).alias("fpr"),
+        F.try_divide("below_targets", totals.select("t").scalar()).alias("fnr"),
+        (1.0 - F.try_divide("below_impostors", totals.select("i").scalar())).alias("fpr"),
     )
 
 
@@ -64,7 +64,7 @@ def binned_roc(df: DataFrame, score: str, label: str, bins: int, band: int = 409
     """Rates over equal-width bins between the smallest and largest score, empty bins included."""
     ends = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    place = F.floor((F.col(score) - lo) * bins / (hi - lo))
+    place = F.coalesce(F.floor(F.try_divide((F.col(score) - lo) * bins, hi - lo)), F.lit(0))
     counts = (
         df.withColumn("bin", F.least(place, F.lit(bins - 1)))
         .groupBy("bin")
@@ -79,8 +79,8 @@ def binned_roc(df: DataFrame, score: str, label: str, bins: int, band: int = 409
     totals = counts.agg(F.sum("targets").alias("t"), F.sum("impostors").alias("i"))
     return summed.select(
         "bin",
-        (F.col("below_targets") / totals.select("t").scalar()).alias("fnr"),
-        (1.0 - F.col("below_impostors") / totals.select("i").scalar()).alias("fpr"),
+        F.try_divide("below_targets", totals.select("t").scalar()).alias("fnr"),
+        (1.0 - F.try_divide("below_impostors", totals.select("i").scalar())).alias("fpr"),
     )
 
 
@@ -113,10 +113,10 @@ def average_precision(df: DataFrame, score: str, label: str, band: float) -> Dat
 
 
 def value_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """Equal-width histogram between the extremes; only the counts travel."""
+    """Equal-width histogram between the extremes; only the counts travel. Equal values all fall in bin 0."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    place = F.floor((F.col(value) - lo) * bins / (hi - lo))
+    place = F.coalesce(F.floor(F.try_divide((F.col(value) - lo) * bins, hi - lo)), F.when(F.col(value).isNotNull(), F.lit(0)))
     return df.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliptide.operators import carry, scoring
+from cliptide.operators import carry, graph, scoring
 from cliptide.operators.carry import Running
 
 #: Quality bounds of a usable face and the shortest usable voice segment.
@@ -140,8 +140,8 @@ def _average_linkage(vectors: np.ndarray, floor: float) -> np.ndarray:
 def cluster_small(chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = 0.4) -> DataFrame:
     """Speaker labels of recordings with fewer than ``SMALL_RECORDING`` chunks.
 
-    Larger recordings are left out here and reported by ``large_recordings``; they need another
-    clustering.
+    Larger recordings are left out here and reported by ``large_recordings``; ``cluster_recordings``
+    labels recordings of any size.
     """
     sizes = chunks.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") < SMALL_RECORDING)
     small = chunks.join(sizes, keys, "left_semi").select(*keys, order, F.col(vector).cast("array<double>").alias("v"))
@@ -156,5 +156,18 @@ def cluster_small(chunks: DataFrame, keys: list[str], order: str, vector: str, f
     return small.groupBy(*keys).applyInPandas(fold, schema)
 
 
+def cluster_recordings(chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = 0.4) -> DataFrame:
+    """Speaker labels of every chunk, whatever the size of its recording.
+
+    Chunks whose cosine reaches ``floor`` have one speaker, directly or by way of others; speakers are
+    numbered from zero by their first chunk. Blocks of chunks are compared, and components found over the
+    cluster, so no recording is gathered in one task.
+    """
+    forest = graph.similarity_forest(chunks, keys, order, vector, floor)
+    found = graph.connected_components(forest, keys).withColumnRenamed("node_id", order)
+    rooted = chunks.select(*keys, order).join(found, [*keys, order], "left").withColumn("root", F.coalesce("root", order))
+    return graph.number_groups(rooted, keys, "root", 65536, "speaker").select(*keys, order, "speaker")
+
+
 def large_recordings(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.count("*").alias("chunks")).filter(F.col("chunks") >= SMALL_RECORDING)

@@ -18,8 +18,10 @@ def unique_or_fail(df: DataFrame, key: str) -> DataFrame:
         raise KeyError(f"column {key} is required")
     counts = df.groupBy(key).agg(F.count("*").alias("__n"))
     message = F.concat(F.lit(f"duplicate {key}: "), F.col(key).cast("string"))
+    absent = F.raise_error(F.lit(f"missing {key}")).cast(df.schema[key].dataType)
     return (
-        df.join(counts, key)
+        df.withColumn(key, F.coalesce(F.col(key), absent))
+        .join(counts, key)
         .withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(message).cast("bigint")).otherwise(F.col("__n")))
         .filter("__n = 1")
         .drop("__n")
