@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,15 @@ from cliptide.session import broadcast_when_small
 #: Similarity as a fraction of whole numbers: intersection * DOWN >= union * UP.
 UP, DOWN = 80, 100
 #: Counters of the frequency estimate (fixed size, whatever the corpus), and the parts they are summed in.
-BUCKETS, PARTS = 1 << 20, 64
-#: Prefixes are lengthened by at most so many tokens.
-LONGEST = 8
+BUCKETS, PARTS = 1 << 22, 64
+#: Every prefix is longer than the shortest one by this many hundredths of its set, and by at most so many tokens more.
+LONGER, LONGEST = 3, 8
+#: Tokens of buckets from this class on are common; they are not looked up one by one.
+COMMON = 40
 #: Rows of a posting list that one task compares with as many others.
 BLOCK = 512
+#: Sets whose sizes differ by less than this factor wait in one place of a list.
+CELL = 1.05
 #: Posting rows that are compared in one call.
 GROUP_ROWS = 20_000
 
@@ -31,6 +36,11 @@ def required(n: int) -> int:
     return -(-UP * n // DOWN)
 
 
+def least_matches(n: int) -> int:
+    """Tokens that the prefixes of two similar sets share at least, if neither has fewer than ``n``."""
+    return 1 + n * LONGER // 100
+
+
 def frequency_classes(docs: DataFrame) -> np.ndarray:
     """Class of each bucket: eighths of a doubling of its count over the mean, 0 up to the mean.
 
@@ -47,14 +57,14 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
         if total.any():
             pieces = total.reshape(PARTS, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PARTS), pa.int32()), pa.array([p.astype(np.uint32 if p.max() < 1 << 32 else np.int64).tobytes() for p in pieces], pa.binary())],
+                [pa.array(range(PARTS), pa.int32()), pa.array([packed(p) for p in pieces], pa.binary())],
                 names=["part", "counts"],
             )
 
     def add(key, rows):
         total = np.zeros(BUCKETS // PARTS, np.int64)
         for piece in rows.column("counts").to_pylist():
-            total += np.frombuffer(piece, np.uint32 if len(piece) == 4 * len(total) else np.int64)
+            total += np.frombuffer(piece, f"u{len(piece) // len(total)}").astype(np.int64)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     pieces = docs.select("text").mapInArrow(count, "part int, counts binary")
@@ -66,56 +76,99 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     return np.clip(8 * np.log2(np.maximum(counts.ravel() / mean, 1.0)), 0, 255).astype(np.uint8)
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
-    """(prefix, matches): the tokens that stand first when rare ones come first, and how many must be shared.
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def classed(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(tokens % np.uint64(BUCKETS)).astype(np.int64)]
+
 
-    ``matches`` grows with the estimated number of candidates that the shortest prefix would meet, one for
-    each doubling, and the prefix by the same number of tokens.
+def prefix(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """(prefix, matches, last): the tokens that stand first when rare ones come first, how many must be shared,
+    and the place of the last of them in the order of all tokens.
+
+    ``matches`` grows with the set and with the estimated number of candidates that the shortest prefix would
+    meet, one for each doubling, and the prefix by the same number of tokens.
     """
     n = len(tokens)
-    classed = classes[(tokens % np.uint64(BUCKETS)).astype(np.int64)]
-    order = np.lexsort((tokens, classed))
+    kinds = classed(tokens, classes)
+    order = np.lexsort((tokens, kinds))
     base = n - required(n) + 1
     # a bucket of class c holds about 2**(c/8) times the mean; what is above the mean is met
-    met = float(np.sum(np.exp2(classed[order[:base]] / 8.0) - 1.0))
-    matches = 1 + min(LONGEST - 1, int(np.log2(1.0 + met)), n - base)
-    return tokens[order[: base + matches - 1]], matches
+    met = float(np.sum(np.exp2(kinds[order[:base]] / 8.0) - 1.0))
+    matches = min(least_matches(n) + min(LONGEST - 1, int(np.log2(1.0 + met))), n - base + 1)
+    end = order[base + matches - 2]
+    return tokens[order[: base + matches - 1]], matches, int(kinds[end]) << 55 | int(tokens[end]) >> 9
 
 
 def signatures(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(id, tie, n, d1, d2, matches, prefix) of (id, tie, text); d1 and d2 are a digest of the whole set."""
+    """(row, id, tie, n, d1, d2, matches, last, prefix) of (id, tie, text).
+
+    d1 and d2 are a digest of the whole set; rows are numbered as they are written.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in text_batches(batches):
             out = []
+            rows = pa.array(range(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
             for t in byte_texts(batch):
                 tokens = shingle_set(t)
                 d = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64)
-                first, matches = prefix(tokens, shipped.value) if len(tokens) else (tokens, 0)
-                out.append((len(tokens), int(d[0]), int(d[1]), matches, first.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                first, matches, last = prefix(tokens, shipped.value) if len(tokens) else (tokens, 0, 0)
+                out.append((len(tokens), int(d[0]), int(d[1]), matches, last, first.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]],
-                names=["id", "tie", "n", "d1", "d2", "matches", "prefix"],
+                [rows, batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]],
+                names=["row", "id", "tie", "n", "d1", "d2", "matches", "last", "prefix"],
             )
 
-    return docs.mapInArrow(run, "id bigint, tie bigint, n bigint, d1 bigint, d2 bigint, matches int, prefix binary")
+    return written(docs.mapInArrow(run, "row bigint, id bigint, tie bigint, n bigint, d1 bigint, d2 bigint, matches int, last bigint, prefix binary"))
 
 
-def postings(signed: DataFrame) -> DataFrame:
-    """One row per prefix token: (token, node)."""
+def postings(signed: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(token, node) for the prefix tokens that more than one node holds, as far as can be told.
+
+    Rows are dealt by token and sorted, and neighbours compared as they stream by; no list is gathered. Common tokens
+    would crowd one task, and are shared anyway: they pass by.
+    """
+    shipped = signed.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy()
-            lists = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
+            lists = [np.frombuffer(p, np.uint64) for p in batch.column(1).to_pylist()]
             if lists:
+                tokens = np.concatenate(lists)
+                common = classed(tokens, shipped.value) >= COMMON
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists)), pa.array(np.repeat(nodes, [len(p) for p in lists]))], names=["token", "node"]
+                    [pa.array(tokens.view(np.int64)), pa.array(np.repeat(nodes, [len(p) for p in lists])), pa.array(common)], names=["token", "node", "common"]
                 )
 
-    return signed.select("node", "prefix").mapInArrow(run, "token bigint, node bigint")
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, node, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last row waits for the next batch; ``met`` tells whether it had an equal before it
+            token = np.concatenate([token, batch.column(0).to_numpy()])
+            node = np.concatenate([node, batch.column(1).to_numpy()])
+            equal = token[1:] == token[:-1]
+            keep = np.concatenate([[met], equal]) | np.concatenate([equal, [False]])
+            keep[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["token", "node"])
+            met = bool(equal[-1]) if len(equal) else met
+            token, node = token[-1:], node[-1:]
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], names=["token", "node"])
+
+    rows = signed.select("node", "prefix").mapInArrow(run, "token bigint, node bigint, common boolean")
+    dealt = rows.filter("not common").select("token", "node").repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(shared, "token bigint, node bigint").unionByName(rows.filter("common").select("token", "node"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,13 +206,35 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "src bigint, dst bigint")
 
 
+def possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that their prefixes leave possible: enough shared tokens, and the rest could make up the overlap."""
+    kept = F.struct("n", "matches", "last", (F.col("n") - F.col("length")).alias("rest"))
+    a = info.select(F.col("node").alias("src"), kept.alias("a"), F.col("tokens").alias("ta"))
+    b = info.select(F.col("node").alias("dst"), kept.alias("b"), F.col("tokens").alias("tb"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    # shared tokens up to the end of the prefix that ends first stand in both prefixes, later ones in the rest of that set
+    rest = (
+        F.when(F.col("a.last") < F.col("b.last"), F.col("a.rest"))
+        .when(F.col("a.last") > F.col("b.last"), F.col("b.rest"))
+        .otherwise(F.greatest("a.rest", "b.rest"))
+    )
+    enough = (shared >= F.least("a.matches", "b.matches")) & ((DOWN + UP) * (shared + rest) >= UP * (F.col("a.n") + F.col("b.n")))
+    # sizes alone rule out most pairs, before the tokens travel
+    sizes = broadcast_when_small(info.select("node", "n"), 16)
+    near = pairs.join(sizes.withColumnsRenamed({"node": "src", "n": "ns"}), "src").join(sizes.withColumnsRenamed({"node": "dst", "n": "nd"}), "dst")
+    near = near.filter(DOWN * F.least("ns", "nd") >= UP * F.greatest("ns", "nd")).select("src", "dst")
+    return near.join(a, "src").join(b, "dst").filter(enough).select("src", "dst")
+
+
 def candidates(lists: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs of nodes in different groups that may be similar, each from one posting list only.
 
-    ``lists`` holds (token, node, size), ``info`` (node, group, n, matches, length, tokens) with the shared tokens of the node's
-    prefix. A list with one group has nothing to give. In the others a pair is taken up at the rarest
-    token that both prefixes hold, if they share enough tokens and the rest of the sets could make up the
-    overlap. Lists longer than ``BLOCK`` are compared block by block.
+    ``lists`` holds (token, node), ``info`` (node, group, n, matches, length, last, tokens) with the shared tokens of the node's
+    prefix. The tokens of a prefix that nobody shares bound what the set can overlap with, and so the size of a similar
+    set. In every list a set waits at its own size, if a set as large could be similar, and asks at the
+    sizes that could be, its own at most. Places with one group have nothing to give. In the others a pair is taken up
+    at the rarest token that both prefixes hold, if they share enough tokens and the rest of the sets could make
+    up the overlap. Places with more than ``BLOCK`` rows are compared block by block.
     """
 
     def run(key, table):
@@ -167,45 +242,65 @@ def candidates(lists: DataFrame, info: DataFrame) -> DataFrame:
         src, dst = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    grouped = lists.join(info.select("node", "group"), "node")
+    n, cell = F.col("n"), lambda size: F.floor(F.log(size.cast("double")) / float(np.log(CELL))).cast("int")
+    overlap = n - F.col("length") + F.size("tokens")
+    high = F.floor(overlap * (UP + DOWN) / UP) - n
+    low = F.ceil(n * UP / DOWN)
+    asks = F.when(high >= low, F.sequence(cell(low), cell(F.least(high, n)))).otherwise(F.array().cast("array<int>"))
+    sized = written(
+        info.select("node", "group", F.transform(asks, lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks"))).alias("asked"), (high >= n).alias("waits"), cell(n).alias("own"))
+        .withColumn("spots", F.when(F.col("waits"), F.array_append("asked", F.struct(F.col("own").alias("cell"), F.lit(False).alias("asks")))).otherwise(F.col("asked")))
+        .select("node", "group", "spots")
+    )
+    grouped = lists.join(sized, "node")
     mixed = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = lists.join(mixed, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node"
+    spots = written(grouped.join(mixed, "token").select("token", "node", "group", F.explode("spots").alias("s")).select("token", "node", "group", "s.*"))
+    places = (
+        spots.groupBy("token", "cell")
+        .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("waiting"))
+        .filter("low <> high and asking > 0 and waiting > 0")
+        .select("token", "cell", F.ceil(F.col("asking") / BLOCK).cast("int").alias("i_blocks"), F.ceil(F.col("waiting") / BLOCK).cast("int").alias("j_blocks"))
     )
-    tasks = written(spread)
-    # some ten thousand rows a group; the rows of one block pair, two blocks at most, stay together
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("i_blocks")).otherwise(F.col("j_blocks"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("j_blocks")).otherwise(F.col("i_blocks")) - 1)
+    tasks = written(
+        spots.join(broadcast_when_small(written(places), 48), ["token", "cell"]).withColumn("block", block).withColumn("other", F.explode(others)).select(
+            "token", "cell", F.when(F.col("asks"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("block")).alias("j"), "asks", "node"
+        )
+    )
+    # some ten thousand rows a group; the rows of one block pair stay together
     groups = max(1, tasks.count() // GROUP_ROWS)
-    dealt = tasks.join(info, "node").withColumn("deal", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+    dealt = tasks.join(info, "node").withColumn("deal", F.pmod(F.xxhash64("token", "cell", "i", "j"), F.lit(groups)))
     return dealt.groupBy("deal").applyInArrow(run, "src bigint, dst bigint")
 
 
 def _blocks(table: pa.Table) -> Iterator[tuple]:
-    """The rows of each block pair as (token, members of the first block, members of the other, equal blocks)."""
-    column = {c: table.column(c).to_numpy() for c in ("token", "i", "j", "block", "node", "group", "n", "matches", "length")}
+    """The rows of each block pair as (token, those that ask, those that wait)."""
+    names = ("token", "cell", "i", "j", "node", "group", "n", "matches", "length", "last")
+    column = {c: table.column(c).to_numpy() for c in names}
+    asks = table.column("asks").to_numpy()
     lists = table.column("tokens").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    order = np.lexsort((column["node"], column["j"], column["i"], column["token"]))
-    keys = np.stack([column[c][order] for c in ("token", "i", "j")])
+    order = np.lexsort((column["node"], asks, column["j"], column["i"], column["cell"], column["token"]))
+    keys = np.stack([column[c][order] for c in ("token", "cell", "i", "j")])
     cuts = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
     for rows in np.split(order, cuts):
         if not len(rows):
             continue
-        rows = rows[np.concatenate([[True], np.diff(column["node"][rows]) != 0])]  # repeated rows of a document
-        i, j = column["i"][rows[0]], column["j"][rows[0]]
+        same = (np.diff(column["node"][rows]) == 0) & (asks[rows][1:] == asks[rows][:-1])
+        rows = rows[np.concatenate([[True], ~same])]  # repeated rows of a document
         parts = []
-        for block in (i, j):
-            own = rows[column["block"][rows] == block]
-            part = {c: column[c][own] for c in ("node", "group", "n", "matches", "length")}
+        for role in (True, False):
+            own = rows[asks[rows] == role]
+            part = {c: column[c][own] for c in ("node", "group", "n", "matches", "length", "last")}
             parts.append(part | {"tokens": [values[offsets[r] : offsets[r + 1]] for r in own]})
-        if all(p["tokens"] for p in parts) and (i != j or len(parts[0]["tokens"]) > 1):
-            yield column["token"][rows[0]], parts[0], parts[1], i == j
+        if parts[0]["tokens"] and parts[1]["tokens"]:
+            yield column["token"][rows[0]], *parts
 
 
-def _close(token: int, left: dict, right: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that meet first at ``token`` and whose sets may overlap enough."""
-    ranks, flat = np.unique(np.concatenate(left["tokens"] + ([] if same else right["tokens"])), return_inverse=True)
+def _close(token: int, left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that meet first at ``token`` and whose sets may overlap enough; the larger set is the one that asks."""
+    ranks, flat = np.unique(np.concatenate(left["tokens"] + right["tokens"]), return_inverse=True)
 
     def matrix(part: dict, at: int) -> np.ndarray:
         sizes = [len(t) for t in part["tokens"]]
@@ -213,25 +308,26 @@ def _close(token: int, left: dict, right: dict, same: bool) -> tuple[np.ndarray,
         m[np.repeat(np.arange(len(sizes)), sizes), flat[at : at + sum(sizes)]] = 1
         return m
 
-    a = matrix(left, 0)
-    b = a if same else matrix(right, sum(len(t) for t in left["tokens"]))
+    a, b = matrix(left, 0), matrix(right, sum(len(t) for t in left["tokens"]))
     before = np.searchsorted(ranks, token)
     shared = a @ b.T
     earlier = a[:, :before] @ b[:, :before].T
     la, lb = left["n"][:, None], right["n"][None, :]
-    # what the prefixes do not hold may all be shared, at most
-    rest = np.minimum(la - left["length"][:, None], lb - right["length"][None, :])
+    # shared tokens up to the end of the prefix that ends first stand in both prefixes, later ones in the rest of that set
+    ra, rb = la - left["length"][:, None], lb - right["length"][None, :]
+    ends = left["last"][:, None], right["last"][None, :]
+    rest = np.where(ends[0] < ends[1], ra, np.where(ends[0] > ends[1], rb, np.maximum(ra, rb)))
     ok = (earlier == 0) & (shared >= np.minimum(left["matches"][:, None], right["matches"][None, :]))
     ok &= (DOWN + UP) * (shared + rest) >= UP * (la + lb)
+    ok &= DOWN * np.minimum(la, lb) >= UP * np.maximum(la, lb)
     ok &= left["group"][:, None] != right["group"][None, :]
-    if same:
-        ok &= left["node"][:, None] < right["node"][None, :]
+    ok &= (la > lb) | ((la == lb) & (left["node"][:, None] > right["node"][None, :]))
     x, y = np.nonzero(ok)
     return left["node"][x], right["node"][y]
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(id, tie, n, component): set size and smallest id that links reach, one row per distinct (id, text).
+    """(id, tie, n, component, root): set size, smallest id that links reach and group, one row per row of ``docs``.
 
     Equal sets are one node. Rare shingles stand first in every set, by one frequency estimate over all
     documents, and a set's prefix is what a similar set must meet it in. First every posting list links its
@@ -240,43 +336,46 @@ def join(docs: DataFrame) -> DataFrame:
     compared, so no link is lost; pairs inside a group could not change it. Documents without words have no
     links; null texts count as empty, null ids as the smallest id.
     """
-    texts = keyed(docs)
-    signed = written(signatures(texts, frequency_classes(docs)))
+    classes = frequency_classes(docs)
+    signed = signatures(keyed(docs), classes)
     filled = signed.filter("n > 0")
-    nodes = written(
-        filled.groupBy("d1", "d2").agg(F.min(F.struct("id", "tie")).alias("rep")).select("d1", "d2", "rep.*").withColumn("node", F.monotonically_increasing_id())
-    )
-    firsts = filled.join(nodes.select("id", "tie", "node"), ["id", "tie"])
-    tokens = postings(firsts)
-    shared = tokens.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    lists = written(tokens.join(shared, "token"))
-    met = lists.groupBy("node").agg(F.sum("size").alias("met"))
-    sets = written(shingle_sets(docs, met.select("node").join(nodes.select("node", "id", "tie"), "node")))
-
-    with_met = lists.join(met, "node")
-    hubs = with_met.groupBy("token").agg(F.max_by("node", F.struct("met", F.col("node"))).alias("hub"))
+    nodes = filled.groupBy("d1", "d2").agg(F.min(F.struct("id", "tie", "row")).alias("rep")).select("d1", "d2", F.col("rep.row").alias("node"))
+    member = written(filled.select("row", "id", "tie", "d1", "d2").join(nodes, ["d1", "d2"]).select("row", "node", "id", "tie"))
+    copies = member.filter("row <> node").select("row")
+    firsts = filled.join(broadcast_when_small(copies, 16), "row", "left_anti").withColumnRenamed("row", "node")
+    met = written(postings(firsts, classes))
+    size_of = firsts.select("node", "n", "matches", "last", (F.octet_length("prefix") / 8).cast("int").alias("length"))
+    # a set too few of whose prefix tokens are shared has no similar one
+    fewest = 1 + F.floor(F.ceil(F.col("n") * UP / DOWN) * LONGER / 100)
+    able = written(met.groupBy("node").agg(F.count("*").alias("held")).join(size_of, "node").filter(F.col("held") >= fewest).drop("held"))
+    lists = met.join(broadcast_when_small(able.select("node"), 16), "node")
+    # from here on a token is a running number, which takes less room in the arrays than a hash
+    sizes = written(lists.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").withColumn("number", F.monotonically_increasing_id()))
+    lists = written(lists.join(sizes, "token").select(F.col("number").alias("token"), "node", "size"))
+    own = lists.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.sum("size").alias("met"))
+    info = written(own.join(able, "node"))
+    first_rows = member.filter("row = node").select("node", "id", "tie")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(first_rows, "node")
+        return written(similar(pairs, written(shingle_sets(docs, wanted))))
+
+    hubs = lists.join(info.select("node", "met"), "node").groupBy("token").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
     stars = lists.join(hubs, "token").filter("hub <> node").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
-    links = written(similar(stars, sets))
+    links = verified(possible(stars, info))
     found = components(links)
-
-    size_of = firsts.select("node", "n", "matches", (F.octet_length("prefix") / 8).cast("int").alias("length"))
-    info = written(
-        lists.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-        .join(size_of, "node")
-        .join(found.withColumnRenamed("id", "node"), "node", "left")
-        .select("node", F.coalesce("root", "node").alias("group"), "n", "matches", "length", "tokens")
-        .dropDuplicates(["node"])
-    )
-    more = written(similar(candidates(lists, info).distinct(), sets))
+    grouped = written(
+        info.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "met")
+    )
+    more = verified(candidates(lists, grouped).distinct())
     merged = components(links.unionByName(more))
 
-    rooted = nodes.select("d1", "d2", "id", "node").join(merged.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = member.join(merged.withColumnRenamed("id", "node"), "node", "left").select("row", "id", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named = rooted.join(lowest, "root").select("d1", "d2", "component")
+    named = rooted.join(lowest, "root").select("row", "component", "root")
     return (
-        signed.select("id", "tie", "n", "d1", "d2")
-        .join(named, ["d1", "d2"], "left")
-        .select("id", "tie", "n", F.coalesce("component", "id").alias("component"))
+        signed.select("row", "id", "tie", "n").join(named, "row", "left").select("id", "tie", "n", F.coalesce("component", "id").alias("component"), "root")
     )
 
 
@@ -291,7 +390,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows with equal id and text are one document; one of them stays. Documents without words stay.
     """
     joined = written(join(docs).dropDuplicates(["id", "tie"]))
-    first = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("id", "tie")).alias("first")).select("first.*")
+    first = joined.filter("n > 0").groupBy("root").agg(F.min(F.struct("id", "tie")).alias("first")).select("first.*")
     kept = first.unionByName(joined.filter("n = 0").select("id", "tie"))
     rows = docs.withColumns({"__id": doc_id(), "__tie": tie()})
     stays = kept.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"))
