@@ -18,9 +18,15 @@ from cliptide.session import broadcast_when_small
 #: Bytes of a string that may not repeat, and of the grams whose smallest hash anchors a string.
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
+#: A string reaches so far beyond its anchor on one side at least.
+REACH = -(-(LENGTH - GRAM) // 2)
+#: Strings that start within so many bytes have their other bytes in common: a core, told by where it starts.
+STEP = 10
+CORES = (LENGTH - GRAM) // STEP + 1
 #: Index strings per index, and streamed strings that share an anchor before they are parted.
 GROUP_STRINGS, HOT = 4000, 2000
 BATCH_BYTES = 1 << 20
+NONE = bytes(16)
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -38,6 +44,8 @@ class Anchored:
 
     Strings that follow each other with the same anchor make one stretch: ``owner`` is its text, ``low`` to ``high``
     are where its strings start (in the text), ``anchor`` hashes the gram and ``body`` all its bytes and the anchor's place.
+    ``left`` and ``right`` hash the gram with the ``REACH`` bytes on one side, 0 where the stretch does not go so far: two
+    stretches that share a string share one of them.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -48,7 +56,7 @@ class Anchored:
         text = np.repeat(np.arange(len(texts)), counts)
         starts = np.arange(len(text)) - (np.cumsum(counts) - counts)[text] + begins[text]
         if not len(starts):
-            self.owner = self.low = self.high = self.anchor = self.body = np.zeros(0, np.int64)
+            self.owner = self.low = self.high = self.rel = self.anchor = self.body = self.left = self.right = np.zeros(0, np.int64)
             return
         sums = rolled(data)
         grams = np.arange(len(data) - GRAM + 1)
@@ -68,12 +76,16 @@ class Anchored:
         place = chosen[at[first]]
         self.owner = text[first]
         self.low, self.high = starts[first] - begins[self.owner], starts[last] - begins[self.owner]
+        self.rel = place - starts[first]
         self.anchor = hashes[place].view(np.int64)
+        begin, end = np.maximum(place - REACH, 0), np.minimum(place + GRAM + REACH, len(data))
+        self.left = np.where(place - REACH >= starts[first], stretches(sums, begin, place + GRAM) | np.uint64(1), np.uint64(0)).view(np.int64)
+        self.right = np.where(place + GRAM + REACH <= starts[last] + LENGTH, stretches(sums, place, end) | np.uint64(1), np.uint64(0)).view(np.int64)
         whole = stretches(sums, starts[first], starts[last] + LENGTH)
         self.body = (whole + (place - starts[first]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-STRETCH = "id bigint, tie bigint, low int, high int, anchor bigint, body bigint"
+STRETCH = "id bigint, tie bigint, low int, high int, rel int, anchor bigint, body bigint, left int, right int"
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -84,16 +96,22 @@ def anchored(docs: DataFrame) -> DataFrame:
             a = Anchored(byte_texts(batch))
             at = pa.array(a.owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(a.low.astype(np.int32)), pa.array(a.high.astype(np.int32)), pa.array(a.anchor), pa.array(a.body)],
-                names=["id", "tie", "low", "high", "anchor", "body"],
+                [
+                    batch.column(0).take(at), batch.column(1).take(at),
+                    *[pa.array(x.astype(np.int32)) for x in (a.low, a.high, a.rel)],
+                    *[pa.array(x) for x in (a.anchor, a.body)],
+                    # only to tell stretches that cannot share a string, so half of the hash will do
+                    *[pa.array((x >> 32).astype(np.int32)) for x in (a.left, a.right)],
+                ],
+                names=["id", "tie", "low", "high", "rel", "anchor", "body", "left", "right"],
             )
 
     return docs.mapInArrow(run, STRETCH)
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Bytes of the wanted (id, tie, low, high, anchor, indexed, copies): adds ``bytes``."""
-    columns = ["low", "high", "anchor", "indexed", "rivals"]
+    """The wanted (id, tie, low, high, rel, anchor) with their ``bytes``."""
+    columns = ["low", "high", "rel", "anchor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -105,41 +123,69 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for c in columns:
                         out[c].append(w[c])
             at = pa.array(rows, pa.int64())
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
+            kinds = [pa.int32()] * 3 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(out[c], k) for c, k in zip(columns, kinds, strict=True)], pa.array(pieces, pa.binary())],
                 names=["id", "tie", *columns, "bytes"],
             )
 
-    per_doc = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct(*columns)).alias("own"))
-    rows = keyed(docs).join(broadcast_when_small(per_doc, 4096), ["id", "tie"]).select("id", "tie", "text", "own")
-    return rows.mapInArrow(run, "id bigint, tie bigint, low int, high int, anchor bigint, indexed boolean, rivals bigint, bytes binary").dropDuplicates(["id", "tie", "low"])
+    per_doc = written(wanted.groupBy("id", "tie").agg(F.collect_list(F.struct(*columns)).alias("own")))
+    rows = keyed(docs).join(broadcast_when_small(per_doc, 512), ["id", "tie"]).select("id", "tie", "text", "own")
+    return rows.mapInArrow(run, "id bigint, tie bigint, low int, high int, rel int, anchor bigint, bytes binary")
+
+
+def rivals(strings: DataFrame) -> DataFrame:
+    """The strings that share a core with another one, with ``cores``, a bit for each shared one, and their anchor's ``rivals`` and first.
+
+    All strings of ``LENGTH`` bytes that start up to ``STEP`` bytes before a core hold it, so what has no
+    core in common has no such string in common.
+    """
+    at = F.col("rel") - STEP * F.col("k")
+    cores = (
+        strings.select("id", "tie", "low", "rel", "anchor", "bytes", F.explode(F.sequence(F.lit(0), F.lit(CORES - 1))).alias("k"))
+        .filter((at >= 0) & (at + LENGTH - STEP <= F.octet_length("bytes")))
+        .select("id", "tie", "low", "anchor", "k", F.xxhash64(F.col("bytes").substr(at + 1, F.lit(LENGTH - STEP))).alias("core"))
+    )
+    shared = cores.groupBy("anchor", "k", "core").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "k", "core")
+    marks = cores.join(shared, ["anchor", "k", "core"]).groupBy("id", "tie", "low").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("cores"))
+    chosen = strings.join(broadcast_when_small(written(marks), 40), ["id", "tie", "low"])
+    leads = chosen.groupBy("anchor").agg(F.count("*").alias("rivals"), F.min(F.struct("id", "tie", "low")).alias("lead")).filter("rivals > 1")
+    return chosen.join(leads, "anchor").withColumn("indexed", F.struct("id", "tie", "low") == F.col("lead")).drop("lead")
 
 
 def streamed(strings: DataFrame) -> DataFrame:
     """Matching statistics of the strings that are not indexed against the first string of each anchor.
 
-    Gives (id, tie, start, h1, h2) per string of ``LENGTH`` bytes; the digest is null if the index holds it.
+    Gives (id, tie, start, stop) of stretches that the index holds, and (id, tie, start, stop, h1, h2) of each
+    string of ``LENGTH`` bytes that it does not hold but that has a shared core.
     The first string of an anchor that very many share is indexed in several groups, and the others are dealt to them.
     """
 
     def run(key, table):
         indexed = table.column("indexed").to_numpy()
         pieces = table.column("bytes").to_pylist()
-        ids, ties, low, high = (table.column(c).to_numpy() for c in ("id", "tie", "low", "high"))
+        ids, ties, low, high, rel, cores = (table.column(c).to_numpy() for c in ("id", "tie", "low", "high", "rel", "cores"))
         index = RunIndex([pieces[k] for k in np.flatnonzero(indexed)])
         lanes = np.flatnonzero(~indexed)
-        out_id, out_tie, out_start, digests = [], [], [], []
+        owner, starts, stops, digests = [], [], [], []
         for part in np.array_split(lanes, -(-len(lanes) // 4096) or 1):
             for k, lengths in zip(part, index.matching_statistics([pieces[k] for k in part]), strict=True):
-                n = high[k] - low[k] + 1
-                out_id.append(np.repeat(ids[k], n))
-                out_tie.append(np.repeat(ties[k], n))
-                out_start.append(low[k] + np.arange(n))
-                piece = pieces[k]
-                digests += [None if lengths[s] >= LENGTH else hashlib.blake2b(piece[s : s + LENGTH], digest_size=16).digest() for s in range(n)]
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-        return pa.table({"id": join(out_id, pa.int64()), "tie": join(out_tie, pa.int64()), "start": join(out_start, pa.int32()), "digest": pa.array(digests, pa.binary())})
+                place = np.arange(high[k] - low[k] + 1)
+                held = lengths[: len(place)] >= LENGTH
+                edges = np.flatnonzero(np.diff(held.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                open_ = np.flatnonzero(~held & ((cores[k] >> ((rel[k] - place) // STEP)) & 1).astype(bool))
+                owner += [k] * (len(edges) + len(open_))
+                starts += [*(low[k] + edges[:, 0]), *(low[k] + open_)]
+                stops += [*(low[k] + edges[:, 1] - 1 + LENGTH), *(low[k] + open_ + LENGTH)]
+                digests += [NONE] * len(edges)
+                digests += [hashlib.blake2b(pieces[k][s : s + LENGTH], digest_size=16).digest() for s in open_]
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        mask = np.array([d is NONE for d in digests], bool)
+        at = np.array(owner, np.int64)
+        return pa.table(
+            {"id": pa.array(ids[at]), "tie": pa.array(ties[at]), "start": pa.array(starts, pa.int32()), "stop": pa.array(stops, pa.int32())}
+            | {f"h{k + 1}": pa.array(np.ascontiguousarray(halves[:, k]), mask=mask) for k in (0, 1)}
+        )
 
     salts = F.ceil(F.col("rivals") / HOT).cast("int")
     dealt = strings.withColumn("salts", salts).withColumn(
@@ -147,7 +193,7 @@ def streamed(strings: DataFrame) -> DataFrame:
     )
     groups = max(1, strings.filter("indexed").count() // GROUP_STRINGS + 1)
     rows = dealt.withColumn("deal", F.pmod(F.xxhash64("anchor", "salt"), F.lit(groups)))
-    return rows.groupBy("deal").applyInArrow(run, "id bigint, tie bigint, start int, digest binary")
+    return rows.groupBy("deal").applyInArrow(run, "id bigint, tie bigint, start int, stop int, h1 bigint, h2 bigint")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -160,25 +206,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counted by digest. No group but a set of index strings is ever gathered.
     """
     texts = keyed(docs)
-    shared = anchored(texts).groupBy("anchor").count().filter("count > 1").select("anchor")
-    places = written(anchored(texts).join(shared, "anchor").select("id", "tie", "low", "high", "anchor", "body"))
-    place = F.struct("id", "tie", "low", "high")
-    variants = written(places.groupBy("anchor", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    shared = written(anchored(texts).groupBy("anchor").count().filter("count > 1").select("anchor"))
+    places = written(anchored(texts).join(broadcast_when_small(shared, 16), "anchor"))
+    place = F.struct("id", "tie", "low", "high", "rel")
+    variants = written(
+        places.groupBy("anchor", "body").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
+    )
     later = (
-        places.join(variants.filter("n > 1"), ["anchor", "body"])
+        places.select("id", "tie", "low", "high", "rel", "anchor", "body")
+        .join(variants.filter("n > 1").select("anchor", "body", "first"), ["anchor", "body"])
         .filter(place != F.col("first"))
         .select("id", "tie", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("stop"))
     )
-    rivals = variants.groupBy("anchor").agg(F.count("*").alias("rivals"), F.min("first").alias("lead")).filter("rivals > 1")
-    wanted = variants.join(rivals, "anchor").select("first.*", "anchor", (F.col("first") == F.col("lead")).alias("indexed"), "rivals")
-    strings = written(cut_out(docs, written(wanted)))
-    found = written(streamed(strings))
-    fresh = found.filter("digest is not null")
+    # stretches that agree with another one far enough on one side; the rest share no string with another
+    sides = variants.select("anchor", "body", F.posexplode(F.array("left", "right")).alias("side", "reach")).filter("reach <> 0")
+    agreed = sides.groupBy("anchor", "side", "reach").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "side", "reach")
+    kept = sides.join(agreed, ["anchor", "side", "reach"]).select("anchor", "body").distinct()
+    alike = written(variants.join(kept, ["anchor", "body"]).select("anchor", "body", "first"))
+    several = alike.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    strings = written(cut_out(docs, alike.join(several, "anchor").select("first.*", "anchor")).dropDuplicates(["id", "tie", "low"]))
+    found = written(streamed(written(rivals(strings))))
+    fresh = found.filter("h1 is not null")
     own = F.struct("id", "tie", "start")
-    firsts = fresh.groupBy("digest").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    again = fresh.join(firsts, "digest").filter(own != F.col("first"))
-    single = found.filter("digest is null").select("id", "tie", "start").unionByName(again.select("id", "tie", "start"))
-    return later.unionByName(single.select("id", "tie", "start", (F.col("start") + LENGTH).alias("stop")))
+    firsts = fresh.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    again = fresh.join(firsts, ["h1", "h2"]).filter(own != F.col("first")).select("id", "tie", "start", "stop")
+    return later.unionByName(found.filter("h1 is null").select("id", "tie", "start", "stop")).unionByName(again)
 
 
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string"
