@@ -15,8 +15,9 @@ from cliptide.llm.common import NO_ID, components, real_id, written
 COSINE = 0.95
 #: Reference points: one for so many vectors, within bounds; drawn from the data in digest order.
 PER_PIVOT, FEWEST, MOST = 128, 64, 2048
-#: Nearest reference points that describe a vector, and how many of them a pair must share.
-NEAREST, SHARED = 6, 4
+#: Nearest reference points that describe a vector, and how many of them a pair must share: the more points there
+#: are, the fewer of its nearest a pair at the threshold has in common. With up to ``FINE`` points the first number holds.
+NEAREST, SHARED, FINE = 6, (3, 2), 256
 #: Vectors of a pivot list that one task compares with as many others; rows that one call compares.
 BLOCK, GROUP_ROWS = 1024, 20_000
 
@@ -47,6 +48,7 @@ def pivots(points: DataFrame) -> np.ndarray:
 def described(points: DataFrame, anchors: np.ndarray) -> DataFrame:
     """One row per set of ``SHARED`` of a vector's nearest pivots: (key, node, copies, unit, near)."""
     shipped = points.sparkSession.sparkContext.broadcast(anchors)
+    least = SHARED[len(anchors) > FINE]
 
     def run(batches):
         for batch in batches:
@@ -57,7 +59,7 @@ def described(points: DataFrame, anchors: np.ndarray) -> DataFrame:
             if fits:
                 order = np.argsort(-np.array([lists[k] for k in fits]) @ pivots.T, axis=1, kind="stable")[:, : min(NEAREST, len(pivots))]
                 for k, row in zip(fits, order.tolist(), strict=True):
-                    for subset in combinations(sorted(row), min(SHARED, len(row))):
+                    for subset in combinations(sorted(row), min(least, len(row))):
                         owner.append(k)
                         keys.append(np.array(subset, np.int16).tobytes())
                         near.append(row)

@@ -228,6 +228,21 @@ def test_pivot_links(spark):
             assert r.n_links == 0 and r.component_id == r.vec_id
 
 
+@pytest.mark.parametrize("n_pivots", [64, 256, 257, 512, 2048])
+def test_pivot_recall_near_the_threshold(spark, n_pivots):
+    rng = np.random.default_rng(55)
+    anchors, own, side = (rng.normal(size=(n, 64)) for n in (n_pivots, 400, 400))
+    anchors, own = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (anchors, own))
+    side -= (side * own).sum(1, keepdims=True) * own
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    copies = 0.951 * own + np.sqrt(1 - 0.951**2) * side
+    rows = [(k, 1, v.tolist()) for k, v in enumerate(np.concatenate([own, copies]))]
+    found = pivots.linked(spark.createDataFrame(rows, "node bigint, copies bigint, unit array<double>"), anchors).collect()
+    links = {r.node for r in found}
+    assert all(r.links == 1 for r in found) and len(found) == len(links)  # each pair is counted once
+    assert len(links) >= 0.9 * len(rows)
+
+
 def test_pivot_empty(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
