@@ -51,7 +51,8 @@ class Index:
     def __init__(self, parted: list[tuple], weights: dict[bytes, float], mean: float):
         self.ids, items = [p[0] for p in parted], [p[1] for p in parted]
         self.parts = [(shingles(p[2]), shingles(p[3])) for p in parted]
-        self.size = max(SHORTEST, max(map(len, items)))
+        #: Words of a stretch: what no item of the class reaches, whichever items there are.
+        self.size = 1 << max(SHORTEST, max(map(len, items))).bit_length()
         self.terms: dict[bytes, int] = {}
         rows: list[dict[int, float]] = []
         for words in items:
@@ -109,7 +110,10 @@ class Searcher:
         return [sorted(f.values()) for f in found]
 
     def _one_index(self, index: Index, terms: np.ndarray, sizes: np.ndarray, words: list[list[bytes]], found: list[dict]) -> None:
-        """Passages are two stretches of ``index.size`` words, one stretch apart, so each item lies whole in one."""
+        """Passages of two stretches of ``index.size`` words may start at any word; each lies whole in a window of three.
+
+        Windows start at every stretch. What a passage scores, its window does, so windows retrieve and passages decide.
+        """
         stretches = np.maximum(-(-sizes // index.size), 1)
         first = np.concatenate([[0], np.cumsum(stretches)])
         begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -118,16 +122,16 @@ class Searcher:
         known = terms < len(index.terms)
         stretch, term = np.divmod(np.unique(stretch[known] * len(index.terms) + terms[known]), len(index.terms))
         # WAND: a passage whose terms cannot reach the threshold in any item is skipped
-        most = np.bincount(stretch, weights=index.term_max[term], minlength=first[-1] + 1)
-        able = np.flatnonzero(most[:-1] + most[1:] >= LEAST - 1e-5)
+        most = np.bincount(stretch, weights=index.term_max[term], minlength=first[-1] + 2)
+        able = np.flatnonzero(most[:-2] + most[1:-1] + most[2:] >= LEAST - 1e-5)
         starts = np.searchsorted(stretch, able)
-        ends = np.searchsorted(stretch, able + 2)
+        ends = np.searchsorted(stretch, able + 3)
         docs = np.searchsorted(first, able, side="right") - 1
         for k, doc, i, j in zip(able.tolist(), docs.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            if k + 1 == first[doc + 1] and k > first[doc]:
-                continue  # the last stretch has been the second one of the passage before
-            if k + 1 == first[doc + 1]:
-                j = int(np.searchsorted(stretch, k + 1))
+            if k + 3 > first[doc + 1]:
+                if k > first[doc]:
+                    continue  # the window before holds all of this one
+                j = int(np.searchsorted(stretch, first[doc + 1]))
             # block-max: only blocks whose largest impacts add up to the threshold are opened
             query = term[i:j]
             blocks = np.flatnonzero(index.block_max[query].sum(0) >= LEAST - 1e-5)
@@ -138,13 +142,46 @@ class Searcher:
             for at in blocks * BLOCK_ITEMS:
                 scores = index.impacts[query, at : at + BLOCK_ITEMS].sum(0)
                 for item in np.flatnonzero(scores >= LEAST - 1e-5).tolist():
-                    self._verify(index, int(at) + item, a, min(a + 2 * index.size, len(words[doc])), float(scores[item]), words[doc], found[doc])
+                    self._verify(index, int(at) + item, a, min(a + 3 * index.size, len(words[doc])), words[doc], found[doc])
 
-    def _verify(self, index: Index, place: int, a: int, b: int, score: float, words: list[bytes], found: dict[int, tuple]) -> None:
+    def _verify(self, index: Index, place: int, a: int, b: int, words: list[bytes], found: dict[int, tuple]) -> None:
         item, (question, answer) = index.ids[place], index.parts[place]
-        asked, told = held(question, words[a:b]), held(answer, words[a:b])
-        if asked >= OVERLAP and told >= OVERLAP and (item not in found or (-score, a) < (-found[item][3], found[item][1])):
-            found[item] = (item, a, b, score, asked, told)
+        if held(question, words[a:b]) < OVERLAP or held(answer, words[a:b]) < OVERLAP:
+            return
+        for first, end, score, asked, told in passages(index, place, words, a, b):
+            if score >= LEAST - 1e-5 and asked >= OVERLAP and told >= OVERLAP and (item not in found or (-score, first) < (-found[item][3], found[item][1])):
+                found[item] = (item, first, end, score, asked, told)
+
+
+def passages(index: Index, place: int, words: list[bytes], a: int, b: int) -> Iterator[tuple[int, int, float, float, float]]:
+    """(first word, end, score, question share, answer share) of each passage of two stretches within words ``a`` to ``b``."""
+    width = min(2 * index.size, b - a)
+    impact = {w: float(x) for w, k in ((w, index.terms.get(w)) for w in set(words[a:b])) if k is not None and (x := index.impacts[k, place]) > 0}
+    # what stands in a passage, with counts: the item's words, the shingles of its question and those of its answer
+    parts = [(1, impact), *((n, dict.fromkeys(wanted, 1.0)) for n, wanted in index.parts[place])]
+    totals = [1.0, *(float(len(wanted)) for _, wanted in index.parts[place])]
+    counts, sums = [{} for _ in parts], [0.0] * len(parts)
+
+    def change(kind: int, at: int, by: int) -> None:
+        n, worth = parts[kind]
+        key = words[at] if kind == 0 else tuple(words[at : at + n])
+        if n and key in worth:
+            left = counts[kind].get(key, 0) + by
+            counts[kind][key] = left
+            if left == (by > 0):
+                sums[kind] += by * worth[key]
+
+    for kind, (n, _) in enumerate(parts):
+        for at in range(a, a + width - n + 1):
+            change(kind, at, 1)
+    for first in range(a, b - width + 1):
+        if first > a:
+            for kind, (n, _) in enumerate(parts):
+                if 0 < n <= width:
+                    change(kind, first - 1, -1)
+                    change(kind, first + width - n, 1)
+        score, asked, told = (x / total if total else 1.0 for x, total in zip(sums, totals, strict=True))
+        yield first, first + width, round(score, 6), asked, told
 
 
 def runs(words: list[bytes], n: int) -> frozenset[tuple[bytes, ...]]:
@@ -184,8 +221,8 @@ def item_shards(items: DataFrame, most: int = INDEX_BYTES) -> Iterator[list[tupl
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(id, tie, item_id, first_word, end_word, score, question_overlap, answer_overlap) of every repeated item.
 
-    Every passage of every whole text is a query; all items whose score reaches ``LEAST`` of their own are
-    retrieved and kept if ``OVERLAP`` of the shingles of the question (all sentences but the last) and of
+    Every passage of every whole text, from any word on, is a query; a passage has twice the words of the longest
+    item that the item's length class may hold. All items whose score reaches ``LEAST`` of their own are retrieved and kept if ``OVERLAP`` of the shingles of the question (all sentences but the last) and of
     the answer (the last one) stand in the passage. The best passage per item is reported, the first of equals.
     The items are indexed in shares of a fixed size; the documents are read once per share and not moved.
     Null and empty texts and items hit nothing; repeated items give one hit, items that share an id are each

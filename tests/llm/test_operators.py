@@ -54,6 +54,28 @@ def test_items_in_shares_give_the_same(spark, documents, monkeypatch):
     assert parts == whole  # weights differ between shares, the overlap decides
 
 
+@pytest.mark.parametrize("others", [[], [31], [16], [29, 63]])
+def test_items_are_found_at_every_offset(others):
+    asked, told = [b"q%d" % k for k in range(20)], [b"a%d" % k for k in range(10)]
+    item = b" ".join(asked) + b". " + b" ".join(told)
+    items = [(1, item), *((10 + n, b" ".join(b"o%d_%d" % (n, k) for k in range(n))) for n in others)]
+    searcher = decontaminate.Searcher(items)
+    texts = [
+        b" ".join([*(b"f%d" % k for k in range(before)), *asked, *(b"x%d" % k for k in range(filler)), *told, *(b"g%d" % k for k in range(after))])
+        for filler in (0, 12, 34)
+        for after in (0, 5, 200)
+        for before in range(140)
+    ]
+    for text, got in zip(texts, searcher.search(texts), strict=True):
+        assert [x[0] for x in got] == [1]
+        _, first, end, score, *shares = got[0]
+        words = decontaminate.words_of(text)[first:end]
+        assert {*asked, *told} <= set(words) or min(score, *shares) < 1
+        assert decontaminate.held(decontaminate.shingles(asked), words) == shares[0] and decontaminate.held(decontaminate.shingles(told), words) == shares[1]
+    apart = [b" ".join([*(b"f%d" % k for k in range(before)), *asked, *(b"x%d" % k for k in range(60)), *told]) for before in range(140)]
+    assert searcher.search(apart) == [[]] * len(apart)  # farther apart than a passage, from any word on
+
+
 def test_items_with_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (None, "x")], "item_id bigint, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()] == [(None, 3)]
