@@ -108,39 +108,35 @@ def translate(texts: DataFrame, mapping: DataFrame, graph: list[str], key: list[
     )
 
 
-def query_variants(queries: DataFrame, members: DataFrame, graph: list[str], key: list[str], text: str, limit: int = 100) -> DataFrame:
-    """Rewrite each character tag into every alias; the first ``limit`` variants in order are kept.
+def query_variants(queries: DataFrame, members: DataFrame, graph: list[str], key: list[str], text: str) -> DataFrame:
+    """Rewrite each character tag into every alias: all variants, numbered in order of their aliases.
 
-    One tag is expanded per pass (in order of appearance), so a query without tags costs no join.
+    One tag is expanded per pass (in order of appearance) into a row per alias, so no row holds more than one variant
+    and a query without tags costs no join. A variant's number follows from the numbers of its aliases; nothing is sorted.
     """
-    # more than ``limit`` aliases can never appear in the first ``limit`` variants
-    in_order = Window.partitionBy(*graph, "character_tag").orderBy("tag")
-    few = (
-        members.select(*graph, "character_tag", "tag")
+    in_order = Window.partitionBy(*graph, "character_tag").orderBy("__alias")
+    aliases = (
+        members.select(*graph, "character_tag", F.col("tag").alias("__alias"))
         .distinct()
-        .withColumn("__n", F.row_number().over(in_order))
-        .filter(F.col("__n") <= limit)
+        .withColumn("__n", F.row_number().over(in_order) - 1)
     )
-    aliases = few.groupBy(*graph, "character_tag").agg(F.array_sort(F.collect_list("tag")).alias("aliases"))
     rows = queries.withColumn("__tags", F.array_distinct(F.filter(entity_tags(F.col(text)), lambda t: t.startswith("character_"))))
-    rows = rows.withColumn("__variants", F.array(F.col(text)))
+    rows = rows.withColumn("variant", F.lit(0).cast("bigint")).withColumn("__times", F.lit(1).cast("bigint"))
     longest = rows.agg(F.coalesce(F.max(F.size("__tags")), F.lit(0))).first()[0]
+    sizes = aliases.groupBy(*graph, "character_tag").agg(F.count("*").alias("__size"))
     for i in range(int(longest)):
-        rows = rows.withColumn("character_tag", F.get("__tags", F.lit(i))).join(
-            aliases, [*graph, "character_tag"], "left"
-        )
-        grown = F.flatten(
-            F.transform(
-                "aliases",
-                lambda a: F.transform(
-                    F.col("__variants"), lambda v: F.replace(v, F.concat(F.lit("<"), F.col("character_tag"), F.lit(">")), F.concat(F.lit("<"), a, F.lit(">")))
-                ),
-            )
-        )
-        rows = rows.withColumn(
-            "__variants", F.slice(F.when(F.col("aliases").isNotNull(), grown).otherwise(F.col("__variants")), 1, limit)
-        ).drop("aliases", "character_tag")
-    return rows.select(*graph, *key, F.posexplode("__variants").alias("variant", text))
+        rows = rows.withColumn("character_tag", F.get("__tags", F.lit(i)))
+        rows = rows.join(sizes, [*graph, "character_tag"], "left").join(aliases, [*graph, "character_tag"], "left")
+        # the alias of a later tag counts before those of the tags expanded so far
+        rows = rows.withColumns({
+            text: F.when(
+                F.col("__alias").isNotNull(),
+                F.replace(F.col(text), F.concat(F.lit("<"), F.col("character_tag"), F.lit(">")), F.concat(F.lit("<"), F.col("__alias"), F.lit(">"))),
+            ).otherwise(F.col(text)),
+            "variant": F.col("variant") + F.coalesce("__n", F.lit(0)) * F.col("__times"),
+            "__times": F.col("__times") * F.coalesce("__size", F.lit(1)),
+        }).drop("__alias", "__n", "__size", "character_tag")
+    return rows.select(*graph, *key, "variant", text)
 
 
 def resolve_nodes(

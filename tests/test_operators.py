@@ -10,7 +10,7 @@ from cliptide.functions import arrays as A
 from cliptide.functions import text as X
 from cliptide.functions import times as T
 from cliptide.functions import vectors as V
-from cliptide.operators import carry, coverage, depth, evaluation, intervals, mmr, speakers
+from cliptide.operators import carry, coverage, depth, evaluation, identity, intervals, mmr, speakers
 from cliptide.operators import graph as G
 from cliptide.operators.carry import Running
 from cliptide.operators.depth import DepthParams
@@ -334,3 +334,19 @@ def test_bm25_matrix_and_join_agree(spark, monkeypatch):
     by_matrix = run()
     monkeypatch.setattr(lexical, "BLOCK_CELLS", 0)
     assert run() == by_matrix and by_matrix
+
+
+def test_every_variant_is_emitted(spark):
+    queries = spark.createDataFrame(
+        [("g", 1, "<character_1> met <character_2>"), ("g", 2, "<character_1>, <character_1>"), ("g", 3, "<character_9>"), ("g", 4, "none")],
+        "graph string, id bigint, question string",
+    )
+    members = [("g", f"character_{c}", f"voice_{c}{k:02d}") for c, n in ((1, 12), (2, 110)) for k in range(n)]
+    out = identity.query_variants(
+        queries, spark.createDataFrame(members + members[:3], "graph string, character_tag string, tag string"), ["graph"], ["id"], "question"
+    ).collect()
+    ones, twos = ([t for _, c, t in members if c == f"character_{k}"] for k in (1, 2))
+    twos.sort()
+    want = {(1, n, f"<{a}> met <{b}>") for n, (b, a) in enumerate((b, a) for b in twos for a in ones)}
+    want |= {(2, n, f"<{a}>, <{a}>") for n, a in enumerate(ones)} | {(3, 0, "<character_9>"), (4, 0, "none")}
+    assert len(out) == len(want) and {(r.id, r.variant, r.question) for r in out} == want
