@@ -120,34 +120,38 @@ def value_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     return df.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cosine_histogram(df: DataFrame, key: str, vector: str, bins: int = 30, sample: int = 2000) -> DataFrame:
-    """Histogram of pairwise cosines of a bounded sample, counted block by block.
+#: Vectors of one block of ``cosine_histogram``; a task compares two blocks, so many rows at a time.
+PAIR_BLOCK, PAIR_ROWS = 8192, 256
 
-    The sample (the feature: at most ``sample`` vectors, chosen by key hash) is shipped once as a
-    matrix; each task multiplies its rows with it and emits bin counts, never pairs.
+
+def cosine_histogram(df: DataFrame, key: str, vector: str, bins: int = 30) -> DataFrame:
+    """Histogram of the cosines of all pairs of vectors with different keys, counted block pair by block pair.
+
+    Vectors are dealt to blocks by key hash; each pair of blocks is one group, whose task emits bin counts,
+    never pairs. Rows without a key or a vector are in no pair.
     """
-    # ordered by the key's hash so the choice does not depend on the partitioning
-    chosen = df.select(key, V.as_doubles(F.col(vector)).alias("v")).orderBy(F.xxhash64(key), key).limit(sample)
-    table = chosen.toArrow()
-    keys = np.asarray(table[key].to_numpy())
-    flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    matrix = flat.reshape(len(keys), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    shipped = df.sparkSession.sparkContext.broadcast((keys, matrix))
-
-    def count(batches):
-        all_keys, whole = shipped.value
+    rows = df.select(F.col(key).alias("key"), V.as_doubles(F.col(vector)).alias("v")).dropna()
+    blocks = F.lit(max(1, -(-rows.count() // PAIR_BLOCK)))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
+    )
+    spread = placed.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "v")
+
+    def count(group, table):
+        block, keys = table["block"].to_numpy(), table["key"].to_numpy()
+        matrix = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+        left, right = (np.flatnonzero(block == b.as_py()) for b in group)
+        same = group[0] == group[1]
         total = np.zeros(bins, dtype=np.int64)
-        for batch in batches:
-            mine = np.isin(all_keys, batch.column(0).to_numpy(zero_copy_only=False))
-            rows = np.flatnonzero(mine)
-            for block in np.array_split(rows, max(1, len(rows) // 256)):
-                sims = np.round(whole[block] @ whole.T, V.SCORE_DIGITS)
-                upper = all_keys[block][:, None] < all_keys[None, :]
-                place = np.clip(np.floor((sims[upper] + 1.0) * bins / 2.0), 0, bins - 1)
-                total += np.bincount(place.astype(np.int64), minlength=bins)
-        yield pa.RecordBatch.from_pydict({"bin": np.arange(bins, dtype=np.int64), "n": total})
-
-    # only the key column is read again to spread the sampled rows over tasks
-    parts = df.select(key).mapInArrow(count, "bin bigint, n bigint")
+        for start in range(0, len(left), PAIR_ROWS):
+            part = left[start : start + PAIR_ROWS]
+            sims = np.round(matrix[part] @ matrix[right].T, V.SCORE_DIGITS)
+            if same:  # each pair once; equal keys are in one block
+                sims = sims[keys[part][:, None] < keys[right][None, :]]
+            place = np.clip(np.floor((sims.ravel() + 1.0) * bins / 2.0), 0, bins - 1)
+            total += np.bincount(place.astype(np.int64), minlength=bins)
+        return pa.table({"bin": np.arange(bins, dtype=np.int64), "n": total})
+
+    parts = spread.groupBy("i", "j").applyInArrow(count, "bin bigint, n bigint")
     return parts.groupBy("bin").agg(F.sum("n").alias("n")).filter("n > 0")

@@ -10,7 +10,7 @@ from cliptide.functions import arrays as A
 from cliptide.functions import text as X
 from cliptide.functions import times as T
 from cliptide.functions import vectors as V
-from cliptide.operators import carry, coverage, depth, evaluation, identity, intervals, mmr, speakers
+from cliptide.operators import carry, coverage, depth, evaluation, identity, intervals, metrics, mmr, speakers
 from cliptide.operators import graph as G
 from cliptide.operators.carry import Running
 from cliptide.operators.depth import DepthParams
@@ -350,3 +350,17 @@ def test_every_variant_is_emitted(spark):
     want = {(1, n, f"<{a}> met <{b}>") for n, (b, a) in enumerate((b, a) for b in twos for a in ones)}
     want |= {(2, n, f"<{a}>, <{a}>") for n, a in enumerate(ones)} | {(3, 0, "<character_9>"), (4, 0, "none")}
     assert len(out) == len(want) and {(r.id, r.variant, r.question) for r in out} == want
+
+
+def test_cosine_histogram_counts_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(2300, 8))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id bigint, v array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 9)[np.triu_indices(len(unit), 1)]
+    bins, counts = np.unique(np.clip(np.floor((sims + 1) * 15), 0, 29).astype(int), return_counts=True)
+    want = dict(zip(bins.tolist(), counts.tolist(), strict=True))
+    assert {r.bin: r.n for r in metrics.cosine_histogram(frame, "id", "v").collect()} == want
+    frame = frame.union(spark.createDataFrame([(None, [1.0] * 8), (9999, None)], frame.schema))
+    monkeypatch.setattr(metrics, "PAIR_BLOCK", 500)
+    assert {r.bin: r.n for r in metrics.cosine_histogram(frame, "id", "v").collect()} == want
