@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, jaccard, licenses, linedup, longrepeats, mixing, pivots, ppm, toxicity, unitdedup
+from cliptide.llm import (
+    decontaminate,
+    discriminant,
+    jaccard,
+    licenses,
+    linedup,
+    longrepeats,
+    mixing,
+    phrases,
+    pivots,
+    ppm,
+    spelling,
+    toxicity,
+    unitdedup,
+)
 from cliptide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +93,18 @@ def ppm_score(spark: SparkSession, folder: str) -> DataFrame:
 def long_repeats(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return longrepeats.remove(docs).drop("spans")
+
+
+@query("op11_phrases", phrases.SQL)
+def phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op13_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return discriminant.quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
