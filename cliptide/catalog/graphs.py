@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cliptide.catalog.registry import big, digits, query, table
 from cliptide.catalog.selection import scored_vectors
 from cliptide.catalog.sqlparts import SCORED
-from cliptide.operators import carry
+from cliptide.operators import building, carry, walks
 from cliptide.operators import graph as G
 from cliptide.operators import identity as I
 
@@ -370,3 +370,104 @@ def texts_by_clip(spark: SparkSession, folder: str) -> DataFrame:
     rows = captions(spark, folder).join(days, "event_id").withColumn("type", kind)
     placed = carry.position(rows, ["clip", "type"], ["event_id"], F.floor(F.col("event_id") / 4096), "position")
     return placed.select("clip", "type", big("position"), "text")
+
+
+def observations(spark: SparkSession, folder: str) -> DataFrame:
+    """Three observations per event: a voice, a face and a text of the day."""
+    ev = told_events(spark, folder)
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "semantic").otherwise("episodic")
+    seen = F.array(
+        F.struct(F.lit("voice").alias("type"), F.col("user_id").cast("string").alias("entity"), F.lit(0).alias("n")),
+        F.struct(F.lit("img").alias("type"), F.col("k").cast("string").alias("entity"), F.lit(1).alias("n")),
+        F.struct(kind.alias("type"), F.lit(None).cast("string").alias("entity"), F.lit(2).alias("n")),
+    )
+    rows = ev.select("graph", "event_id", "day", "event_type", "value", "k", F.explode(seen).alias("o"))
+    return rows.select(
+        "graph",
+        "o.type",
+        "o.entity",
+        F.dayofyear("day").cast("bigint").alias("clip_id"),
+        (F.col("event_id") * 3 + F.col("o.n")).alias("seq"),
+        F.col("event_type").alias("content"),
+        F.array("value", F.col("k").cast("double")).alias("embedding"),
+    )
+
+
+OBS = f"""{EV}, ob AS (SELECT 'voice' AS type, 'voice:' || user_id AS key, dayofyear(day) AS clip, event_id * 3 AS seq FROM ev
+UNION ALL SELECT 'img', 'img:' || k, dayofyear(day), event_id * 3 + 1 FROM ev
+UNION ALL SELECT t, t || ':' || c || ':' || s, c, s FROM (SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'semantic' ELSE 'episodic' END AS t, dayofyear(day) AS c, event_id * 3 + 2 AS s FROM ev)),
+fs AS (SELECT key, any_value(type) AS type, min((clip, seq)) AS f, count(*) AS contents FROM ob GROUP BY key),
+nd AS (SELECT key, type, f[1] AS clip, contents, row_number() OVER (ORDER BY f, key) - 1 AS id FROM fs)"""
+
+
+@query(
+    "built_nodes",
+    f"""WITH {OBS}, rk AS (SELECT key, type, seq, row_number() OVER (PARTITION BY key ORDER BY md5(key || '|' || clip || '|' || seq), clip, seq) AS slot FROM ob),
+kp AS (SELECT key, count(*) AS kept, sum(seq) AS kept_seqs FROM rk WHERE slot <= CASE type WHEN 'img' THEN 10 WHEN 'voice' THEN 20 ELSE 1 END GROUP BY key)
+SELECT CAST(id AS BIGINT) AS node_id, type, CAST(clip AS BIGINT) AS clip_id, CAST(contents AS BIGINT) AS contents, CAST(kept AS BIGINT) AS kept, CAST(kept_seqs AS BIGINT) AS kept_seqs
+FROM nd JOIN kp USING (key)""",
+)
+def built_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the graph that the observations build, and which embeddings they keep."""
+    seen = observations(spark, folder)
+    nodes = building.graph_nodes(seen, ["graph"])
+    kept = building.kept_embeddings(seen, nodes, ["graph"]).groupBy("graph", "node_id").agg(
+        F.count("*").alias("kept"), F.sum("seq").alias("kept_seqs")
+    )
+    told = building.node_contents(seen, nodes, ["graph"]).groupBy("graph", "node_id").agg(F.count("*").alias("told"))
+    rows = nodes.join(kept, ["graph", "node_id"]).join(told, ["graph", "node_id"])
+    return rows.select(big("node_id"), "type", big("clip_id"), F.col("told").alias("contents"), "kept", "kept_seqs")
+
+
+@query(
+    "built_edges",
+    f"""WITH {OBS}, st AS (SELECT event_id, 'voice:' || user_id AS one, 'img:' || k AS two, value AS w FROM ev
+UNION ALL SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'semantic' ELSE 'episodic' END || ':' || dayofyear(day) || ':' || (event_id * 3 + 2), 'voice:' || user_id, 1.0 FROM ev),
+e AS (SELECT least(a.id, b.id) AS s, greatest(a.id, b.id) AS d, arg_max(w, event_id) AS w FROM st JOIN nd a ON a.key = one JOIN nd b ON b.key = two GROUP BY 1, 2),
+bo AS (SELECT s, w FROM e UNION ALL SELECT d, w FROM e)
+SELECT CAST(s AS BIGINT) AS node_id, CAST(count(*) AS BIGINT) AS edges, round(sum(w), 6) + 0.0 AS weight FROM bo GROUP BY s""",
+)
+def built_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest value between a user and a face, and the edge of every text to its user."""
+    nodes = building.graph_nodes(observations(spark, folder), ["graph"])
+    ev = told_events(spark, folder).withColumn("clip_id", F.dayofyear("day").cast("bigint"))
+    voice, face = F.concat(F.lit("voice:"), F.col("user_id").cast("string")), F.concat(F.lit("img:"), F.col("k").cast("string"))
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "semantic").otherwise("episodic")
+    text = F.concat_ws(":", kind, F.col("clip_id").cast("string"), (F.col("event_id") * 3 + 2).cast("string"))
+    shape = ["graph", "clip_id", F.col("event_id").alias("seq")]
+    said = ev.select(*shape, voice.alias("one"), face.alias("two"), F.col("value").alias("weight")).unionByName(
+        ev.select(*shape, text.alias("one"), voice.alias("two"), F.lit(1.0).alias("weight"))
+    )
+    edges = building.graph_edges(said, nodes, ["graph"])
+    return edges.groupBy(F.col("src").cast("bigint").alias("node_id")).agg(
+        F.count("*").alias("edges"), (F.round(F.sum("weight"), 6) + 0.0).alias("weight")
+    )
+
+
+def _walk_step(step: int) -> str:
+    """SQL of one step of all walks; ``w{step}`` holds walk and route."""
+    was = f"w{step - 1}"
+    pick = "CAST(('0x' || substr(md5(walk || '|{0}|{1}'), 1, 8)) AS BIGINT)"
+    text, entity, more = (pick.format(step, part) for part in ("text", "entity", "next"))
+    return f"""a{step} AS (SELECT walk, route, route[{text} % len(route) + 1] AS text FROM {was}),
+b{step} AS (SELECT a{step}.walk, route, tn.entity FROM a{step} JOIN td ON td.text = a{step}.text JOIN tn ON tn.text = a{step}.text AND tn.p = {entity.replace('walk', f'a{step}.walk')} % td.n),
+c{step} AS (SELECT b.walk, e.text, row_number() OVER (PARTITION BY b.walk ORDER BY e.p) - 1 AS q, count(*) OVER (PARTITION BY b.walk) AS n FROM b{step} b JOIN en e ON e.entity = b.entity WHERE NOT list_contains(b.route, e.text)),
+d{step} AS (SELECT walk, text FROM c{step} WHERE q = {more} % n),
+w{step} AS (SELECT b.walk, CASE WHEN d.text IS NULL THEN b.route ELSE list_append(b.route, d.text) END AS route FROM b{step} b LEFT JOIN d{step} d ON d.walk = b.walk)"""
+
+
+@query(
+    "route_walks",
+    f"""WITH {EV}, pr AS (SELECT DISTINCT event_id AS text, user_id AS entity FROM ev UNION SELECT event_id, k + 1000 FROM ev),
+tn AS (SELECT text, entity, row_number() OVER (PARTITION BY text ORDER BY entity) - 1 AS p FROM pr), td AS (SELECT text, count(*) AS n FROM pr GROUP BY text),
+en AS (SELECT text, entity, row_number() OVER (PARTITION BY entity ORDER BY text) - 1 AS p FROM pr),
+tx AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS p, count(*) OVER () AS n FROM td),
+w0 AS (SELECT event_id AS walk, [tx.text] AS route FROM ev JOIN tx ON tx.p = CAST(('0x' || substr(md5(event_id || '|0|text'), 1, 8)) AS BIGINT) % tx.n), {_walk_step(1)}, {_walk_step(2)}
+SELECT CAST(walk AS BIGINT) AS walk, array_to_string(route, ',') AS route FROM w2""",
+)
+def route_walks(spark: SparkSession, folder: str) -> DataFrame:
+    """A route of three events from each event number, by way of the users and faces they share."""
+    ev = told_events(spark, folder)
+    edges = ev.select("graph", F.col("event_id").alias("text"), F.explode(F.array("user_id", F.col("k") + FACE)).alias("entity"))
+    found = walks.route_walks(edges, ["graph"], ev.select("graph", F.col("event_id").alias("walk")), 3)
+    return found.select(big("walk"), F.array_join(F.col("route").cast("array<string>"), ",").alias("route"))

@@ -11,7 +11,7 @@ from cliptide.catalog.selection import scored_vectors
 from cliptide.catalog.sqlparts import SCORED
 from cliptide.operators import graph as G
 from cliptide.operators import speakers as P
-from cliptide.streaming import stateful
+from cliptide.streaming import ordered, stateful
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,22 @@ def stream_scene_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "ordered_clips",
+    """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN n % 7 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN n % 7 = 0 THEN 'ValueError: length ' || n END AS error,
+CASE WHEN n % 7 <> 0 THEN CAST(sum(CASE WHEN n % 7 <> 0 THEN n ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) END AS so_far FROM t""",
+)
+def ordered_clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters said so far in each conversation; texts whose length seven divides fail and are left out."""
+    turns = table_stream(spark, folder, "conversations").select("conv_id", "turn", "text")
+    done = stateful.run_available(
+        ordered.in_order(turns, "conv_id", "turn", ["text"], ordered.LengthFold("text", 7)), spark, "clips"
+    )
+    so_far = F.from_json("made", "array<struct<so_far: bigint>>")[0]["so_far"]
+    return done.select(big("conv_id"), F.col("clip").alias("turn"), "status", "error", so_far.alias("so_far"))
+
+
 @query("stream_entity_resolution")
 def stream_entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
     rows = table_stream(spark, folder, "embeddings").select("label", "vec_id", "embedding")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,65 +16,70 @@ KEY_PHRASES = [
 ]
 # Shapes of numbers with thousands commas, in scientific and in plain notation.
 NUMBERS = [
-    re.compile(r"-?\b\d{1,3}(?:,\d{3})+\b"),
-    re.compile(r"-?\d+(?:\.\d+)?[eE][+-]?\d+"),
-    re.compile(r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])"),
+    r"-?\b\d{1,3}(?:,\d{3})+\b",
+    r"-?\d+(?:\.\d+)?[eE][+-]?\d+",
+    r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])",
 ]
+#: A whole text that is a number once its commas are gone.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _forms(text: str) -> list:
-    """A number to two decimals, or the lower-case text (single letters padded on either side)."""
-    text = text.strip()
-    try:
-        return [round(float(text.replace(",", "")), 2)]
-    except ValueError:
-        low = text.lower()
-        return [f" {low}", f"{low} "] if len(low) == 1 else [low]
-
-
-def _tails(response: str) -> list[str]:
-    """Per sentence the shortest text after a key phrase; the whole response without any."""
-    body = response.strip().strip(".").lower()
-    sentences = re.split(r"\.\s(?=[A-Z])|\n", body)
-    found = []
-    for n, sentence in enumerate(sentences):
-        phrases = KEY_PHRASES + (["="] if n == len(sentences) - 1 else [])
-        ends = [sentence.split(p)[-1].strip() for p in phrases if p in sentence]
-        ends = [e for e in ends if e]
-        if ends:
-            best = min(ends, key=len)
-            if best not in list(":,.!?;'"):
-                found.append(best)
-    return found or [body]
-
-
-def open_answer_forms(response: str) -> list:
-    """Comparable forms of an open answer: texts and the numbers in them."""
-    if response in ("", "API Error"):
-        return []
-    tails = _tails(response)
-    numbers = [m for t in tails for shape in NUMBERS for m in shape.findall(t)]
-    return [form for piece in [*tails, *numbers] for form in _forms(piece)]
+def _number(text: Column) -> Column:
+    """The number that a text is, to two decimals, else null."""
+    bare = F.replace(X.strip(text), F.lit(","), F.lit(""))
+    return F.when(bare.rlike(NUMBER), F.round(bare.try_cast("double"), 2))
 
 
-def open_answer_correct(prediction: Column, gold: Column) -> Column:
-    """Whether a gold form occurs in a predicted text or equals a predicted number."""
-
-    @F.pandas_udf("boolean")
-    def grade(said: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = []
-        for p, g in zip(said, wanted):
-            golds = [f for item in (g if g is not None else []) for f in _forms(item)]
-            forms = open_answer_forms(p or "")
-            out.append(
-                any(
-                    any(isinstance(g1, str) and g1 in f for g1 in golds) if isinstance(f, str) else f in golds
-                    for f in forms
-                )
+def _words(text: Column) -> Column:
+    """Forms that a text is looked up with if it is no number: lower case, a single letter with a blank on either side."""
+    low = F.lower(X.strip(text))
+    padded = F.array(F.concat(F.lit(" "), low), F.concat(low, F.lit(" ")))
+    return F.when(_number(text).isNotNull(), F.array().cast("array<string>")).when(F.length(low) == 1, padded).otherwise(F.array(low))
+
+
+def _tail(line: Column, last: Column) -> Column:
+    """The shortest text after the last place of a key phrase, of equally short ones that of the first phrase."""
+    signs = [*KEY_PHRASES, "="]
+    tails = F.array(
+        *[
+            F.when(
+                F.contains(line, F.lit(sign)) & (last if sign == "=" else F.lit(True)),
+                F.struct(F.lit(0).alias("size"), F.lit(n).alias("n"), X.strip(F.substring_index(line, sign, -1)).alias("tail")),
             )
-        return pd.Series(out)
+            for n, sign in enumerate(signs)
+        ]
+    )
+    sized = F.transform(F.filter(tails, lambda t: t["tail"] != ""), lambda t: t.withField("size", F.length(t["tail"])))
+    best = F.array_min(sized)["tail"]
+    return F.when(~best.isin(*":,.!?;'\""), best)
+
+
+def open_answer_pieces(response: Column) -> Column:
+    """Texts that may hold the result of an open answer, and the numbers in them.
+
+    Per line what follows a key phrase; the whole answer if no line has one. Null, empty and failed answers have none.
+    """
+    body = F.lower(F.btrim(X.strip(response), F.lit(".")))
+    lines = F.split(body, "\n")
+    tails = F.filter(F.transform(lines, lambda x, i: _tail(x, i == F.size(lines) - 1)), lambda t: t.isNotNull())
+    texts = F.when(F.size(tails) > 0, tails).otherwise(F.array(body))
+    numbers = F.flatten(
+        F.transform(texts, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(shape), F.lit(0)) for shape in NUMBERS]))
+    )
+    none = F.array().cast("array<string>")
+    return F.when(response.isNull() | response.isin("", "API Error"), none).otherwise(F.concat(texts, numbers))
 
-    return grade(prediction, gold)
+
+def open_answer_correct(prediction: Column, gold: Column) -> Column:
+    """Whether a gold text occurs in a text of the answer, or a gold number equals one of its numbers."""
+    pieces = open_answer_pieces(prediction)
+    golds = F.coalesce(gold, F.array().cast("array<string>"))
+    wanted_words = F.flatten(F.transform(golds, _words))
+    wanted_numbers = F.filter(F.transform(golds, _number), lambda n: n.isNotNull())
+    said_words = F.flatten(F.transform(pieces, _words))
+    said_numbers = F.filter(F.transform(pieces, _number), lambda n: n.isNotNull())
+    text_hit = F.exists(said_words, lambda said: F.exists(wanted_words, lambda g: F.contains(said, g)))
+    return text_hit | F.arrays_overlap(said_numbers, wanted_numbers)
 
 
 def option_parts(text: Column) -> Column:

@@ -1,10 +1,12 @@
 """Greedy selectors that reward new evidence: saturation and role coverage.
 
-Both fold a bounded pool per query (cut in Catalyst beforehand), one step depending on the last.
+Both fold a bounded pool per query (cut in Catalyst beforehand), one step depending on the last. A pool becomes
+matrices of items by features; each kind of evidence is an array over all items that a choice updates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,13 +113,116 @@ class SaturationWeights:
     novelty: float = 0.86
 
 
-def _scaled(scores: np.ndarray) -> np.ndarray:
+class Open:
+    """Weight of an item's features that no chosen item has."""
+
+    def __init__(self, touches: np.ndarray, weights: np.ndarray):
+        self.touches, self.weights = touches, weights
+        self.left = np.ones(touches.shape[1], bool)
+
+    def worth(self) -> np.ndarray:
+        return self.weights @ self.left
+
+    def take(self, item: int) -> None:
+        self.left &= ~self.touches[item]
+
+    @classmethod
+    def shares(cls, items: list[Iterable]) -> Open:
+        """Every feature of an item weighs as much, all of them one."""
+        touches, _ = incidence(items)
+        return cls(touches, touches / np.maximum(touches.sum(1, keepdims=True), 1))
+
+
+class Closest:
+    """Largest value of an item against the chosen ones; zero before the first choice."""
+
+    def __init__(self, between: np.ndarray):
+        self.between, self.most = between, None
+
+    def worth(self) -> np.ndarray:
+        return np.zeros(len(self.between)) if self.most is None else self.most
+
+    def take(self, item: int) -> None:
+        self.most = self.between[item] if self.most is None else np.maximum(self.most, self.between[item])
+
+
+class Novel:
+    """Share of an item's parts whose cosine to every chosen part stays below a limit; zero without parts."""
+
+    def __init__(self, parts: list[list], limit: float):
+        self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        self.sizes = np.maximum(np.bincount(self.owner, minlength=len(parts)), 1)
+        flat = np.array([v for p in parts for v in p], float).reshape(len(self.owner), -1)
+        self.between, self.limit = np.round(flat @ flat.T, 9), limit
+        self.most = np.full(len(self.owner), -np.inf)
+
+    def worth(self) -> np.ndarray:
+        return np.bincount(self.owner, self.most < self.limit, len(self.sizes)) / self.sizes
+
+    def take(self, item: int) -> None:
+        for part in np.flatnonzero(self.owner == item):
+            self.most = np.maximum(self.most, self.between[part])
+
+
+def incidence(items: list[Iterable]) -> tuple[np.ndarray, dict]:
+    """Which item has which feature, and the column of each feature."""
+    columns: dict = {}
+    places = [(row, columns.setdefault(f, len(columns))) for row, features in enumerate(items) for f in features]
+    out = np.zeros((len(items), max(len(columns), 1)), bool)
+    if places:
+        out[tuple(np.array(places).T)] = True
+    return out, columns
+
+
+def overlap(touches: np.ndarray) -> np.ndarray:
+    """Jaccard index of every two items, zero beside an empty one."""
+    t = touches.astype(float)
+    both = t @ t.T
+    sizes = t.sum(1)
+    return both / np.maximum(sizes[:, None] + sizes - both, 1)
+
+
+def unit_range(scores: np.ndarray) -> np.ndarray:
     low, high = scores.min(), scores.max()
-    return (scores - low) / (high - low) if high > low else np.ones_like(scores)
+    return np.ones_like(scores) if high <= low else (scores - low) / (high - low)
+
+
+def chosen(
+    value: Callable[[], np.ndarray], evidence: list, steps: int, enough: Callable[[int, int], bool] | None = None, first: int | None = None
+) -> list[tuple[int, float]]:
+    """(item, value) of each step: the highest value, ties to the earlier item; ``enough(taken, item)`` ends before an item."""
+    out: list[tuple[int, float]] = []
+    free = None
+    while len(out) < steps:
+        values = value()
+        free = np.ones(len(values), bool) if free is None else free
+        if not free.any():
+            break
+        open_ = np.where(free, np.round(values, 9), -np.inf)
+        item = int(open_.argmax()) if first is None or out else first
+        if enough is not None and enough(len(out), item):
+            break
+        out.append((item, float(values[item])))
+        free[item] = False
+        for kind in evidence:
+            kind.take(item)
+    return out
+
+
+def _fold(pool: DataFrame, key: list[str], used: list[str], names: list[tuple[str, str, pa.DataType]], walk: Callable) -> DataFrame:
+    """Fold each pool in the order of ``pos``; ``walk(rows)`` returns a tuple per chosen row, its rank is put in front."""
+    types = dict(pool.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "rank int", *(f"{n} {sql}" for n, sql, _ in names)])
 
+    def fold(table: pa.Table) -> pa.Table:
+        out = walk(table.sort_by("pos").to_pylist())
+        columns = {k: pa.array([table[k][0].as_py()] * len(out), table.schema.field(k).type) for k in key}
+        columns["rank"] = pa.array(range(1, len(out) + 1), pa.int32())
+        for at, (name, _, kind) in enumerate(names):
+            columns[name] = pa.array([o[at] for o in out], kind)
+        return pa.table(columns)
 
-def _share_new(items: set, covered: set) -> float:
-    return len(items - covered) / len(items) if items else 0.0
+    return pool.select(*key, "pos", *used).groupBy(*key).applyInArrow(fold, schema)
 
 
 def saturation_prefix(
@@ -129,68 +234,38 @@ def saturation_prefix(
     words, actions.
     """
     w = w or SaturationWeights()
-    types = dict(pool.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "rank int, clip_id bigint, objective double, gain double"])
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("pos").to_pylist()
-        scaled = _scaled(np.array([r["relevance"] for r in rows], dtype=float))
-        vectors = np.array([r["vector"] for r in rows], dtype=float)
-        sets = [{n: set(r[n] or []) for n in ("entities", "words", "actions")} for r in rows]
-        centroids = [np.array(r["centroids"], dtype=float) for r in rows]
-        left, taken, out = list(range(len(rows))), [], []
-        seen = {"entities": set(), "actions": set()}
-        covered: list[np.ndarray] = []
-        buckets: set[int] = set()
-
-        def near_overlap(i: int, j: int) -> float:
-            gap = abs(rows[i]["clip_id"] - rows[j]["clip_id"])
-            if gap > w.near:
-                return 0.0
-            a, b = sets[i]["words"], sets[j]["words"]
-            same = len(a & b) / len(a | b) if a and b else 0.0
-            return (w.near + 1 - gap) / (w.near + 1) * (0.5 + 0.5 * same)
-
-        def gain_of(i: int) -> float:
-            semantic = 0.0
-            if len(centroids[i]):
-                known = np.array(covered) if covered else None
-                semantic = 1.0 if known is None else float(
-                    np.mean(np.round(centroids[i] @ known.T, 9).max(axis=1) < w.novelty)
-                )
-            temporal = 0.0 if rows[i]["clip_id"] // w.bucket in buckets else 1.0
-            redundancy = max((float(vectors[i] @ vectors[j]) for j in taken), default=0.0)
-            timed = max((near_overlap(i, j) for j in taken), default=0.0)
-            return (
-                w.semantic * semantic
-                + w.temporal * temporal
-                + w.entity * _share_new(sets[i]["entities"], seen["entities"])
-                + w.action * _share_new(sets[i]["actions"], seen["actions"])
-                - w.redundancy * redundancy
-                - w.temporal_redundancy * timed
-            )
-
-        while left and len(taken) < min(max(min_clips, max_clips), len(rows)):
-            gains = {i: gain_of(i) for i in left}
-            best = max(left, key=lambda i: (round(w.relevance * scaled[i] + gains[i], 9), -i))
-            if taken and len(taken) >= max(1, min_clips) and round(gains[best], 9) < w.stop:
-                break
-            out.append((len(taken) + 1, rows[best]["clip_id"], w.relevance * scaled[best] + gains[best], gains[best]))
-            taken.append(best)
-            left.remove(best)
-            covered.extend(centroids[best])
-            seen["entities"] |= sets[best]["entities"]
-            seen["actions"] |= sets[best]["actions"]
-            buckets.add(rows[best]["clip_id"] // w.bucket)
-        cols = {k: pa.array([table[k][0].as_py()] * len(out), table.schema.field(k).type) for k in key}
-        cols["rank"] = pa.array([o[0] for o in out], pa.int32())
-        cols["clip_id"] = pa.array([o[1] for o in out], pa.int64())
-        cols["objective"] = pa.array([o[2] for o in out], pa.float64())
-        cols["gain"] = pa.array([o[3] for o in out], pa.float64())
-        return pa.table(cols)
-
-    used = ["pos", "clip_id", "relevance", "vector", "centroids", "entities", "words", "actions"]
-    return pool.select(*key, *used).groupBy(*key).applyInArrow(fold, schema)
+    least = max(1, min_clips)
+
+    def walk(rows: list[dict]) -> list[tuple]:
+        clip = np.array([r["clip_id"] for r in rows])
+        base = w.relevance * unit_range(np.array([r["relevance"] for r in rows], float))
+        vectors = np.array([r["vector"] for r in rows], float)
+        gap = np.abs(clip[:, None] - clip)
+        decay = np.maximum(w.near + 1 - gap, 0) / (w.near + 1)
+        alike = 0.5 + 0.5 * overlap(incidence([r["words"] or [] for r in rows])[0])
+        weighed = [
+            (w.semantic, Novel([r["centroids"] for r in rows], w.novelty)),
+            (w.temporal, Open.shares([[b] for b in (clip // w.bucket).tolist()])),
+            (w.entity, Open.shares([r["entities"] or [] for r in rows])),
+            (w.action, Open.shares([r["actions"] or [] for r in rows])),
+            (-w.redundancy, Closest(vectors @ vectors.T)),
+            (-w.temporal_redundancy, Closest(decay * alike)),
+        ]
+        gains: list[np.ndarray] = []
+
+        def value() -> np.ndarray:
+            gains.append(sum(weight * kind.worth() for weight, kind in weighed))
+            return base + gains[-1]
+
+        def enough(taken: int, item: int) -> bool:
+            return taken >= least and round(float(gains[-1][item]), 9) < w.stop
+
+        path = chosen(value, [kind for _, kind in weighed], max(min_clips, max_clips), enough)
+        return [(int(clip[i]), v, float(gains[step][i])) for step, (i, v) in enumerate(path)]
+
+    used = ["clip_id", "relevance", "vector", "centroids", "entities", "words", "actions"]
+    names = [("clip_id", "bigint", pa.int64()), ("objective", "double", pa.float64()), ("gain", "double", pa.float64())]
+    return _fold(pool, key, used, names, walk)
 
 
 @dataclass(frozen=True)
@@ -211,79 +286,52 @@ def role_prefix(pool: DataFrame, key: list[str], k: int, w: RoleWeights | None =
     """Order by relevance plus newly covered roles and evidence units.
 
     ``pool``: clip_id (string), pos, relevance, vector, weights (map role to weight of the
-    question), units (array of struct<unit, role>).
+    question), units (array of struct<unit, role>). By default a role weighs what the question gives it, the others
+    ``secondary``. With ``soft_prior`` all roles weigh alike and the question counts in ``match`` and ``query_coverage`` only.
     """
     w = w or RoleWeights()
-    types = dict(pool.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in key), "rank int, clip_id string, objective double"])
 
-    def fold(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("pos").to_pylist()
+    def walk(rows: list[dict]) -> list[tuple]:
+        base = unit_range(np.array([r["relevance"] for r in rows], float))
+        vectors = np.array([r["vector"] for r in rows], float)
+        units = [{u["unit"]: u["role"] for u in r["units"] or []} for r in rows]
+        has_role, role_at = incidence([u.values() for u in units])
+        has_unit, unit_at = incidence(units)
         asked = {r: v for r, v in dict(rows[0]["weights"]).items() if v > 0}
-        effective = dict(asked)
-        if w.secondary > 0:
-            for role in ROLES:
-                effective.setdefault(role, w.secondary)
-        scaled = _scaled(np.array([r["relevance"] for r in rows], dtype=float))
-        vectors = np.array([r["vector"] for r in rows], dtype=float)
-        units = [{u["unit"]: u["role"] for u in (r["units"] or [])} for r in rows]
-        weigh = asked if w.soft_prior else effective
-        total = max(sum(weigh.values()), 1e-6)
-        if w.soft_prior:
-            unit_worth = lambda role: 1.0 if role in ROLES else 0.0
-        else:
-            unit_worth = lambda role: effective.get(role, 0.0)
-        most = max([sum(unit_worth(r) for r in u.values()) for u in units] + [1.0 if w.soft_prior else 1e-6])
-        taken, out, left = [], [], list(range(len(rows)))
-        covered_roles: set[str] = set()
-        covered_units: set[str] = set()
-
-        def objective(i: int) -> float:
-            roles = set(units[i].values()) & (set(ROLES) if w.soft_prior else set(effective))
-            fresh = roles - covered_roles
-            worth = sum(unit_worth(r) for u, r in units[i].items() if u not in covered_units)
-            instance = min(1.0, worth / most)
-            match = min(1.0, sum(weigh.get(r, 0.0) for r in roles) / total)
-            if w.soft_prior:
-                role_gain = len(fresh) / len(ROLES)
-                query_gain = min(1.0, sum(asked.get(r, 0.0) for r in fresh) / total)
-            else:
-                role_gain = sum(effective.get(r, 0.0) for r in fresh) / total
-                query_gain = 0.0
-            redundancy = max((float(vectors[i] @ vectors[j]) for j in taken), default=0.0)
-            if w.gate_redundancy:
-                redundancy *= max(0.0, 1.0 - instance)
-            return (
-                w.relevance * scaled[i]
-                + w.match * match
-                + w.coverage * role_gain
-                + w.instance * instance
-                + w.query_coverage * query_gain
-                - w.redundancy * redundancy
-            )
-
-        def take(i: int, value: float) -> None:
-            out.append((len(taken) + 1, rows[i]["clip_id"], value))
-            taken.append(i)
-            left.remove(i)
-            covered_roles.update(units[i].values())
-            covered_units.update(units[i])
-
-        if len(rows) <= k:
-            for i in list(left):
-                take(i, scaled[i])
-        elif w.fix_first and k > 0:
-            first = max(left, key=lambda i: (scaled[i], -i))
-            take(first, scaled[first])
-        while left and len(taken) < k:
-            values = {i: round(objective(i), 9) for i in left}
-            best = max(left, key=lambda i: (values[i], -i))
-            take(best, values[best])
-        cols = {c: pa.array([table[c][0].as_py()] * len(out), table.schema.field(c).type) for c in key}
-        cols["rank"] = pa.array([o[0] for o in out], pa.int32())
-        cols["clip_id"] = pa.array([o[1] for o in out], pa.string())
-        cols["objective"] = pa.array([float(o[2]) for o in out], pa.float64())
-        return pa.table(cols)
-
-    used = ["pos", "clip_id", "relevance", "vector", "weights", "units"]
-    return pool.select(*key, *used).groupBy(*key).applyInArrow(fold, schema)
+        usual = dict.fromkeys(ROLES, w.secondary) if w.secondary > 0 else {}
+
+        def per_role(weights: dict) -> np.ndarray:
+            return np.array([weights.get(r, 0.0) for r in role_at] or [0.0])
+
+        flat = per_role(dict.fromkeys(ROLES, 1.0))
+        query = per_role(asked)
+        whole = max(sum((asked if w.soft_prior else usual | asked).values()), 1e-6)
+        own = flat if w.soft_prior else per_role(usual | asked)
+        unit_worth = np.zeros(has_unit.shape)
+        for row, held in enumerate(units):
+            for unit, role in held.items():
+                unit_worth[row, unit_at[unit]] = own[role_at[role]]
+        most = max(unit_worth.sum(1).max(), 1.0 if w.soft_prior else 1e-6)
+        counted = has_role & (flat > 0) if w.soft_prior else has_role
+        roles = Open(has_role, counted * (own / (len(ROLES) if w.soft_prior else whole)))
+        wanted = Open(has_role, counted * query / whole if w.soft_prior else np.zeros(has_role.shape))
+        instances = Open(has_unit, unit_worth)
+        close = Closest(vectors @ vectors.T)
+        match = np.minimum(1.0, counted @ (query if w.soft_prior else own) / whole)
+
+        def value() -> np.ndarray:
+            instance = np.minimum(1.0, instances.worth() / most)
+            near = close.worth() * (np.maximum(0.0, 1.0 - instance) if w.gate_redundancy else 1.0)
+            new = w.coverage * roles.worth() + w.instance * instance + w.query_coverage * np.minimum(1.0, wanted.worth())
+            return w.relevance * base + w.match * match + new - w.redundancy * near
+
+        if len(rows) <= k:  # nothing to choose
+            return [(r["clip_id"], float(b)) for r, b in zip(rows, base, strict=True)]
+        first = int(base.argmax()) if w.fix_first else None
+        path = chosen(value, [roles, wanted, instances, close], k, first=first)
+        return [
+            (rows[i]["clip_id"], float(base[i]) if step == 0 and w.fix_first else round(v, 9)) for step, (i, v) in enumerate(path)
+        ]
+
+    used = ["clip_id", "relevance", "vector", "weights", "units"]
+    return _fold(pool, key, used, [("clip_id", "string", pa.string()), ("objective", "double", pa.float64())], walk)

@@ -214,21 +214,13 @@ def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple]
     return out
 
 
-def _meet_blocks(
-    rows: DataFrame,
-    keys: list[str],
-    threshold: float,
-    block_rows: int,
-    extra: list[str],
-    decide: Callable,
-    out: list[str],
-) -> DataFrame:
-    """Bring blocks of unit vectors together wherever a cosine >= ``threshold`` is possible.
+def block_pairs(rows: DataFrame, keys: list[str], threshold: float, block_rows: int, extra: list[str]) -> DataFrame:
+    """Deal unit vectors into blocks and name every two blocks between which a cosine >= ``threshold`` is possible.
 
     ``rows`` holds keys, id, v and ``extra`` columns. A block is one dominant axis direction,
     hash-split to a bounded size. Two blocks meet only if the angle between their centres less
-    their angular radii allows a match. ``decide(left, right, cosines, ids, extras)`` returns
-    rows of ``out`` id columns; pairs as such never leave a meeting.
+    their angular radii allows a match. The rows of a meeting share (b1, b2); ``side`` tells the blocks
+    apart, and a block that meets itself has side 0 only.
     """
     axis = F.array_max(
         F.transform("v", lambda x, i: F.struct(F.abs(x).alias("a"), F.signum(x).alias("s"), i.alias("i")))
@@ -269,6 +261,22 @@ def _meet_blocks(
         .join(blocked.withColumnRenamed("block", "block2"), [*keys, "block2"])
         .select(*shape, F.lit(1).alias("side"))
     )
+    return one.unionByName(two)
+
+
+def _meet_blocks(
+    rows: DataFrame,
+    keys: list[str],
+    threshold: float,
+    block_rows: int,
+    extra: list[str],
+    decide: Callable,
+    out: list[str],
+) -> DataFrame:
+    """Rows of ``out`` id columns that ``decide(left, right, ids, extras)`` returns for the matches of two blocks.
+
+    Pairs as such never leave a meeting.
+    """
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{o} {types['id']}" for o in out)])
 
@@ -289,7 +297,8 @@ def _meet_blocks(
             cols[name] = pa.array([f[n] for f in found], kind)
         return pa.table(cols)
 
-    return one.unionByName(two).groupBy(*keys, "b1", "b2").applyInArrow(meet, schema)
+    dealt = block_pairs(rows, keys, threshold, block_rows, extra)
+    return dealt.groupBy(*keys, "b1", "b2").applyInArrow(meet, schema)
 
 
 def similarity_forest(

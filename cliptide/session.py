@@ -69,6 +69,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
+    """Whether a count proves that the table fits; it stops at the first row beyond the limit."""
+    most = max(1, limit_bytes // max(1, row_bytes))
+    return df.limit(most + 1).count() <= most
+
+
 def broadcast_when_small(
     df: DataFrame, row_bytes: int, limit_bytes: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
@@ -76,10 +82,7 @@ def broadcast_when_small(
 
     The count stops at the first row beyond the limit, so a large table costs no full pass.
     """
-    most = max(1, limit_bytes // max(1, row_bytes))
-    if df.limit(most + 1).count() <= most:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits_broadcast(df, row_bytes, limit_bytes) else df
 
 
 def spread(df: DataFrame) -> DataFrame:

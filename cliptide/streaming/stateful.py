@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cliptide.session import ensure_checkpoint_dir
+from cliptide.streaming import ordered
 
 
 def run_available(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -38,31 +39,13 @@ def run_available(stream: DataFrame, spark: SparkSession, name: str) -> DataFram
 
 
 def scene_stream(clips: DataFrame, key: str, clip: str, text: str, last: str, size: int = 6) -> DataFrame:
-    """Tumbling windows of ``size`` clips; the clip marked ``last`` flushes the remainder.
+    """Tumbling windows of ``size`` clips, whatever order they arrive in; the clip marked ``last`` flushes the remainder.
 
     Windows without text emit nothing.
     """
-    types = dict(clips.dtypes)
-    out = f"{key} {types[key]}, scene bigint, last_clip bigint, clips bigint, members array<bigint>, fragments bigint"
-    state = "scene bigint, members array<bigint>, fragments bigint"
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        scene, members, fragments = held.get if held.exists else (0, [], 0)
-        members = list(members)
-        made = []
-        rows = pd.concat(list(batches)).sort_values(clip)
-        for at, body, final in rows[[clip, text, last]].itertuples(index=False):
-            members.append(int(at))
-            fragments += 1 if body and body.strip() else 0
-            if len(members) == size or final:
-                if fragments:
-                    made.append((keys[0], scene, members[-1], len(members), members, min(20, fragments)))
-                scene, members, fragments = scene + 1, [], 0
-        held.update((scene, members, fragments))
-        names = [key, "scene", "last_clip", "clips", "members", "fragments"]
-        yield pd.DataFrame(made, columns=names)
-
-    return clips.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    done = ordered.in_order(clips, key, clip, [text, last], ordered.SceneFold(text, clip, last, size))
+    made = ordered.results(done, key, "scene bigint, last_clip bigint, clips bigint, members array<bigint>, fragments bigint")
+    return made.drop("clip")
 
 
 def resolve_entities(
