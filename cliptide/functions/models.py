@@ -139,24 +139,4 @@ def judged_yes(reply: Column, anywhere: bool = False) -> Column:
     return plain.contains("yes") if anywhere else plain.startswith("yes")
 
 
-def name_similarity(left: Column, right: Column) -> Column:
-    """1 for equal names, 0.95 for containment, else the matching-block ratio if it is convincing."""
-    from cliptide.operators.identity import person_name
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    a, b = person_name(left), person_name(right)
-    inside = ((F.length(a) >= 3) & F.contains(b, a)) | ((F.length(b) >= 3) & F.contains(a, b))
-    shared = F.substring(a, 1, 2) == F.substring(b, 1, 2)
-    close = ratio(a, b)
-    fuzzy = F.when((F.length(a) >= 2) & (F.length(b) >= 2) & shared & (close >= 0.45), close).otherwise(F.lit(0.0))
-    return (
-        F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).when(inside, F.lit(0.95)).otherwise(fuzzy)
-    )
-
-
 Judge = Callable[[Column], Column]

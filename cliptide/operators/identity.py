@@ -150,3 +150,24 @@ def resolve_nodes(
     near = matches.select(*graph, item, F.col(node).alias("__near"))
     joined = items.join(exact, [*graph, content], "left").join(near, [*graph, item], "left")
     return joined.withColumn(node, F.coalesce("__exact", "__near")).drop("__exact", "__near")
+
+
+def related_nodes(queries: DataFrame, members: DataFrame, graph: list[str], key: list[str], text: str) -> DataFrame:
+    """(graph, key, tag): faces and voices that a query's tags stand for.
+
+    A character stands for its members, a face or voice for itself; tags that no character holds are left out.
+    """
+    told = queries.select(*graph, *key, F.explode(F.array_distinct(entity_tags(F.col(text)))).alias("asked"))
+    known = members.select(*graph, F.explode(F.array("character_tag", "tag")).alias("asked"), "tag").distinct()
+    return told.join(known, [*graph, "asked"]).select(*graph, *key, "tag").distinct()
+
+
+def clip_inspection(texts: DataFrame, graph: list[str], clip: str, text: str) -> DataFrame:
+    """(graph, clip, texts, faces, voices): how many texts a clip has, and how many faces and voices they name."""
+    tags = texts.select(*graph, clip, entity_tags(F.col(text)).alias("tags"))
+    counted = tags.groupBy(*graph, clip).agg(F.count("*").alias("texts"))
+    named = tags.select(*graph, clip, F.explode("tags").alias("tag")).distinct()
+    kinds = named.groupBy(*graph, clip).agg(
+        F.count_if(F.col("tag").startswith("face_")).alias("faces"), F.count_if(F.col("tag").startswith("voice_")).alias("voices")
+    )
+    return counted.join(kinds, [*graph, clip], "left").na.fill(0, ["faces", "voices"])

@@ -85,6 +85,16 @@ def average_similarity(
     return both.withColumn("similarity", score).drop("left_mean", "right_mean")
 
 
+def search_entities(
+    nodes: DataFrame, queries: DataFrame, scope: list[str], node: str, vector: str, threshold: float
+) -> DataFrame:
+    """(scope, node, similarity, rank): nodes whose mean cosine over all pairs with the query vectors of their scope
+    reaches ``threshold``, best first, ties to the smaller node."""
+    means = average_similarity(nodes, queries, node, scope[0], scope, vector)
+    found = means.filter(F.col("similarity") >= threshold).select(*scope, node, "similarity")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("similarity"), node)))
+
+
 #: Fixed value: a question is searched with at most this many rewritten variants.
 QUERY_VARIANTS = 100
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +11,6 @@ from cliptide.operators.carry import Running
 
 #: Quality bounds of a usable face and the shortest usable voice segment.
 FACE_DETECTION, FACE_QUALITY, VOICE_SECONDS = 0.85, 22.0, 2
-#: Recordings with fewer chunks than this are clustered by average linkage.
-SMALL_RECORDING = 40
 #: Overlap stretches folded in one call.
 STRETCHES_PER_FOLD = 256
 
@@ -116,46 +113,6 @@ def split_overlaps(segments: DataFrame, keys: list[str], tie: str, chunk: Column
     return folded.unionByName(marked.filter("__lone").select(*shape))
 
 
-def _average_linkage(vectors: np.ndarray, floor: float) -> np.ndarray:
-    """Labels of average-linkage clustering stopped when no pair of clusters averages ``floor``."""
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    sims = unit @ unit.T
-    groups = [[i] for i in range(len(vectors))]
-    while len(groups) > 1:
-        means = np.full((len(groups), len(groups)), -np.inf)
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                means[a, b] = round(sims[np.ix_(groups[a], groups[b])].mean(), 9)
-        a, b = np.unravel_index(np.argmax(means), means.shape)
-        if means[a, b] < floor:
-            break
-        groups[a] = sorted(groups[a] + groups[b])
-        del groups[b]
-    labels = np.empty(len(vectors), dtype=np.int64)
-    for code, members in enumerate(sorted(groups)):
-        labels[members] = code
-    return labels
-
-
-def cluster_small(chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = 0.4) -> DataFrame:
-    """Speaker labels of recordings with fewer than ``SMALL_RECORDING`` chunks.
-
-    Larger recordings are left out here and reported by ``large_recordings``; ``cluster_recordings``
-    labels recordings of any size.
-    """
-    sizes = chunks.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") < SMALL_RECORDING)
-    small = chunks.join(sizes, keys, "left_semi").select(*keys, order, F.col(vector).cast("array<double>").alias("v"))
-    types = dict(small.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{order} {types[order]}", "speaker bigint"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        labels = _average_linkage(np.stack(pdf["v"].to_numpy()), floor)
-        return pdf[[*keys, order]].assign(speaker=labels)
-
-    return small.groupBy(*keys).applyInPandas(fold, schema)
-
-
 def cluster_recordings(chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = 0.4) -> DataFrame:
     """Speaker labels of every chunk, whatever the size of its recording.
 
@@ -167,7 +124,3 @@ def cluster_recordings(chunks: DataFrame, keys: list[str], order: str, vector: s
     found = graph.connected_components(forest, keys).withColumnRenamed("node_id", order)
     rooted = chunks.select(*keys, order).join(found, [*keys, order], "left").withColumn("root", F.coalesce("root", order))
     return graph.number_groups(rooted, keys, "root", 65536, "speaker").select(*keys, order, "speaker")
-
-
-def large_recordings(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    return chunks.groupBy(*keys).agg(F.count("*").alias("chunks")).filter(F.col("chunks") >= SMALL_RECORDING)

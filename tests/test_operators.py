@@ -283,11 +283,6 @@ def test_saturation_stops_and_roles_cover(spark):
     assert [r.clip_id for r in coverage.role_prefix(df, ["q"], 2).orderBy("rank").collect()] == ["a", "c"]
 
 
-def test_average_linkage():
-    v = np.array([[1.0, 0], [0.99, 0.1], [0, 1.0], [0.05, 0.99], [-1.0, 0]])
-    assert speakers._average_linkage(v, 0.4).tolist() == [0, 0, 1, 1, 2]
-
-
 def test_split_overlaps_against_a_plain_loop(spark):
     rng = np.random.default_rng(11)
     rows, at = [], 0.0

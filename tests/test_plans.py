@@ -46,12 +46,6 @@ def test_reply_parsers(spark):
     assert len(one(spark, P.cache_key(F.struct(F.lit(1))))) == 40
 
 
-def test_name_similarity(spark):
-    score = lambda a, b: one(spark, M.name_similarity(F.lit(a), F.lit(b)))
-    assert score("Alice", "alice ") == 1.0 and score("Ali", "Alice") == 0.95 and score("Bob", "Alice") == 0.0
-    assert 0.45 <= score("Alicia", "Alise") < 0.95
-
-
 def test_embedding_paths():
     assert M.endpoint("http://h/v1/", "embeddings") == "http://h/v1/embeddings"
     assert M.endpoint("http://h", "embeddings") == "http://h/v1/embeddings"
