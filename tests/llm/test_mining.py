@@ -82,13 +82,23 @@ def test_long_texts_are_cut_between_pieces():
 
 def test_a_full_filter_changes_nothing(documents):
     """Phrases that stand in the filter by chance are counted and then fall to the threshold."""
-    full = np.full(1 << 14, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    full = phrases.Filter(~phrases.Filter.empty().bits)
     texts = documents.select("lang", "text")
-    digests = phrases.locally_frequent(texts, 12)
-    some, every = ({tuple(r) for r in phrases.counted(texts, cells, 12).collect()} for cells in (phrases.union_filter(digests), full))
+    some, every = ({tuple(r) for r in phrases.counted(texts, known, 12).collect()} for known in (phrases.candidates(texts, 12), full))
     assert some == every
 
 
+@pytest.mark.parametrize("tasks", [3, 700])
+def test_reports_of_many_tasks_are_added_up(spark, tasks):
+    """Cell 7 has 5 above in three tasks, cell 9 one in each; the others can lack 85."""
+    rows = [("en", 4, k, 0, phrases.packed(np.array([7, 9] if k < 3 else [9]), np.array([5, 1] if k < 3 else [1]))) for k in range(tasks)]
+    rows.append(("en", -1, 0, 85, b""))
+    known = phrases.passed(spark.createDataFrame(rows, phrases.REPORT), 100)
+    digests = np.array([(4 << 16) + cell for cell in (7, 8, 9)], np.uint64)
+    assert known.has(digests).tolist() == [True, False, tasks >= 15]
+    assert int(np.unpackbits(known.bits).sum()) == 1 + (tasks >= 15)
+
+
 # --- 12: spelling variants --------------------------------------------------------------------------------------
 
 
