@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from cliptide.operators import hints
 from cliptide.operators import identity as I
 from cliptide.operators import scoring
 from cliptide.operators import speakers
+from cliptide.session import ensure_checkpoint_dir
 from cliptide.sources import captions as C
+from cliptide.sources import elements
 from cliptide.sources import subtitles as S
 
 
@@ -284,6 +288,22 @@ def clip_inspection(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(big("clip_id"), big("texts"), big("faces"), big("voices"))
 
 
+@query(
+    "array_annotations",
+    """SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, md5(text) AS text, CAST(length(text) AS DOUBLE) / 4 AS quarter FROM conversations""",
+)
+def array_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns written as JSON arrays, a file for each 64 conversations, and read back element by element."""
+    turns = table(spark, folder, "conversations").withColumn("about", F.struct("role", (F.length("text") / 4).alias("quarter")))
+    items = F.collect_list(F.to_json(F.struct("conv_id", "turn", "text", "about")))
+    arrays = turns.groupBy(F.expr("conv_id div 64").alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(items, ",\n"), F.lit("\n]")).alias("value"))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/arrays-{uuid.uuid4().hex}"
+    arrays.select("part", "value").write.partitionBy("part").text(path)
+    rows = elements.json_table(spark, f"{path}/*")
+    return rows.select(big("conv_id"), big("turn"), "about.role", F.md5(F.col("text").cast("binary")).alias("text"), F.col("about.quarter").cast("double").alias("quarter"))
+
+
 @query("identity_hints")
 def identity_hints(spark: SparkSession, folder: str) -> DataFrame:
     """First words of the documents of a language as names of fifty characters, asked for by the first words of the test items."""

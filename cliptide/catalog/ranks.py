@@ -195,14 +195,13 @@ def evidence_saturation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("role_aware")
 def role_aware(spark: SparkSession, folder: str) -> DataFrame:
+    """Each test item asks the pool of one of ten labels."""
     pool = evidence_pool(spark, folder)
     roles = F.array(*[F.lit(r) for r in coverage.ROLES])
     units = F.transform("actions", lambda a: F.struct(a.alias("unit"), F.get(roles, F.length(a) % 6).alias("role")))
-    questions = table(spark, folder, "benchmark").groupBy((F.col("item_id") % 10).alias("label")).agg(
-        F.min("text").alias("question")
-    )
+    questions = table(spark, folder, "benchmark").select("item_id", (F.col("item_id") % 10).alias("label"), F.col("text").alias("question"))
     rows = pool.join(questions, "label").select(
-        "label",
+        "item_id",
         "pos",
         F.col("vec_id").cast("string").alias("clip_id"),
         "relevance",
@@ -210,8 +209,8 @@ def role_aware(spark: SparkSession, folder: str) -> DataFrame:
         units.alias("units"),
         coverage.question_roles(F.col("question")).alias("weights"),
     )
-    out = coverage.role_prefix(rows, ["label"], 4)
-    return out.select(big("label"), big("rank"), "clip_id", digits("objective"))
+    out = coverage.role_prefix(rows, ["item_id"], 4)
+    return out.select(big("item_id"), big("rank"), "clip_id", digits("objective"))
 
 
 @query(

@@ -95,18 +95,14 @@ def search_entities(
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("similarity"), node)))
 
 
-#: Fixed value: a question is searched with at most this many rewritten variants.
-QUERY_VARIANTS = 100
-
-
 def search_nodes(
     nodes: DataFrame, queries: DataFrame, scope: list[str], node: list[str], vector: str, query_vector: str, mode: str = "max"
 ) -> DataFrame:
     """Score nodes that own several vectors against a question with several query vectors.
 
     ``max``, ``min`` and ``mean`` run over all (query, vector) cosines; ``sum`` averages over a
-    node's vectors and adds up the queries. ``queries`` holds at most ``QUERY_VARIANTS`` rows per
-    scope; they are packed into one row, so a node vector is read once and no pair is emitted.
+    node's vectors and adds up the queries. The ``queries`` of a scope are packed into one row, so a
+    node vector is read once and no pair is emitted; the size check goes by the longest such row.
     """
     per_row = {
         "max": (F.array_max, F.max),
@@ -118,7 +114,9 @@ def search_nodes(
         raise ValueError(f"unknown search mode: {mode}")
     reduce_row, reduce_node = per_row[mode]
     packed = queries.groupBy(*scope).agg(F.collect_list(V.normalize(F.col(query_vector))).alias("__queries"))
-    stored = broadcast_when_small(cut_lineage(packed), QUERY_BYTES * QUERY_VARIANTS)
+    stored = cut_lineage(packed)
+    most = stored.agg(F.coalesce(F.max(F.size("__queries")), F.lit(1)).alias("most")).first().most
+    stored = broadcast_when_small(stored, QUERY_BYTES * most)
     joined = nodes.join(stored, scope).withColumn("__v", V.normalize(F.col(vector)))
     sims = F.transform("__queries", lambda q: F.round(V.dot(F.col("__v"), q), V.SCORE_DIGITS))
     scored = joined.withColumn("__score", reduce_row(sims))

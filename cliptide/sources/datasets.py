@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cliptide.functions import times
 from cliptide.operators import carry
+from cliptide.sources import elements
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ def read_annotations(spark: SparkSession, name: str, path: str) -> DataFrame:
     kind = DATASETS[dataset_key(name)].format
     if kind == "parquet":
         return spark.read.parquet(path)
-    return spark.read.option("multiLine", "true").json(path)
+    return elements.json_table(spark, path).drop("n")
 
 
 def dataset_key(name: str) -> str:
@@ -173,9 +174,9 @@ def nested_questions(spark: SparkSession, path: str) -> DataFrame:
         "timestamp string, before_clip int>"
     )
     shape = f"map<string,struct<qa_list array<{qa}>, caption string, subtitle string>>"
-    text = spark.read.text(path, wholetext=True)
-    videos = text.select(F.posexplode(F.map_entries(F.from_json("value", shape))).alias("v_pos", "v"))
-    rows = videos.select("v_pos", "v.key", "v.value", F.posexplode("v.value.qa_list").alias("q_pos", "qa"))
+    members = elements.json_elements(spark, path, keyed=True)
+    videos = members.select(F.col("n").alias("v_pos"), F.explode(F.from_json("element", shape)).alias("key", "value"))
+    rows = videos.select("v_pos", "key", "value", F.posexplode("value.qa_list").alias("q_pos", "qa"))
     keyed = rows.withColumn("ordinal", F.col("v_pos").cast("bigint") * 1_000_000 + F.col("q_pos"))
     return keyed.select(
         "ordinal",
