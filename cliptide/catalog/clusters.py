@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cliptide.catalog.registry import big, query, table
 from cliptide.catalog.sqlparts import unit
+from cliptide.operators import carry
 from cliptide.operators import clustering as C
 
 UNITS = f"""emb AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -106,3 +107,44 @@ def careful_merges(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("label", "vec_id", "embedding")
     out = C.careful_merges(rows, ["label"], "vec_id", "embedding", 0.2)
     return out.select(big("label"), big("vec_id"), big("group"))
+
+
+def audio_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of a label as chunks of three seconds, two seconds apart, dealt among seven speakers."""
+    rows = table(spark, folder, "embeddings").select("label", "vec_id", "embedding")
+    placed = carry.position(rows, ["label"], ["vec_id"], carry.chunk_if_hot(rows, ["label"], F.floor(F.col("vec_id") / 4096)), "n")
+    start = (F.col("n") - 1) * 2.0
+    return placed.select("label", "vec_id", "embedding", (F.col("vec_id") * F.col("vec_id") % 7).alias("speaker"), start.alias("start"), (start + 3).alias("end"))
+
+
+@query(
+    "joint_speakers",
+    f"""WITH {UNITS}, ev AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+fr AS (SELECT user_id % 10 AS label, (event_id % 480) / 4.0::DOUBLE AS t, min((event_id % 480) // 24 % 3 + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END) AS face FROM ev GROUP BY 1, 2),
+pv AS (SELECT *, lag(face) OVER (PARTITION BY label ORDER BY t) AS pf, lag(t) OVER (PARTITION BY label ORDER BY t) AS pt FROM fr),
+rn AS (SELECT *, sum(CASE WHEN pf = face AND t - pt <= 0.6 THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY t) AS run FROM pv),
+iv AS (SELECT label, face, min(t) AS st, max(t) AS en FROM rn GROUP BY label, run, face HAVING max(t) - min(t) >= 1e-4),
+au AS (SELECT e.label, e.vec_id, e.v AS raw, u.v, e.vec_id * e.vec_id % 7 AS speaker, (row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) - 1) * 2.0::DOUBLE AS st FROM emb e JOIN unitv u USING (label, vec_id)),
+hd AS (SELECT au.label, iv.face, raw FROM au JOIN iv ON iv.label = au.label AND least(au.st + 3, iv.en) - greatest(au.st, iv.st) > 1),
+ce AS (SELECT label, face, p, avg(raw[p]) AS x FROM (SELECT label, face, raw, unnest(range(1, len(raw) + 1)) AS p FROM hd) GROUP BY label, face, p),
+so AS (SELECT label, face, list(x ORDER BY p) AS c FROM ce GROUP BY label, face), sn AS (SELECT label, face, {unit('c')} AS c FROM so),
+kn AS (SELECT iv.* FROM iv JOIN sn USING (label, face)), hf AS (SELECT label, face, sum(en - st) * 0.5 AS half FROM kn GROUP BY label, face),
+op AS (SELECT *, max(st + 3) OVER (PARTITION BY label, speaker ORDER BY st, vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM au),
+il AS (SELECT *, sum(CASE WHEN reach IS NULL OR st - reach > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label, speaker ORDER BY st, vec_id) AS island FROM op),
+me AS (SELECT label, speaker, min(st) AS st, max(st + 3) AS en FROM il GROUP BY label, speaker, island),
+sh AS (SELECT me.label, me.speaker, kn.face, sum(least(me.en, kn.en) - greatest(me.st, kn.st)) AS shared FROM me JOIN kn ON kn.label = me.label AND me.st < kn.en AND kn.st < me.en GROUP BY ALL),
+tc AS (SELECT sh.* FROM sh JOIN hf USING (label, face) WHERE shared > least(half, 0.5)),
+be AS (SELECT au.label, au.vec_id, arg_min(tc.face, (-round(list_dot_product(au.v, sn.c), 9), tc.face)) AS face FROM au JOIN tc ON tc.label = au.label AND tc.speaker = au.speaker
+JOIN sn ON sn.label = au.label AND sn.face = tc.face GROUP BY au.label, au.vec_id),
+lb AS (SELECT au.label, au.vec_id, CASE WHEN be.face IS NULL THEN 'voice ' || au.speaker ELSE 'face ' || be.face END AS s FROM au LEFT JOIN be USING (label, vec_id)),
+fs AS (SELECT label, s, min(vec_id) AS f FROM lb GROUP BY label, s), nu AS (SELECT label, s, row_number() OVER (PARTITION BY label ORDER BY f) - 1 AS n FROM fs)
+SELECT CAST(label AS BIGINT) AS label, CAST(vec_id AS BIGINT) AS vec_id, CAST(n AS BIGINT) AS speaker FROM lb JOIN nu USING (label, s)""",
+)
+def joint_speakers(spark: SparkSession, folder: str) -> DataFrame:
+    """Faces of the events, four frames a second, correct the speakers of the chunks."""
+    slot = F.col("event_id") % 480
+    face = F.floor(slot / 24) % 3 + F.when(F.get_json_object("props", "$.k").cast("bigint") % 17 == 0, 1).otherwise(0)
+    frames = table(spark, folder, "events").groupBy((F.col("user_id") % 10).alias("label"), (slot / 4.0).alias("time")).agg(F.min(face).alias("face"))
+    faces = C.face_intervals(frames, ["label"], "time", "face", 0.6, F.floor(F.col("time") / 600))
+    out = C.joint_speakers(audio_chunks(spark, folder), faces, ["label"], "vec_id", "embedding", "speaker", "face")
+    return out.select(big("label"), big("vec_id"), big("speaker"))

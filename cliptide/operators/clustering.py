@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliptide.functions import vectors as V
-from cliptide.operators import graph, scoring
+from cliptide.operators import carry, graph, intervals, scoring
+from cliptide.operators.carry import Running
 from cliptide.session import broadcast_when_small, cut_lineage, fits_broadcast
 
 #: Clusters of one recording that a single task still folds (a matrix of 8 MB); more are merged in tables.
@@ -418,3 +419,51 @@ def careful_merges(
     for more in merges[1:]:
         out = out.unionByName(more)
     return numbered(characters.select(*keys, node), out, keys, node, "group")
+
+
+def face_intervals(frames: DataFrame, keys: list[str], time: str, face: str, gap: float, chunk: Column | None = None) -> DataFrame:
+    """(keys, start, end, face): runs of frames with one face and no pause above ``gap``; single frames are left out."""
+    frames = frames.select(*keys, time, face)
+    before = {"__face": Running("last", F.col(face), inclusive=False), "__time": Running("last", F.col(time), inclusive=False)}
+    chunk = carry.chunk_if_hot(frames, keys, chunk) if chunk is not None else None
+    seen = carry.running(frames, keys, [time], chunk, before)
+    same = (F.col("__face") == F.col(face)) & (F.col(time) - F.col("__time") <= gap)
+    seen = carry.settled(seen.withColumn("__new", F.when(same, 0).otherwise(1)), chunk)
+    runs = carry.running(seen, keys, [time], chunk, {"__run": Running("sum", F.col("__new"))})
+    spans = runs.groupBy(*keys, "__run", face).agg(F.min(time).alias("start"), F.max(time).alias("end"))
+    return spans.filter(F.col("end") - F.col("start") >= 1e-4).select(*keys, "start", "end", face)
+
+
+def joint_speakers(
+    audio: DataFrame, faces: DataFrame, keys: list[str], order: str, vector: str, speaker: str, face: str, width: int = 30,
+    shared: float = 1.0, least: float = 0.5,
+) -> DataFrame:
+    """(keys, order, speaker): audio labels corrected by the faces that are seen meanwhile, numbered by first chunk.
+
+    ``audio``: keys, order, start, end, vector, speaker. ``faces``: keys, start, end, face, from ``face_intervals``. A face sounds like the mean
+    of the chunks that share more than ``shared`` seconds with an interval of it; faces without one are not used. A speaker whose chunks share
+    more than ``least`` seconds with a face, or half of the face's time if that is less, is divided among all such faces by the nearest
+    mean; a speaker without a face keeps the audio label. Ties go to the smaller face.
+    """
+    chunks = audio.select(*keys, order, "start", "end", speaker, V.normalize(F.col(vector)).alias("__v"), F.col(vector).alias("__raw"))
+    spans = chunks.select(*keys, order, "start", "end")
+    pairs = intervals.overlap_join(spans, faces, keys, ("start", "end"), width)
+    heard = pairs.filter(intervals.overlap_length(("start", "end")) > shared).select(*keys, F.col(f"l_{order}").alias(order), F.col(f"r_{face}").alias(face))
+    sounds = scoring.centroid(heard.join(chunks.select(*keys, order, "__raw"), [*keys, order]), [*keys, face], "__raw", "__sound")
+    sounds = cut_lineage(sounds.withColumn("__sound", V.normalize(F.col("__sound"))))
+    known = faces.join(sounds.select(*keys, face), [*keys, face], "left_semi")
+    own = [*keys, speaker]
+    placed = carry.islands(chunks, own, "start", "end", order, carry.chunk_if_hot(chunks, own, F.floor(F.col("start") / 3600)), 0)
+    merged = placed.groupBy(*own, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    seen = cut_lineage(intervals.overlapping_speakers(merged, known, keys, speaker, face, width, least).select(*own, face))
+    options = chunks.join(seen, own).join(sounds, [*keys, face])
+    score = F.round(V.dot(F.col("__v"), F.col("__sound")), V.SCORE_DIGITS)
+    best = options.groupBy(*keys, order).agg(F.min(F.struct((-score).alias("s"), F.col(face).alias("f"))).alias("__best"))
+    labels = chunks.join(best, [*keys, order], "left").select(
+        *keys,
+        order,
+        F.when(F.col("__best").isNull(), F.concat(F.lit("voice "), F.col(speaker).cast("string")))
+        .otherwise(F.concat(F.lit("face "), F.col("__best.f").cast("string")))
+        .alias("speaker"),
+    )
+    return relabelled(cut_lineage(labels), keys, order, "speaker")

@@ -171,3 +171,15 @@ def test_careful_merges(spark, sizes, threshold, spread, fold):
     for part in by_recording(rows):
         want |= careful(part, threshold)
     assert groups_of(got, "group") == want
+
+
+def test_faces_correct_the_speakers(spark):
+    """Speaker 0 shows face 1, then face 2, and is divided by sound; speaker 1 shows none and keeps its label."""
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.1, 0.1, 1.0]
+    audio = [(1, n, 3.0 * n, 3.0 * n + 3, v, s) for n, (v, s) in enumerate([(a, 0), (a, 0), (b, 0), (b, 0), (c, 1), (a, 0)])]
+    frames = [(1, n / 4, 1) for n in range(24)] + [(1, 6 + n / 4, 2) for n in range(24)] + [(1, 13.0, 3)]
+    faces = C.face_intervals(spark.createDataFrame(frames, "rec int, t double, face int"), ["rec"], "t", "face", 0.3)
+    assert sorted(tuple(r) for r in faces.collect()) == [(1, 0.0, 5.75, 1), (1, 6.0, 11.75, 2)]
+    table = spark.createDataFrame(audio, "rec int, at bigint, start double, end double, v array<double>, who int")
+    got = C.joint_speakers(table, faces, ["rec"], "at", "v", "who", "face").collect()
+    assert {r.at: r.speaker for r in got} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 0}
