@@ -17,7 +17,7 @@ HELD_OUT_PARTS, HELD_OUT = 7, 2
 #: Bytes of the longest context, and the alphabet.
 ORDER, SYMBOLS = 5, 256
 #: Contexts with their next byte that one pass over the documents scores with; more are scored in more passes.
-SHARD_GRAMS = 6_000_000
+SHARD_GRAMS = 5_000_000
 #: Most frequent words whose counts are sent to all tasks; the counts of the others are joined.
 HOT_WORDS = 1 << 18
 END = b"\n"
@@ -62,7 +62,7 @@ def added(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return v[cuts], np.add.reduceat(c, cuts) if len(cuts) else c
 
 
-def counted(docs: DataFrame, what: str, most: int = 2_000_000) -> DataFrame:
+def counted(docs: DataFrame, what: str, most: int = 500_000) -> DataFrame:
     """(value, n) over all texts of ``docs``: grams or hashes of words, added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
