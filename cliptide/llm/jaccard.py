@@ -29,6 +29,10 @@ BLOCK = 512
 CELL = 1.05
 #: Posting rows that are compared in one call.
 GROUP_ROWS = 20_000
+#: Bytes that a row of a few numbers takes at most while a broadcast is built: collected, hashed and serialised.
+ROW_BYTES = 200
+#: Largest table that is broadcast for a join of narrow rows; a shuffle of those costs little.
+NARROW_LIMIT = 4 << 20
 
 
 def required(n: int) -> int:
@@ -65,15 +69,17 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS // PARTS, np.int64)
         for piece in rows.column("counts").to_pylist():
             total += np.frombuffer(piece, f"u{len(piece) // len(total)}").astype(np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
 
     pieces = docs.select("text").mapInArrow(count, "part int, counts binary")
     summed = pieces.groupBy("part").applyInArrow(add, "part int, counts binary").collect()  # PARTS rows
-    counts = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
-    for row in summed:
-        counts[row.part] = np.frombuffer(row.counts, np.int64)
-    mean = max(counts.mean(), 1.0)
-    return np.clip(8 * np.log2(np.maximum(counts.ravel() / mean, 1.0)), 0, 255).astype(np.uint8)
+    each = BUCKETS // PARTS
+    counts = {row.part: np.frombuffer(row.counts, f"u{len(row.counts) // each}") for row in summed}
+    mean = max(sum(int(c.sum(dtype=np.int64)) for c in counts.values()) / BUCKETS, 1.0)
+    classes = np.zeros((PARTS, each), np.uint8)
+    for part, c in counts.items():
+        classes[part] = np.clip(8 * np.log2(np.maximum(c / mean, 1.0)), 0, 255)
+    return classes.ravel()
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -180,7 +186,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([shingle_set(t).tobytes() for t in byte_texts(batch)], pa.binary())], names=["node", "tokens"]
             )
 
-    rows = keyed(docs).join(broadcast_when_small(wanted, 24), ["id", "tie"]).select("node", "text")
+    rows = keyed(docs).join(broadcast_when_small(wanted, ROW_BYTES), ["id", "tie"]).select("node", "text")
     return rows.mapInArrow(run, "node bigint, tokens binary")
 
 
@@ -220,41 +226,53 @@ def possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     )
     enough = (shared >= F.least("a.matches", "b.matches")) & ((DOWN + UP) * (shared + rest) >= UP * (F.col("a.n") + F.col("b.n")))
     # sizes alone rule out most pairs, before the tokens travel
-    sizes = broadcast_when_small(info.select("node", "n"), 16)
+    sizes = broadcast_when_small(info.select("node", "n"), ROW_BYTES, NARROW_LIMIT)
     near = pairs.join(sizes.withColumnsRenamed({"node": "src", "n": "ns"}), "src").join(sizes.withColumnsRenamed({"node": "dst", "n": "nd"}), "dst")
     near = near.filter(DOWN * F.least("ns", "nd") >= UP * F.greatest("ns", "nd")).select("src", "dst")
     return near.join(a, "src").join(b, "dst").filter(enough).select("src", "dst")
 
 
-def candidates(lists: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs of nodes in different groups that may be similar, each from one posting list only.
+def candidates(info: DataFrame) -> DataFrame:
+    """Pairs of nodes in different groups that may be similar; a pair may come from several posting lists.
 
-    ``lists`` holds (token, node), ``info`` (node, group, n, matches, length, last, tokens) with the shared tokens of the node's
-    prefix. The tokens of a prefix that nobody shares bound what the set can overlap with, and so the size of a similar
-    set. In every list a set waits at its own size, if a set as large could be similar, and asks at the
-    sizes that could be, its own at most. Places with one group have nothing to give. In the others a pair is taken up
-    at the rarest token that both prefixes hold, if they share enough tokens and the rest of the sets could make
-    up the overlap. Places with more than ``BLOCK`` rows are compared block by block.
+    ``info`` holds (node, group, n, matches, length, last, tokens): the shared tokens of the node's prefix, rarest list
+    first. A pair is met at the first token that both prefixes hold, so from the list of a token on only the tokens
+    behind it can be shared as well: they alone travel to that list, and the last ones, behind which too few stand, are
+    in no list. In every list a set waits at its own size and asks at the sizes of smaller sets. Which sizes those can be
+    follows from the prefix that ends first: what it shares, and the rest of its set, must make up the overlap. Places
+    with one group have nothing to give. In the others a pair is taken up if it shares enough tokens and the rest of the
+    sets could make up the overlap. Places with more than ``BLOCK`` rows are compared block by block.
     """
 
     def run(key, table):
         found = [_close(*block) for block in _blocks(table)]
         src, dst = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())}).group_by(["src", "dst"]).aggregate([])
 
     n, cell = F.col("n"), lambda size: F.floor(F.log(size.cast("double")) / float(np.log(CELL))).cast("int")
-    overlap = n - F.col("length") + F.size("tokens")
-    high = F.floor(overlap * (UP + DOWN) / UP) - n
-    low = F.ceil(n * UP / DOWN)
-    asks = F.when(high >= low, F.sequence(cell(low), cell(F.least(high, n)))).otherwise(F.array().cast("array<int>"))
-    sized = written(
-        info.select("node", "group", F.transform(asks, lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks"))).alias("asked"), (high >= n).alias("waits"), cell(n).alias("own"))
-        .withColumn("spots", F.when(F.col("waits"), F.array_append("asked", F.struct(F.col("own").alias("cell"), F.lit(False).alias("asks")))).otherwise(F.col("asked")))
-        .select("node", "group", "spots")
+    low, least = F.ceil(n * UP / DOWN), lambda size: 1 + F.floor(size * LONGER / 100)
+    # shared tokens that a pair can have if this one is the first
+    left = F.size("tokens") - F.col("at")
+    # largest similar set if the own prefix ends first; smallest if the other does, whose rest has at most
+    # UP / DOWN of its size and one token more, less what its prefix is longer by
+    high = F.floor((n - F.col("length") + left) * (UP + DOWN) / UP) - n
+    need = UP / (UP + DOWN)
+    other = F.floor((n * need - left - 1) / (UP / DOWN - LONGER / 100 - need)) - 1
+    sizes = F.filter(F.sequence(cell(low), cell(n)), lambda c: (c <= cell(F.greatest(high, F.lit(1)))) | (c >= cell(F.greatest(other, F.lit(1)))))
+    asks = F.when(left >= least(low), sizes).otherwise(F.array().cast("array<int>"))
+    waits = (left >= least(n)) & ((high >= n) | (other <= F.floor(n * DOWN / UP)))
+    posted = info.select("node", "group", "n", "length", "tokens", F.posexplode("tokens").alias("at", "token"))
+    grouped = written(
+        posted.select("token", "node", "group", F.col("at").cast("int").alias("at"), asks.alias("asked"), waits.alias("waits"), cell(n).alias("own")).filter(
+            F.col("waits") | (F.size("asked") > 0)
+        )
     )
-    grouped = lists.join(sized, "node")
     mixed = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    spots = written(grouped.join(mixed, "token").select("token", "node", "group", F.explode("spots").alias("s")).select("token", "node", "group", "s.*"))
+    roles = F.transform("asked", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks")))
+    role = F.when(F.col("waits"), F.array_append(roles, F.struct(F.col("own").alias("cell"), F.lit(False).alias("asks")))).otherwise(roles)
+    spots = written(
+        grouped.join(mixed, "token").select("token", "node", "group", "at", F.explode(role).alias("s")).select("token", "node", "group", "at", "s.*")
+    )
     places = (
         spots.groupBy("token", "cell")
         .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("waiting"))
@@ -264,18 +282,19 @@ def candidates(lists: DataFrame, info: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("i_blocks")).otherwise(F.col("j_blocks"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("j_blocks")).otherwise(F.col("i_blocks")) - 1)
     tasks = written(
-        spots.join(broadcast_when_small(written(places), 48), ["token", "cell"]).withColumn("block", block).withColumn("other", F.explode(others)).select(
-            "token", "cell", F.when(F.col("asks"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("block")).alias("j"), "asks", "node"
+        spots.join(broadcast_when_small(written(places), ROW_BYTES, NARROW_LIMIT), ["token", "cell"]).withColumn("block", block).withColumn("other", F.explode(others)).select(
+            "token", "cell", F.when(F.col("asks"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("block")).alias("j"), "asks", "node", "at"
         )
     )
     # some ten thousand rows a group; the rows of one block pair stay together
     groups = max(1, tasks.count() // GROUP_ROWS)
-    dealt = tasks.join(info, "node").withColumn("deal", F.pmod(F.xxhash64("token", "cell", "i", "j"), F.lit(groups)))
+    behind = F.slice("tokens", F.col("at") + 1, F.size("tokens"))
+    dealt = tasks.join(info, "node").withColumn("tokens", behind).drop("at").withColumn("deal", F.pmod(F.xxhash64("token", "cell", "i", "j"), F.lit(groups)))
     return dealt.groupBy("deal").applyInArrow(run, "src bigint, dst bigint")
 
 
 def _blocks(table: pa.Table) -> Iterator[tuple]:
-    """The rows of each block pair as (token, those that ask, those that wait)."""
+    """The rows of each block pair as (those that ask, those that wait)."""
     names = ("token", "cell", "i", "j", "node", "group", "n", "matches", "length", "last")
     column = {c: table.column(c).to_numpy() for c in names}
     asks = table.column("asks").to_numpy()
@@ -295,11 +314,11 @@ def _blocks(table: pa.Table) -> Iterator[tuple]:
             part = {c: column[c][own] for c in ("node", "group", "n", "matches", "length", "last")}
             parts.append(part | {"tokens": [values[offsets[r] : offsets[r + 1]] for r in own]})
         if parts[0]["tokens"] and parts[1]["tokens"]:
-            yield column["token"][rows[0]], *parts
+            yield tuple(parts)
 
 
-def _close(token: int, left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that meet first at ``token`` and whose sets may overlap enough; the larger set is the one that asks."""
+def _close(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sets may overlap enough if they share no token before; the larger set is the one that asks."""
     ranks, flat = np.unique(np.concatenate(left["tokens"] + right["tokens"]), return_inverse=True)
 
     def matrix(part: dict, at: int) -> np.ndarray:
@@ -309,15 +328,13 @@ def _close(token: int, left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]
         return m
 
     a, b = matrix(left, 0), matrix(right, sum(len(t) for t in left["tokens"]))
-    before = np.searchsorted(ranks, token)
     shared = a @ b.T
-    earlier = a[:, :before] @ b[:, :before].T
     la, lb = left["n"][:, None], right["n"][None, :]
     # shared tokens up to the end of the prefix that ends first stand in both prefixes, later ones in the rest of that set
     ra, rb = la - left["length"][:, None], lb - right["length"][None, :]
     ends = left["last"][:, None], right["last"][None, :]
     rest = np.where(ends[0] < ends[1], ra, np.where(ends[0] > ends[1], rb, np.maximum(ra, rb)))
-    ok = (earlier == 0) & (shared >= np.minimum(left["matches"][:, None], right["matches"][None, :]))
+    ok = shared >= np.minimum(left["matches"][:, None], right["matches"][None, :])
     ok &= (DOWN + UP) * (shared + rest) >= UP * (la + lb)
     ok &= DOWN * np.minimum(la, lb) >= UP * np.maximum(la, lb)
     ok &= left["group"][:, None] != right["group"][None, :]
@@ -342,15 +359,16 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = filled.groupBy("d1", "d2").agg(F.min(F.struct("id", "tie", "row")).alias("rep")).select("d1", "d2", F.col("rep.row").alias("node"))
     member = written(filled.select("row", "id", "tie", "d1", "d2").join(nodes, ["d1", "d2"]).select("row", "node", "id", "tie"))
     copies = member.filter("row <> node").select("row")
-    firsts = filled.join(broadcast_when_small(copies, 16), "row", "left_anti").withColumnRenamed("row", "node")
+    firsts = filled.join(broadcast_when_small(copies, ROW_BYTES), "row", "left_anti").withColumnRenamed("row", "node")
     met = written(postings(firsts, classes))
     size_of = firsts.select("node", "n", "matches", "last", (F.octet_length("prefix") / 8).cast("int").alias("length"))
     # a set too few of whose prefix tokens are shared has no similar one
     fewest = 1 + F.floor(F.ceil(F.col("n") * UP / DOWN) * LONGER / 100)
     able = written(met.groupBy("node").agg(F.count("*").alias("held")).join(size_of, "node").filter(F.col("held") >= fewest).drop("held"))
-    lists = met.join(broadcast_when_small(able.select("node"), 16), "node")
-    # from here on a token is a running number, which takes less room in the arrays than a hash
-    sizes = written(lists.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").withColumn("number", F.monotonically_increasing_id()))
+    lists = met.join(broadcast_when_small(able.select("node"), ROW_BYTES, NARROW_LIMIT), "node")
+    # from here on a token is a number in the order of list sizes, so that a pair meets in the smallest list it can
+    counted = lists.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = written(counted.repartitionByRange("size", "token").sortWithinPartitions("size", "token").withColumn("number", F.monotonically_increasing_id()))
     lists = written(lists.join(sizes, "token").select(F.col("number").alias("token"), "node", "size"))
     own = lists.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.sum("size").alias("met"))
     info = written(own.join(able, "node"))
@@ -368,7 +386,7 @@ def join(docs: DataFrame) -> DataFrame:
     grouped = written(
         info.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "met")
     )
-    more = verified(candidates(lists, grouped).distinct())
+    more = verified(candidates(grouped).distinct())
     merged = components(links.unionByName(more))
 
     rooted = member.join(merged.withColumnRenamed("id", "node"), "node", "left").select("row", "id", F.coalesce("root", "node").alias("root"))

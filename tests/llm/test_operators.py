@@ -435,6 +435,30 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def shared_cores():
+    """Pairs about the threshold whose only shared lists are led by longer documents that are similar to neither."""
+    rng = np.random.default_rng(17)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(int(n))]
+    common = [new(60) for _ in range(6)]
+    rows = [" ".join(c + new(150)) for c in common for _ in range(8)]
+    for _ in range(60):
+        core = new(rng.integers(60, 110))
+        tail = len(core) * rng.uniform(0.08, 0.14)
+        often = common[int(rng.integers(0, 6))]
+        rows.append(" ".join(core + often[: int(tail)]))
+        rows.append(" ".join(new(tail - rng.integers(0, 3)) + core))
+        for _ in range(int(rng.integers(1, 4))):
+            rows.append(" ".join(core + new(len(core) * rng.uniform(0.3, 0.6)) + often[: int(rng.integers(5, 40))]))
+    return list(enumerate(rows))
+
+
+def test_pairs_about_the_threshold_beside_longer_documents(spark):
+    rows = shared_cores()
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ROWS)
