@@ -45,9 +45,17 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as systematic sampling takes it, numbered in ``copy``."""
+    """The mix: each document as often as systematic sampling takes it, numbered in ``copy``.
+
+    If ``docs`` has a column of that name, in whatever case, underscores are added to the number's. Null texts and
+    texts without words have size 0, a null source is a source, repeated rows are documents of their own, ties in
+    size stand by id, and an empty table gives none.
+    """
+    taken, number = {c.lower() for c in docs.columns}, "copy"
+    while number in taken:
+        number += "_"
     mixed = mixing.mix(docs, keep=docs.columns)
-    return mixed.filter("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return mixed.filter("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(number))
 
 
 STAGES = [
