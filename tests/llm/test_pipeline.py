@@ -97,3 +97,10 @@ def test_stages_with_odd_rows(spark, odd, empty, stage):
     assert stage(spark, odd, FOLDER).columns[: len(odd.columns)] == odd.columns
     assert 0 < stage(spark, odd, FOLDER).count() <= 2 * odd.count()
     assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_mix_beside_columns_named_copy(spark, odd):
+    got = corpus_pipeline.mix_sources(spark, odd.selectExpr("*", "'x' AS Copy"), FOLDER)
+    assert got.columns[-2:] == ["Copy", "copy__"]
+    assert {r.Copy for r in written(got).select("Copy").collect()} == {"x"}
+    assert corpus_pipeline.mix_sources(spark, odd, FOLDER).columns[-1] == "copy"
