@@ -19,7 +19,7 @@ from cliptide.operators import hints
 from cliptide.operators import identity as I
 from cliptide.operators import scoring
 from cliptide.operators import speakers
-from cliptide.session import ensure_checkpoint_dir
+from cliptide.session import broadcast_when_small, ensure_checkpoint_dir
 from cliptide.sources import captions as C
 from cliptide.sources import elements
 from cliptide.sources import subtitles as S
@@ -273,8 +273,9 @@ def related_nodes(spark: SparkSession, folder: str) -> DataFrame:
         ev.filter("k < 50").select("graph", tag("character", F.col("k") % 40).alias("character_tag"), tag("face", F.col("k")).alias("tag"))
     )
     text = F.concat(F.lit("What did <"), tag("character", F.col("user_id") % 40), F.lit("> show <"), tag("face", F.col("k")), F.lit(">?"))
-    found = I.related_nodes(ev.select("graph", "event_id", text.alias("question")), members.distinct(), ["graph"], ["event_id"], "question")
-    return found.groupBy(big("event_id")).agg(F.count("*").alias("nodes"), F.min("tag").alias("first_tag"), F.max("tag").alias("last_tag"))
+    asked, nodes = I.related_nodes(ev.select("graph", "event_id", text.alias("question")), members.distinct(), ["graph"], ["event_id"], "question")
+    counted = nodes.groupBy("graph", "asked").agg(F.count("*").alias("nodes"), F.min("tag").alias("first_tag"), F.max("tag").alias("last_tag"))
+    return asked.join(broadcast_when_small(counted, 512), ["graph", "asked"]).select(big("event_id"), "nodes", "first_tag", "last_tag")
 
 
 @query(
