@@ -15,9 +15,10 @@ from cliptide.streaming import ordered, stateful
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table file as a file stream."""
+    """A table as a file stream, be it one file or a folder of files."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a stream takes a path without a pattern for a folder, and a pattern for whatever it names
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 @query("stream_scene_windows", ORACLES["scene_windows"])
