@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,12 @@ def _sum_arrays(one: Column, two: Column) -> Column:
     return F.zip_with(one, two, lambda x, y: x + y)
 
 
+def _stored(tables: list[DataFrame], more: DataFrame) -> list[DataFrame]:
+    """``tables`` and ``more``, stored; eight tables become one, so that no plan grows with the rounds."""
+    tables = [*tables, cut_lineage(more)]
+    return tables if len(tables) < 8 else [cut_lineage(functools.reduce(DataFrame.unionByName, tables))]
+
+
 def cluster_sums(chunks: DataFrame, keys: list[str], order: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Clusters (keys, id, total, n) of equal directions, and edges (keys, src, dst) from a cluster to its other members.
 
@@ -135,15 +143,16 @@ def linkage_edges(
 
     Average linkage is reducible: two clusters that are each other's nearest are merged sooner or later
     whatever else is, so each round merges all such pairs of a recording at once. A cluster is the sum of its unit
-    vectors and a count. A recording goes through rounds of tables until ``fold_clusters`` clusters are left or none is near
-    another; then one task ends it. A cluster that takes its members one by one needs a round for each while it is in tables.
+    vectors and a count. A cluster that is near none is done, since a merge brings it no nearer to others than both parts were.
+    A recording goes through rounds of tables until at most ``fold_clusters`` clusters are not done; then one task ends it.
+    A cluster that takes its members one by one needs a round for each while it is in tables.
     """
     clusters, edges = cluster_sums(chunks, keys, order, vector)
     clusters, edges = cut_lineage(clusters), [edges]
     while True:
         sizes = clusters.groupBy(*keys).agg(F.count("*").alias("__clusters"))
         large = sizes.filter(F.col("__clusters") > fold_clusters).select(*keys)
-        edges.append(_fold(clusters.join(large, keys, "left_anti"), keys, floor))
+        edges = _stored(edges, _fold(clusters.join(large, keys, "left_anti"), keys, floor))
         if large.isEmpty():
             break
         clusters = cut_lineage(clusters.join(large, keys, "left_semi"))
@@ -151,8 +160,7 @@ def linkage_edges(
         back = near.select(*keys, F.col("other").alias("id"), F.col("id").alias("__back"))
         mutual = near.join(back, [*keys, "id"]).filter((F.col("other") == F.col("__back")) & (F.col("id") < F.col("other")))
         merges = cut_lineage(mutual.select(*keys, F.col("id").alias("src"), F.col("other").alias("dst")))
-        # a recording without a merge is done
-        clusters = clusters.join(merges.select(*keys).distinct(), keys, "left_semi")
+        clusters = clusters.join(near.select(*keys, "id"), [*keys, "id"], "left_semi")
         gone = merges.join(
             clusters.select(*keys, F.col("id").alias("dst"), F.col("total").alias("__total"), F.col("n").alias("__n")), [*keys, "dst"]
         ).withColumnRenamed("src", "id")
@@ -165,11 +173,8 @@ def linkage_edges(
                 (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n"),
             )
         )
-        edges.append(merges)
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.unionByName(more)
-    return out
+        edges = _stored(edges, merges)
+    return functools.reduce(DataFrame.unionByName, edges)
 
 
 def numbered(rows: DataFrame, edges: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:

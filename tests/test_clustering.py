@@ -183,3 +183,14 @@ def test_faces_correct_the_speakers(spark):
     table = spark.createDataFrame(audio, "rec int, at bigint, start double, end double, v array<double>, who int")
     got = C.joint_speakers(table, faces, ["rec"], "at", "v", "who", "face").collect()
     assert {r.at: r.speaker for r in got} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 0}
+
+
+def test_clusters_that_are_near_none_leave_the_tables(spark, monkeypatch):
+    # 40 chunks in directions of their own, near none, beside 20 of a few speakers: one round, then a task ends the 20
+    rows = [(0, at, [*v, *[0.0] * 40]) for _, at, v in recordings([20], 0.7)]
+    rows += [(0, 1000 + k, [float(i == 12 + k) for i in range(52)]) for k in range(40)]
+    met, nearest = [], C.nearest_clusters
+    monkeypatch.setattr(C, "nearest_clusters", lambda clusters, *rest: met.append(clusters.count()) or nearest(clusters, *rest))
+    got = groups_of(C.average_linkage(frame(spark, rows), ["rec"], "at", "v", 0.4, 30), "speaker")
+    assert got == as_sets(rows, linkage(rows, 0.4)) and len(got) < 55
+    assert len(met) == 1
