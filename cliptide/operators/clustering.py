@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from cliptide.session import broadcast_when_small, cut_lineage, fits_broadcast
 
 #: Clusters of one recording that a single task still folds (a matrix of 8 MB); more are merged in tables.
 FOLD_CLUSTERS = 1024
+#: Pairs of groups of one graph that a single task still merges, as many as such a matrix has cells.
+FOLD_PAIRS = FOLD_CLUSTERS * FOLD_CLUSTERS
 #: Mean cosine at which speakers part, chunks from which a recording is long, chunks of a minor
 #: cluster at most, and the part of a threshold that all members of a merged group keep.
 SPEAKER_FLOOR, LONG_RECORDING, MINOR, KEPT_SHARE = 0.4, 40, 4, 0.9
@@ -345,9 +348,48 @@ def _fold_careful(rows: DataFrame, keys: list[str], threshold: float, floor: flo
     return rows.groupBy(*keys).applyInArrow(fold, _schema(rows, keys, f"src {kind}", f"dst {kind}"))
 
 
+def _fold_fitting(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of the careful merges of graphs with few fitting pairs of groups (src, dst, first), from the first pair on.
+
+    A merged group fits what both its parts fitted, and its first pair with that is the first of both.
+    """
+    kind = dict(pairs.dtypes)["src"]
+
+    def fold(table: pa.Table) -> pa.Table:
+        fits: dict = {}
+        queue = []
+        for src, dst, first in zip(*(table[c].to_pylist() for c in ("src", "dst", "first")), strict=True):
+            rank = None if first is None else (first["s"], first["a"], first["b"])
+            fits.setdefault(src, {})[dst] = fits.setdefault(dst, {})[src] = rank
+            if rank is not None:
+                queue.append((rank, src, dst))
+        heapq.heapify(queue)
+        merges = []
+        while queue:
+            rank, src, dst = heapq.heappop(queue)
+            if fits.get(src, {}).get(dst) != rank:
+                continue
+            merges.append((src, dst))
+            one, two = fits[src], fits.pop(dst)
+            for other in two:
+                del fits[other][dst]
+            for other in [o for o in one if o not in two]:
+                del one[other], fits[other][src]
+            for other, own in one.items():
+                theirs = two[other]
+                if theirs is not None and (own is None or theirs < own):
+                    one[other] = fits[other][src] = theirs
+                    heapq.heappush(queue, (theirs, min(src, other), max(src, other)))
+        arrow = table.schema.field("src").type
+        ends = {name: pa.array([m[side] for m in merges], arrow) for side, name in enumerate(("src", "dst"))}
+        return _table(keys, table, len(merges), ends)
+
+    return pairs.groupBy(*keys).applyInArrow(fold, _schema(pairs, keys, f"src {kind}", f"dst {kind}"))
+
+
 def careful_merges(
     characters: DataFrame, keys: list[str], node: str, vector: str, threshold: float,
-    fold_clusters: int = FOLD_CLUSTERS, block_rows: int = 1024,
+    fold_clusters: int = FOLD_CLUSTERS, block_rows: int = 1024, fold_pairs: int = FOLD_PAIRS,
 ) -> DataFrame:
     """(keys, node, group) of characters merged from the most similar pair on, if all members of both sides stay similar.
 
@@ -355,8 +397,9 @@ def careful_merges(
     if every cosine between them is at least ``KEPT_SHARE`` of the threshold. Kept per two groups are the number of such
     good pairs and their first pair in order. Groups fit if that number is the product of their sizes; groups that do
     not fit never will, and are dropped. A pair that comes first for both its groups depends on nothing that is
-    still open, so all such pairs of a round are settled at once. A graph of up to ``fold_clusters`` distinct directions
-    is folded by one task.
+    still open, so all such pairs of a round are settled at once. A group without an open pair is done, and so are its pairs: a merge
+    of another group opens none. A graph of up to ``fold_clusters`` distinct directions is folded by one task, and one of more
+    as soon as at most ``fold_pairs`` pairs of groups are left; a group that takes its members one by one needs a round for each until then.
     """
     unit = characters.select(*keys, F.col(node).alias("id"), V.normalize(F.col(vector)).alias("v"))
     same = unit.groupBy(*keys, "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
@@ -403,26 +446,29 @@ def careful_merges(
         for end in ("src", "dst"):
             fits = fits.join(sizes.withColumnsRenamed({"id": end, "n": f"__{end}"}), [*keys, end])
         fits = cut_lineage(fits.filter(F.col("good") == F.col("__src") * F.col("__dst")).drop("__src", "__dst"))
-        open_ = fits.filter(F.col("first").isNotNull())
-        ends = open_.select(*keys, F.explode(F.array("src", "dst")).alias("id"), "first").groupBy(*keys, "id").agg(F.min("first").alias("__best"))
+        going = fits.filter(F.col("first").isNotNull()).select(*keys, F.explode(F.array("src", "dst")).alias("id"), "first")
+        going = cut_lineage(going.groupBy(*keys, "id").agg(F.min("first").alias("__best")))
         for end in ("src", "dst"):
-            open_ = open_.join(ends.withColumnsRenamed({"id": end, "__best": f"__{end}"}), [*keys, end])
-        taken = cut_lineage(open_.filter((F.col("first") == F.col("__src")) & (F.col("first") == F.col("__dst"))).select(*keys, "src", "dst"))
-        if taken.isEmpty():
+            fits = fits.join(going.withColumnsRenamed({"id": end, "__best": f"__{end}"}), [*keys, end])
+        fits = cut_lineage(fits)
+        counts = fits.groupBy(*keys).agg(F.count("*").alias("__pairs"))
+        large = cut_lineage(counts.filter(F.col("__pairs") > fold_pairs).select(*keys))
+        merges = _stored(merges, _fold_fitting(fits.join(large, keys, "left_anti").select(*keys, "src", "dst", "first"), keys))
+        if large.isEmpty():
             break
-        merges.append(taken)
+        fits = fits.join(large, keys, "left_semi")
+        taken = cut_lineage(fits.filter((F.col("first") == F.col("__src")) & (F.col("first") == F.col("__dst"))).select(*keys, "src", "dst"))
+        merges = _stored(merges, taken)
         into = taken.select(*keys, F.col("dst").alias("id"), F.col("src").alias("__into"))
         sizes = cut_lineage(
             sizes.join(into, [*keys, "id"], "left").groupBy(*keys, F.coalesce("__into", "id").alias("id")).agg(F.sum("n").alias("n"))
         )
-        moved = fits
+        moved = fits.drop("__src", "__dst")
         for end in ("src", "dst"):
             moved = moved.join(into.withColumnsRenamed({"id": end, "__into": f"__{end}"}), [*keys, end], "left").withColumn(end, F.coalesce(f"__{end}", end)).drop(f"__{end}")
         low, high = F.least("src", "dst"), F.greatest("src", "dst")
         between = moved.filter("src <> dst").groupBy(*keys, low.alias("src"), high.alias("dst")).agg(F.sum("good").alias("good"), F.min("first").alias("first"))
-    out = merges[0]
-    for more in merges[1:]:
-        out = out.unionByName(more)
+    out = functools.reduce(DataFrame.unionByName, merges)
     return numbered(characters.select(*keys, node), out, keys, node, "group")
 
 

@@ -173,6 +173,13 @@ def test_careful_merges(spark, sizes, threshold, spread, fold):
     assert groups_of(got, "group") == want
 
 
+@pytest.mark.parametrize("fold_pairs", [40, 1 << 20])
+def test_careful_merges_in_tables_and_by_pairs(spark, fold_pairs):
+    rows = recordings([36, 24], 0.8)
+    got = C.careful_merges(frame(spark, rows), ["rec"], "at", "v", 0.5, 10, 24, fold_pairs)
+    assert groups_of(got, "group") == set().union(*(careful(part, 0.5) for part in by_recording(rows)))
+
+
 def test_faces_correct_the_speakers(spark):
     """Speaker 0 shows face 1, then face 2, and is divided by sound; speaker 1 shows none and keeps its label."""
     a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.1, 0.1, 1.0]
