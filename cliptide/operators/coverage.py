@@ -76,27 +76,36 @@ def question_roles(question: Column) -> Column:
 
 
 def evidence_tokens(text: Column) -> Column:
-    """Entity tags, stemmed content words and action or state words of a text."""
+    """Entity tags, stemmed content words and action or state words of a text.
+
+    A word is stemmed and looked up once per text, however often it stands there.
+    """
+    from cliptide.functions.arrays import let
     from cliptide.functions.text import stem
 
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    raw = F.regexp_extract_all(lowered, F.lit("[a-z][a-z0-9_\\-']{2,}"), F.lit(0))
+    raw = F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z][a-z0-9_\\-']{2,}"), F.lit(0)))
     stops = F.array(*[F.lit(w) for w in EVIDENCE_STOP_WORDS])
     actions = F.array(*[F.lit(w) for w in ACTION_WORDS])
     pairs = F.transform(raw, lambda t: F.struct(t.alias("raw"), stem(F.btrim(t, F.lit("'_-"))).alias("stem")))
     kept = F.filter(pairs, lambda p: ~F.array_contains(stops, p["stem"]) & (F.length(p["stem"]) >= 3))
-    acting = F.filter(
-        kept,
-        lambda p: F.array_contains(actions, p["stem"]) | p["raw"].endswith("ing") | p["raw"].endswith("ed"),
-    )
-    return F.struct(
-        F.array_distinct(
-            F.regexp_extract_all(lowered, F.lit("<(?:character|face|voice|object|scene)_[0-9]+>"), F.lit(0))
-        ).alias("entities"),
-        F.array_distinct(F.transform(kept, lambda p: p["stem"])).alias("words"),
-        F.array_distinct(F.transform(acting, lambda p: p["stem"])).alias("actions"),
+    entities = F.array_distinct(
+        F.regexp_extract_all(lowered, F.lit("<(?:character|face|voice|object|scene)_[0-9]+>"), F.lit(0))
     )
 
+    def told(words: Column) -> Column:
+        acting = F.filter(
+            words,
+            lambda p: F.array_contains(actions, p["stem"]) | p["raw"].endswith("ing") | p["raw"].endswith("ed"),
+        )
+        return F.struct(
+            entities.alias("entities"),
+            F.array_distinct(F.transform(words, lambda p: p["stem"])).alias("words"),
+            F.array_distinct(F.transform(acting, lambda p: p["stem"])).alias("actions"),
+        )
+
+    return let(kept, told)
+
 
 @dataclass(frozen=True)
 class SaturationWeights:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cliptide.operators import ranking
+from pyspark.sql import functions as F
+
+from cliptide.operators import coverage, ranking
 
 
 def test_largest_fall_may_come_after_many_clips(spark):
@@ -13,3 +15,12 @@ def test_largest_fall_may_come_after_many_clips(spark):
     got = ranking.clips_from_clip_curve(nodes, ["label"], "score", "vec_id").collect()
     want = {(0, k, k + 1) for k in range(8)} | {(1, k, k + 1) for k in range(4)} | {(2, 7, 1)}
     assert len(got) == len(want) and {(r.label, r.clip_id, r.rank) for r in got} == want
+
+
+def test_words_of_a_text_are_looked_up_once(spark):
+    texts = [(1, "Cooking and cooked, COOKING cooks; walk <face_3> <face_3> the tables"), (2, None), (3, "the and")]
+    rows = spark.createDataFrame(texts, "id int, text string").select("id", coverage.evidence_tokens(F.col("text")).alias("t"))
+    got = {r.id: (r.t.entities, r.t.words, r.t.actions) for r in rows.collect()}
+    assert got[1] == (["<face_3>"], ["cook", "walk", "face_3", "tabl"], ["cook", "walk"]) and got[2] == got[3] == ([], [], [])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
