@@ -83,6 +83,8 @@ def ranked_pool(scored: DataFrame, scope: list[str], start: Column, tie: str, si
 
 #: Largest query-by-vocabulary matrix (cells) that is shipped to every task for BM25.
 BLOCK_CELLS = 20_000_000
+#: Documents that a task scores at once; a batch of Spark may hold ten thousand, with all their tokens.
+SCORED_ROWS = 1024
 
 
 def bm25_top(
@@ -176,7 +178,7 @@ def _bm25_by_matrix(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, askers, matrix, idf, avg_len = shipped.value
         block = max(1, 4_000_000 // max(1, len(words)))
-        for batch in batches:
+        for batch in (whole.slice(at, SCORED_ROWS) for whole in batches for at in range(0, whole.num_rows, SCORED_ROWS)):
             ids, listed_tokens = batch.column(0), batch.column(1)
             length = pc.list_value_length(listed_tokens).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(batch.num_rows), length)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.operators import coverage, ranking
+from cliptide.operators import coverage, lexical, ranking
 
 
 def test_largest_fall_may_come_after_many_clips(spark):
@@ -24,3 +24,12 @@ def test_words_of_a_text_are_looked_up_once(spark):
     assert got[1] == (["<face_3>"], ["cook", "walk", "face_3", "tabl"], ["cook", "walk"]) and got[2] == got[3] == ([], [], [])
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2
+
+
+def test_bm25_scores_a_few_documents_at_once(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id doc", "transform(sequence(1, 3 + id % 5), i -> concat('w', (id * i) % 7)) tokens").coalesce(1)
+    asked = spark.createDataFrame([(0, ["w1", "w2"]), (1, ["w3", "w3", "w5"])], "item int, tokens array<string>")
+    best = lambda: sorted(map(tuple, lexical.bm25_top(docs, asked, "doc", "item", "tokens", 10).collect()))
+    whole = best()
+    monkeypatch.setattr(lexical, "SCORED_ROWS", 7)
+    assert len(whole) == 20 and best() == whole
