@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: What a null id counts as inside an operator; results carry null again.
 NO_ID = -(2**63)
+#: Cells for each marked key, the most cells there are (32 MB of bits), and those that one group packs.
+CELLS_EACH, MOST_CELLS, PACKED_CELLS = 32, 1 << 28, 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -143,8 +146,6 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iter
         ends = sizes.offset
         buffers = sizes.buffers()
         wide = pa.types.is_large_string(sizes.type) or pa.types.is_large_binary(sizes.type)
-        import numpy as np
-
         marks = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32)[ends : ends + len(sizes) + 1] if len(sizes) else []
         start = 0
         while start < len(sizes):
@@ -160,4 +161,44 @@ def byte_texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def marked_cells(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for the cell of each hash in ``column``, as bytes: ``in_cells`` holds for every marked hash, and seldom for others.
+
+    Bits are put together by 64 in a map-side aggregate, then by block, so the driver gets one row per block.
+    """
+    cells = min(MOST_CELLS, max(PACKED_CELLS, 1 << (CELLS_EACH * keys.count()).bit_length()))
+    cell = F.col(column).bitwiseAND(F.lit(cells - 1))
+    words = keys.groupBy(F.shiftright(cell, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), cell.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
+    )
+
+    def pack(key, rows):
+        block = np.zeros(PACKED_CELLS // 64, np.int64)
+        block[rows.column("word").to_numpy() % len(block)] = rows.column("bits").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([block.tobytes()], pa.binary())})
+
+    packed = words.withColumn("block", F.floor(F.col("word") / (PACKED_CELLS // 64))).groupBy("block").applyInArrow(pack, "block bigint, bits binary")
+    bits = np.zeros((cells // PACKED_CELLS, PACKED_CELLS // 8), np.uint8)
+    for row in packed.collect():
+        bits[row.block] = np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
+
+
+def in_cells(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes & np.int64(8 * len(bits) - 1)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def where_marked(rows: DataFrame, column: str, bits: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose hash in ``column`` is in a marked cell, or those whose hash is not."""
+    shipped = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            yield batch.filter(pa.array(in_cells(shipped.value, batch.column(at).to_numpy()) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 LONG, DOUBLE, STRING = T.LongType(), T.DoubleType(), T.StringType()

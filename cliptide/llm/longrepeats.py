@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cliptide.llm.common import byte_texts, doc_id, keyed, real_id, text_batches, text_or_empty, tie, written
+from cliptide.llm.common import byte_texts, doc_id, in_cells, keyed, marked_cells, real_id, text_batches, text_or_empty, tie, where_marked, written
 from cliptide.llm.rlindex import RunIndex
 from cliptide.llm.shingles import rolled, stretches
-from cliptide.session import broadcast_when_small
+from cliptide.session import BROADCAST_LIMIT_BYTES, broadcast_when_small
 
 #: Bytes of a string that may not repeat, and of the grams whose smallest hash anchors a string.
 LENGTH, GRAM = 100, 24
@@ -84,16 +85,23 @@ class Anchored:
         whole = stretches(sums, starts[first], starts[last] + LENGTH)
         self.body = (whole + (place - starts[first]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
+    def keep(self, mask: np.ndarray) -> None:
+        for name, values in vars(self).items():
+            setattr(self, name, values[mask])
+
 
 STRETCH = "id bigint, tie bigint, low int, high int, rel int, anchor bigint, body bigint, left int, right int"
 
 
-def anchored(docs: DataFrame) -> DataFrame:
-    """The stretches of (id, tie, text)."""
+def anchored(docs: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
+    """The stretches of (id, tie, text); with ``cells`` those whose anchor is in a marked one."""
+    shipped = None if cells is None else docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, BATCH_BYTES):
             a = Anchored(byte_texts(batch))
+            if shipped is not None:
+                a.keep(in_cells(shipped.value, a.anchor))
             at = pa.array(a.owner)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -109,6 +117,15 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, STRETCH)
 
 
+def table_bytes(rows: DataFrame, pieces: str) -> int:
+    """What (id, tie, ``pieces``), an array of structs of up to four numbers, takes while it is broadcast."""
+    return rows.agg(F.sum(F.lit(100) + 48 * F.size(pieces))).first()[0] or 0
+
+
+def with_hash(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hash", F.xxhash64("id", "tie"))
+
+
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted (id, tie, low, high, rel, anchor) with their ``bytes``."""
     columns = ["low", "high", "rel", "anchor"]
@@ -130,7 +147,13 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     per_doc = written(wanted.groupBy("id", "tie").agg(F.collect_list(F.struct(*columns)).alias("own")))
-    rows = keyed(docs).join(broadcast_when_small(per_doc, 512), ["id", "tie"]).select("id", "tie", "text", "own")
+    rows = keyed(docs)
+    if table_bytes(per_doc, "own") <= BROADCAST_LIMIT_BYTES:
+        per_doc = F.broadcast(per_doc)
+    else:
+        rows = with_hash(rows)
+        rows = where_marked(rows, "hash", marked_cells(with_hash(per_doc), "hash"), True)
+    rows = rows.join(per_doc, ["id", "tie"]).select("id", "tie", "text", "own")
     return rows.mapInArrow(run, "id bigint, tie bigint, low int, high int, rel int, anchor bigint, bytes binary")
 
 
@@ -146,8 +169,8 @@ def rivals(strings: DataFrame) -> DataFrame:
         .filter((at >= 0) & (at + LENGTH - STEP <= F.octet_length("bytes")))
         .select("id", "tie", "low", "anchor", "k", F.xxhash64(F.col("bytes").substr(at + 1, F.lit(LENGTH - STEP))).alias("core"))
     )
-    shared = cores.groupBy("anchor", "k", "core").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "k", "core")
-    marks = cores.join(shared, ["anchor", "k", "core"]).groupBy("id", "tie", "low").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("cores"))
+    shared = cores.withColumn("n", F.count("*").over(Window.partitionBy("anchor", "k", "core"))).filter("n > 1")
+    marks = shared.groupBy("id", "tie", "low").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("cores"))
     chosen = strings.join(broadcast_when_small(written(marks), 40), ["id", "tie", "low"])
     leads = chosen.groupBy("anchor").agg(F.count("*").alias("rivals"), F.min(F.struct("id", "tie", "low")).alias("lead")).filter("rivals > 1")
     return chosen.join(leads, "anchor").withColumn("indexed", F.struct("id", "tie", "low") == F.col("lead")).drop("lead")
@@ -207,32 +230,50 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     texts = keyed(docs)
     shared = written(anchored(texts).groupBy("anchor").count().filter("count > 1").select("anchor"))
-    places = written(anchored(texts).join(broadcast_when_small(shared, 16), "anchor"))
-    place = F.struct("id", "tie", "low", "high", "rel")
-    variants = written(
-        places.groupBy("anchor", "body").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
-    )
-    later = (
-        places.select("id", "tie", "low", "high", "rel", "anchor", "body")
-        .join(variants.filter("n > 1").select("anchor", "body", "first"), ["anchor", "body"])
-        .filter(place != F.col("first"))
-        .select("id", "tie", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("stop"))
-    )
+    # an anchor that only shares a cell has one variant and goes with the other single ones
+    places = anchored(texts, marked_cells(shared, "anchor"))
+    # rows of one document that stands twice are equal in place: none of them is later than the other
+    by_place = Window.partitionBy("anchor", "body").orderBy("id", "tie", "low")
+    ranked = written(places.withColumns({"first": F.row_number().over(by_place) == 1, "again": F.rank().over(by_place) > 1}))
+    later = ranked.filter("again").select("id", "tie", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("stop"))
     # stretches that agree with another one far enough on one side; the rest share no string with another
-    sides = variants.select("anchor", "body", F.posexplode(F.array("left", "right")).alias("side", "reach")).filter("reach <> 0")
-    agreed = sides.groupBy("anchor", "side", "reach").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "side", "reach")
-    kept = sides.join(agreed, ["anchor", "side", "reach"]).select("anchor", "body").distinct()
-    alike = written(variants.join(kept, ["anchor", "body"]).select("anchor", "body", "first"))
-    several = alike.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
-    strings = written(cut_out(docs, alike.join(several, "anchor").select("first.*", "anchor")).dropDuplicates(["id", "tie", "low"]))
-    found = written(streamed(written(rivals(strings))))
-    fresh = found.filter("h1 is not null")
-    own = F.struct("id", "tie", "start")
-    firsts = fresh.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    again = fresh.join(firsts, ["h1", "h2"]).filter(own != F.col("first")).select("id", "tie", "start", "stop")
+    variants = ranked.filter("first").select("id", "tie", "low", "high", "rel", "anchor", "left", "right").repartition("anchor")
+    agree = {side: F.col(side).isNotNull() & (F.col(side) != 0) & (F.count("*").over(Window.partitionBy("anchor", side)) > 1) for side in ("left", "right")}
+    alike = variants.withColumns({f"{side}_agrees": c for side, c in agree.items()}).filter("left_agrees or right_agrees")
+    several = alike.withColumn("k", F.count("*").over(Window.partitionBy("anchor"))).filter("k > 1")
+    strings = cut_out(docs, several.select("id", "tie", "low", "high", "rel", "anchor"))
+    if not texts.groupBy("id", "tie").count().filter("count > 1").isEmpty():
+        strings = strings.dropDuplicates(["id", "tie", "low"])
+    found = written(streamed(written(rivals(written(strings)))))
+    by_start = Window.partitionBy("h1", "h2").orderBy("id", "tie", "start")
+    again = found.filter("h1 is not null").withColumn("again", F.rank().over(by_start) > 1).filter("again").select("id", "tie", "start", "stop")
     return later.unionByName(found.filter("h1 is null").select("id", "tie", "start", "stop")).unionByName(again)
 
 
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """(id, tie, spans): the stretches of each document, joined where they touch, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            values = lists.flatten().to_numpy()
+            base = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) << 32
+            start, stop = base + (values >> 32), np.maximum.accumulate(base + (values & 0xFFFFFFFF))
+            opens = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+            ends = stop[np.append(opens[1:], len(stop)) - 1] & 0xFFFFFFFF
+            offsets = np.searchsorted(base[opens], np.arange(batch.num_rows + 1) << 32).astype(np.int32)
+            pieces = pa.StructArray.from_arrays(
+                [pa.array((start[opens] & 0xFFFFFFFF).astype(np.int32)), pa.array(ends.astype(np.int32))], names=["start", "stop"]
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pieces)], names=["id", "tie", "spans"])
+
+    packed = F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("stop")
+    lists = spans.groupBy("id", "tie").agg(F.sort_array(F.collect_set(packed)).alias("spans"))
+    return lists.mapInArrow(run, "id bigint, tie bigint, spans array<struct<start:int,stop:int>>")
+
+
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string"
 
 
@@ -248,12 +289,7 @@ def remove(docs: DataFrame) -> DataFrame:
         for batch in text_batches(batches):
             out = []
             for text, spans in zip(byte_texts(batch), batch.column(2).to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for s in spans or ():
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["stop"])
-                    else:
-                        merged.append([s["start"], s["stop"]])
+                merged = [(s["start"], s["stop"]) for s in spans or ()]
                 left = [text[a:b] for a, b in zip([0, *(m[1] for m in merged)], [*(m[0] for m in merged), len(text)], strict=True)]
                 digest = hashlib.sha256(b"".join(left)).hexdigest()
                 out.append((len(text), sum(b - a for a, b in merged), len(merged), [{"start": a, "stop": b} for a, b in merged], digest))
@@ -264,7 +300,14 @@ def remove(docs: DataFrame) -> DataFrame:
                 names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"],
             )
 
-    spans = written(repeated_spans(docs).groupBy("id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+    spans = written(joined_spans(repeated_spans(docs)))
     rows = docs.select(doc_id().alias("id"), tie().alias("tie"), text_or_empty().alias("text"))
-    joined = rows.join(broadcast_when_small(spans, 2048), ["id", "tie"], "left").select("id", "text", "spans")
+    if table_bytes(spans, "spans") <= BROADCAST_LIMIT_BYTES:
+        joined = rows.join(F.broadcast(spans), ["id", "tie"], "left").select("id", "text", "spans")
+    else:
+        # texts without spans stay where they are read
+        rows, cells = with_hash(rows), marked_cells(with_hash(spans), "hash")
+        joined = where_marked(rows, "hash", cells, True).join(spans, ["id", "tie"], "left").select("id", "text", "spans")
+        bare = where_marked(rows, "hash", cells, False)
+        joined = joined.unionByName(bare.select("id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans")))
     return joined.mapInArrow(run, RESULT).select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256")

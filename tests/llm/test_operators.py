@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cliptide.llm import decontaminate, jaccard, licenses, linedup, longrepeats, mixing, pivots, ppm, rlindex, toxicity, unitdedup
+from cliptide.llm import common, decontaminate, jaccard, licenses, linedup, longrepeats, mixing, pivots, ppm, rlindex, toxicity, unitdedup
 from .conftest import FOLDER, LONG, ROWS
 
 
@@ -331,6 +331,27 @@ def test_long_repeats(documents):
     assert got == brute_repeats(texts(documents))
 
 
+def test_long_repeats_leaves_texts_without_spans_in_place(spark, monkeypatch):
+    moved = []
+
+    def counted(rows, column, bits, inside):
+        kept = common.where_marked(rows, column, bits, inside)
+        moved.append((inside, kept.count()))
+        return kept
+
+    monkeypatch.setattr(longrepeats, "BROADCAST_LIMIT_BYTES", -1)
+    monkeypatch.setattr(longrepeats, "where_marked", counted)
+    rng = np.random.default_rng(11)
+    make = lambda n: "".join(rng.choice(list("abcdé "), size=n))
+    passage = make(150)
+    rows = [(k, make(120)) for k in range(20)] + [(k, make(60) + passage + make(60)) for k in range(20, 24)]
+    rows += [(30, rows[0][1]), (30, rows[0][1])]
+    got = longrepeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows[:-1])
+    assert len(got) == len(rows)
+    assert moved == [(True, 4), (True, 5), (False, 21)]
+
+
 def test_long_repeats_inside_and_between(spark, monkeypatch):
     monkeypatch.setattr(longrepeats, "HOT", 3)
     rng = np.random.default_rng(7)
