@@ -89,12 +89,27 @@ class Anchored:
         for name, values in vars(self).items():
             setattr(self, name, values[mask])
 
+    def later(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Whether an equal stretch stands earlier in the batch, by id and tie of the texts and place."""
+        _, rank = np.unique(np.stack([ids, ties]), axis=1, return_inverse=True)
+        rank = rank.ravel()[self.owner]
+        order = np.lexsort((self.low, rank, self.anchor, self.body))
+        anchor, body, low, rank = self.anchor[order], self.body[order], self.low[order], rank[order]
+        opens = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1])])[: len(order)]
+        first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+        found = np.empty(len(order), bool)
+        found[order] = (rank != rank[first]) | (low != low[first])
+        return found
 
-STRETCH = "id bigint, tie bigint, low int, high int, rel int, anchor bigint, body bigint, left int, right int"
+
+STRETCH = "id bigint, tie bigint, low int, high int, rel int, anchor bigint, body bigint, left int, right int, salt int"
 
 
 def anchored(docs: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
-    """The stretches of (id, tie, text); with ``cells`` those whose anchor is in a marked one."""
+    """The stretches of (id, tie, text); with ``cells`` those whose anchor is in a marked one.
+
+    ``salt`` is 0 for the first of equal stretches of a batch, and spreads the others, which are not the first of all.
+    """
     shipped = None if cells is None else docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +117,10 @@ def anchored(docs: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
             a = Anchored(byte_texts(batch))
             if shipped is not None:
                 a.keep(in_cells(shipped.value, a.anchor))
-            at = pa.array(a.owner)
+            at, salt = pa.array(a.owner), np.zeros(len(a.owner), np.int32)
+            if shipped is not None:
+                later = a.later(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                salt[later] = 1 + np.arange(np.count_nonzero(later))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at), batch.column(1).take(at),
@@ -110,8 +128,9 @@ def anchored(docs: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
                     *[pa.array(x) for x in (a.anchor, a.body)],
                     # only to tell stretches that cannot share a string, so half of the hash will do
                     *[pa.array((x >> 32).astype(np.int32)) for x in (a.left, a.right)],
+                    pa.array(salt),
                 ],
-                names=["id", "tie", "low", "high", "rel", "anchor", "body", "left", "right"],
+                names=["id", "tie", "low", "high", "rel", "anchor", "body", "left", "right", "salt"],
             )
 
     return docs.mapInArrow(run, STRETCH)
@@ -233,8 +252,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # an anchor that only shares a cell has one variant and goes with the other single ones
     places = anchored(texts, marked_cells(shared, "anchor"))
     # rows of one document that stands twice are equal in place: none of them is later than the other
-    by_place = Window.partitionBy("anchor", "body").orderBy("id", "tie", "low")
-    ranked = written(places.withColumns({"first": F.row_number().over(by_place) == 1, "again": F.rank().over(by_place) > 1}))
+    by_place = Window.partitionBy("anchor", "body", "salt").orderBy("id", "tie", "low")
+    marks = {"first": (F.col("salt") == 0) & (F.row_number().over(by_place) == 1), "again": (F.col("salt") > 0) | (F.rank().over(by_place) > 1)}
+    ranked = written(places.withColumns(marks).drop("salt"))
     later = ranked.filter("again").select("id", "tie", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("stop"))
     # stretches that agree with another one far enough on one side; the rest share no string with another
     variants = ranked.filter("first").select("id", "tie", "low", "high", "rel", "anchor", "left", "right").repartition("anchor")

@@ -352,6 +352,15 @@ def test_long_repeats_leaves_texts_without_spans_in_place(spark, monkeypatch):
     assert moved == [(True, 4), (True, 5), (False, 21)]
 
 
+def test_long_repeats_of_one_batch_are_spread():
+    a = longrepeats.Anchored([b"a" * 500, b"b" * 120, b"a" * 500, b"a" * 500])
+    later = a.later(np.array([5, 1, 3, 3]), np.array([0, 0, 1, 1]))
+    # of equal stretches only the first of the smallest id stays, twice if that document stands twice
+    stays = {(int(o), int(p)) for o, p in zip(a.owner[~later], a.low[~later], strict=True) if o != 1}
+    assert len(a.owner) > 1000 and stays and stays == {(o, p) for _, p in stays for o in (2, 3)} and len(stays) < 10
+    assert not later[a.owner == 1][0]
+
+
 def test_long_repeats_inside_and_between(spark, monkeypatch):
     monkeypatch.setattr(longrepeats, "HOT", 3)
     rng = np.random.default_rng(7)
