@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliptide.operators import carry
-from cliptide.session import cut_lineage
+from cliptide.session import broadcast_when_small, cut_lineage
 
 #: Ids that share a chunk when the neighbours of a hub are numbered.
 CHUNK_IDS = 4096
@@ -40,7 +40,8 @@ def route_walks(edges: DataFrame, keys: list[str], walks: DataFrame, length: int
     texts, chunk = edges.select(*keys, "text").distinct(), F.floor(F.col("text") / CHUNK_IDS)
     starts = carry.position(texts, keys, ["text"], carry.chunk_if_hot(texts, keys, chunk), "place")
     counts = texts.groupBy(*keys).agg(F.count("*").alias("texts"))
-    begun = walks.join(counts, keys).withColumn("place", draw(F.col("walk"), F.lit(0), F.lit("text")) % F.col("texts") + 1)
+    # a shuffle by the keys would send all walks of a graph to one task
+    begun = walks.join(broadcast_when_small(cut_lineage(counts), 100), keys).withColumn("place", draw(F.col("walk"), F.lit(0), F.lit("text")) % F.col("texts") + 1)
     state = cut_lineage(begun.join(starts, [*keys, "place"]).select(*keys, "walk", F.array("text").alias("route")))
     for step in range(1, length):
         turn = F.lit(step)
