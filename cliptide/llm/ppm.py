@@ -17,11 +17,12 @@ HELD_OUT_PARTS, HELD_OUT = 7, 2
 #: Bytes of the longest context, and the alphabet.
 ORDER, SYMBOLS = 5, 256
 #: Contexts with their next byte that one pass over the documents scores with; more are scored in more passes.
-SHARD_GRAMS = 5_000_000
+SHARD_GRAMS = 2_000_000
 #: Most frequent words whose counts are sent to all tasks; the counts of the others are joined.
 HOT_WORDS = 1 << 18
 END = b"\n"
-BATCH_BYTES = 2 << 20
+#: Bytes of text that a task works on at once; each takes some sixty bytes of arrays.
+BATCH_BYTES = 1 << 19
 
 
 class Layout:
@@ -53,13 +54,23 @@ class Layout:
         return self.owner[at], stretches(rolled(self.data), starts, ends).view(np.int64)
 
 
+def starts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def summed(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs that begin at ``starts``."""
+    return np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, counts.dtype)
+
+
 def added(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values with the sums of their counts."""
     v, c = np.concatenate(values), np.concatenate(counts)
     order = np.argsort(v, kind="stable")
     v, c = v[order], c[order]
-    cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-    return v[cuts], np.add.reduceat(c, cuts) if len(cuts) else c
+    cuts = starts_of(v)
+    return v[cuts], summed(c, cuts)
 
 
 def counted(docs: DataFrame, what: str, most: int = 500_000) -> DataFrame:
@@ -100,44 +111,43 @@ class Trie:
     """
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, low: np.ndarray):
-        """``low`` holds the counts of all pairs of bytes, whose contexts every shard needs whole."""
+        """``grams`` are sorted and distinct; ``low`` holds the counts of all pairs of bytes, whose contexts every shard needs whole.
+
+        Levels are built from the longest contexts on, each from the counts of the one before, so that two are held at once.
+        """
         self.keys, self.logs, self.contexts, self.plain, self.entered = [], [], [], [], []
-        tables = []
+        keys, n = grams, counts
         for order in range(ORDER, -1, -1):
-            if order > 1:
-                keys, n = added([grams & np.uint64((1 << 8 * (order + 1)) - 1)], [counts])
-            else:
-                table = low if order else low.sum(0, keepdims=True)
-                at = np.flatnonzero(table.ravel())
-                keys, n = at.astype(np.uint64), table.ravel()[at]
-            tables.append((keys, n))
-        for level, (keys, n) in enumerate(tables):
             heads = keys >> np.uint64(8)
-            cuts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(n, cuts).astype(np.float64) if len(cuts) else np.zeros(0)
-            kinds = np.diff(np.append(cuts, len(keys))).astype(np.float64)
+            cuts = starts_of(heads)
+            heads = heads[cuts]
+            total, kinds = summed(n, cuts).astype(np.float64), np.diff(np.append(cuts, len(keys))).astype(np.float64)
             self.keys.append(keys)
             self.logs.append(np.log10(n - 0.5).astype(np.float32))
-            self.contexts.append(heads[cuts])
+            self.contexts.append(heads)
             self.plain.append((np.log10(total).astype(np.float32), np.log10(0.5 * kinds / total).astype(np.float32)))
-            # the shorter context without the bytes of this one
-            if level < ORDER:
-                short_keys, short_n = tables[level + 1]
-                mask = np.uint64((1 << 8 * (ORDER - level)) - 1)
-                place = np.searchsorted(short_keys, keys & mask)
-                gone = np.add.reduceat(short_n[place], cuts).astype(np.float64) if len(cuts) else np.zeros(0)
-                short_heads = short_keys >> np.uint64(8)
-                starts = np.flatnonzero(np.concatenate([[True], short_heads[1:] != short_heads[:-1]])) if len(short_keys) else np.zeros(0, np.int64)
-                sums = np.add.reduceat(short_n, starts).astype(np.float64) if len(starts) else np.zeros(0)
-                widths = np.diff(np.append(starts, len(short_keys))).astype(np.float64)
-                own = np.searchsorted(short_heads[starts], heads[cuts] & (mask >> np.uint64(8)))
-                rest, fresh = sums[own] - gone, widths[own] - kinds
-                with np.errstate(divide="ignore"):
-                    # nothing new in the shorter context: it is passed by for free
-                    self.entered.append((np.where(rest > 0, np.log10(rest), 0).astype(np.float32), np.where(rest > 0, np.log10(0.5 * fresh / np.maximum(rest, 1)), 0).astype(np.float32)))
-            else:
+            if not order:
                 self.entered.append(None)
-        self.seen_bytes = len(tables[-1][0])
+                self.seen_bytes = len(keys)
+                break
+            # the shorter contexts, and what they hold without the bytes of these ones
+            mask = np.uint64((1 << 8 * order) - 1)
+            if order > 2:
+                short_keys, short_n = added([keys & mask], [n])
+            else:
+                table = low if order == 2 else low.sum(0, keepdims=True)
+                at = np.flatnonzero(table.ravel())
+                short_keys, short_n = at.astype(np.uint64), table.ravel()[at]
+            gone = summed(short_n[np.searchsorted(short_keys, keys & mask)], cuts).astype(np.float64)
+            short_heads = short_keys >> np.uint64(8)
+            starts = starts_of(short_heads)
+            sums, widths = summed(short_n, starts).astype(np.float64), np.diff(np.append(starts, len(short_keys))).astype(np.float64)
+            own = np.searchsorted(short_heads[starts], heads & (mask >> np.uint64(8)))
+            rest, fresh = sums[own] - gone, widths[own] - kinds
+            with np.errstate(divide="ignore"):
+                # nothing new in the shorter context: it is passed by for free
+                self.entered.append((np.where(rest > 0, np.log10(rest), 0).astype(np.float32), np.where(rest > 0, np.log10(0.5 * fresh / np.maximum(rest, 1)), 0).astype(np.float32)))
+            keys, n = short_keys, short_n
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each gram after the others."""
@@ -178,24 +188,29 @@ class Trie:
             grams, owner = grams[own], owner[own]
         order = np.argsort(grams)
         ordered = grams[order]
-        cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        cuts = starts_of(ordered)
         logs = np.repeat(self.log10(ordered[cuts]), np.diff(np.append(cuts, len(ordered))))
         return np.bincount(owner[order], weights=logs, minlength=int(layout.owner[-1]) + 1 if len(layout.owner) else 0)
 
 
-_built: dict[str, Trie] = {}
+class Shard:
+    """A part of the model as it travels: grams with their counts, pairs of bytes, marks of the part's own contexts.
+
+    Its trie is built once in each worker and lives as long as the part that was sent; the grams become its longest level.
+    """
 
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: np.ndarray, mine: np.ndarray | None):
+        self.grams, self.counts, self.low, self.mine, self.built = grams, counts, low, mine, None
 
-def trie_of(shard: tuple) -> Trie:
-    """The trie of a shard (name, grams, counts, low), built once in each worker."""
-    if shard[0] not in _built:
-        _built.clear()
-        _built[shard[0]] = Trie(*shard[1:4])
-    return _built[shard[0]]
+    def trie(self) -> Trie:
+        if self.built is None:
+            self.built = Trie(self.grams, self.counts, self.low)
+            self.counts = None
+        return self.built
 
 
-def shards(grams: DataFrame, most: int = SHARD_GRAMS) -> Iterator[tuple]:
-    """Parts of the model of at most ``most`` grams: (name, grams, counts, pairs of bytes, marks of the parts' own contexts).
+def shards(grams: DataFrame, most: int = SHARD_GRAMS) -> Iterator[Shard]:
+    """Parts of the model of at most ``most`` grams.
 
     Contexts are parted by their last two bytes, so a context and all shorter ones down to two bytes stand in one
     part; the counts of single bytes and of pairs, 65,536 at most, go with each. Only one part is held at a time.
@@ -226,7 +241,7 @@ def shards(grams: DataFrame, most: int = SHARD_GRAMS) -> Iterator[tuple]:
         table = own.select("value", "n").toArrow()
         values, counts = table.column("value").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(values)
-        yield f"{id(grams)}-{part[:1]}-{len(values)}", values[order], counts[order], low, mine
+        yield Shard(values[order], counts[order], low, mine)
 
 
 SUMMARY = "row bigint, id bigint, tie bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word bigint, times bigint"
@@ -239,7 +254,7 @@ def passed(docs: DataFrame, shard, hot, ends: int, with_words: bool) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, mine = trie_of(shard.value), shard.value[4]
+        trie, mine = shard.value.trie(), shard.value.mine
         hot_words, hot_counts = hot.value
         at = TaskContext.get().partitionId() << 40
         for batch in text_batches(batches, BATCH_BYTES):

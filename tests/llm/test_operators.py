@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,27 @@ def test_ppm_gives_probabilities():
         assert (10.0**logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_ppm_worker_memory():
+    """What a task holds of the largest part of a model and of a batch stays under 400 MB: two of them share 3,000 MB with a heap of 1,800."""
+    draw = np.random.default_rng(2)
+    words = [bytes(draw.integers(97, 123, draw.integers(2, 10), dtype=np.uint8)) for _ in range(30_000)]
+    text = b" ".join(words[w] for w in draw.integers(0, len(words), ppm.BATCH_BYTES // 6))
+    grams, counts = np.unique(ppm.Layout([text]).grams(), return_counts=True)
+    low = np.zeros((256, 256), np.int64)
+    np.add.at(low, ((grams >> np.uint64(8) & np.uint64(255)).astype(int), (grams & np.uint64(255)).astype(int)), counts)
+    tracemalloc.start()
+    try:
+        trie = ppm.Trie(grams, counts, low)
+        model = grams.nbytes + counts.nbytes + tracemalloc.get_traced_memory()[1]
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        trie.score(ppm.Layout([text]), None)
+        batch = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert model / len(grams) * ppm.SHARD_GRAMS + batch < 400e6
+
+
 def test_ppm_odd_rows(odd, empty):
     got = ppm.score(odd).collect()
     assert len(got) == len(ROWS)
