@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliptide.llm.common import byte_texts, components, doc_id, keyed, real_id, text_batches, tie, written
+from cliptide.llm.common import byte_texts, components, doc_id, keyed, marked_cells, real_id, text_batches, tie, where_marked, written
 from cliptide.llm.shingles import shingle_set
 from cliptide.session import broadcast_when_small
 
@@ -177,6 +177,13 @@ def postings(signed: DataFrame, classes: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(shared, "token bigint, node bigint").unionByName(rows.filter("common").select("token", "node"))
 
 
+def marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose columns are among the keys, and a few others: keys travel as bits, and no row is shuffled."""
+    key = F.xxhash64(*columns).alias("key")
+    bits = marked_cells(keys.select(key), "key")
+    return where_marked(rows.select("*", key), "key", bits, inside=True).drop("key")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens) of the wanted (id, tie, node)."""
 
@@ -240,8 +247,10 @@ def candidates(info: DataFrame) -> DataFrame:
     behind it can be shared as well: they alone travel to that list, and the last ones, behind which too few stand, are
     in no list. In every list a set waits at its own size and asks at the sizes of smaller sets. Which sizes those can be
     follows from the prefix that ends first: what it shares, and the rest of its set, must make up the overlap. Places
-    with one group have nothing to give. In the others a pair is taken up if it shares enough tokens and the rest of the
-    sets could make up the overlap. Places with more than ``BLOCK`` rows are compared block by block.
+    with one group have nothing to give; those that have travel as bits, and only rows in them are shuffled. There a pair
+    is taken up if it shares enough tokens and the rest of the sets could make up the overlap. Tokens travel as their
+    last 16 bits, which may count some as shared that are not, and never fewer than are. Places with more than ``BLOCK``
+    rows are compared block by block.
     """
 
     def run(key, table):
@@ -267,29 +276,28 @@ def candidates(info: DataFrame) -> DataFrame:
             F.col("waits") | (F.size("asked") > 0)
         )
     )
-    mixed = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
     roles = F.transform("asked", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks")))
     role = F.when(F.col("waits"), F.array_append(roles, F.struct(F.col("own").alias("cell"), F.lit(False).alias("asks")))).otherwise(roles)
-    spots = written(
-        grouped.join(mixed, "token").select("token", "node", "group", "at", F.explode(role).alias("s")).select("token", "node", "group", "at", "s.*")
-    )
-    places = (
+    spots = grouped.select("token", "node", "group", "at", F.explode(role).alias("s")).select("token", "node", "group", "at", "s.*")
+    places = written(
         spots.groupBy("token", "cell")
         .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("waiting"))
         .filter("low <> high and asking > 0 and waiting > 0")
         .select("token", "cell", F.ceil(F.col("asking") / BLOCK).cast("int").alias("i_blocks"), F.ceil(F.col("waiting") / BLOCK).cast("int").alias("j_blocks"))
     )
+    spots = marked(spots.drop("group"), places, ["token", "cell"])
     block = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("i_blocks")).otherwise(F.col("j_blocks"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("j_blocks")).otherwise(F.col("i_blocks")) - 1)
     tasks = written(
-        spots.join(broadcast_when_small(written(places), ROW_BYTES, NARROW_LIMIT), ["token", "cell"]).withColumn("block", block).withColumn("other", F.explode(others)).select(
+        spots.join(broadcast_when_small(places, ROW_BYTES, NARROW_LIMIT), ["token", "cell"]).withColumn("block", block).withColumn("other", F.explode(others)).select(
             "token", "cell", F.when(F.col("asks"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("block")).alias("j"), "asks", "node", "at"
         )
     )
     # some ten thousand rows a group; the rows of one block pair stay together
     groups = max(1, tasks.count() // GROUP_ROWS)
+    short = info.withColumn("tokens", F.transform("tokens", lambda t: (t.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
     behind = F.slice("tokens", F.col("at") + 1, F.size("tokens"))
-    dealt = tasks.join(info, "node").withColumn("tokens", behind).drop("at").withColumn("deal", F.pmod(F.xxhash64("token", "cell", "i", "j"), F.lit(groups)))
+    dealt = tasks.join(short, "node").withColumn("tokens", behind).drop("at").withColumn("deal", F.pmod(F.xxhash64("token", "cell", "i", "j"), F.lit(groups)))
     return dealt.groupBy("deal").applyInArrow(run, "src bigint, dst bigint")
 
 
@@ -318,13 +326,16 @@ def _blocks(table: pa.Table) -> Iterator[tuple]:
 
 
 def _close(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sets may overlap enough if they share no token before; the larger set is the one that asks."""
+    """Pairs whose sets may overlap enough if they share no token before; the larger set is the one that asks.
+
+    Different tokens may look alike here. As often as one stands in a set it counts, so ``shared`` is never too small.
+    """
     ranks, flat = np.unique(np.concatenate(left["tokens"] + right["tokens"]), return_inverse=True)
 
     def matrix(part: dict, at: int) -> np.ndarray:
         sizes = [len(t) for t in part["tokens"]]
         m = np.zeros((len(sizes), len(ranks)), np.float32)
-        m[np.repeat(np.arange(len(sizes)), sizes), flat[at : at + sum(sizes)]] = 1
+        np.add.at(m, (np.repeat(np.arange(len(sizes)), sizes), flat[at : at + sum(sizes)]), 1)
         return m
 
     a, b = matrix(left, 0), matrix(right, sum(len(t) for t in left["tokens"]))
@@ -365,11 +376,11 @@ def join(docs: DataFrame) -> DataFrame:
     # a set too few of whose prefix tokens are shared has no similar one
     fewest = 1 + F.floor(F.ceil(F.col("n") * UP / DOWN) * LONGER / 100)
     able = written(met.groupBy("node").agg(F.count("*").alias("held")).join(size_of, "node").filter(F.col("held") >= fewest).drop("held"))
-    lists = met.join(broadcast_when_small(able.select("node"), ROW_BYTES, NARROW_LIMIT), "node")
+    lists = marked(met, able, ["node"])  # and a few other nodes, which ``info`` leaves out again
     # from here on a token is a number in the order of list sizes, so that a pair meets in the smallest list it can
     counted = lists.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = written(counted.repartitionByRange("size", "token").sortWithinPartitions("size", "token").withColumn("number", F.monotonically_increasing_id()))
-    lists = written(lists.join(sizes, "token").select(F.col("number").alias("token"), "node", "size"))
+    lists = lists.join(sizes, "token").select(F.col("number").alias("token"), "node", "size")
     own = lists.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.sum("size").alias("met"))
     info = written(own.join(able, "node"))
     first_rows = member.filter("row = node").select("node", "id", "tie")
@@ -379,8 +390,9 @@ def join(docs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(first_rows, "node")
         return written(similar(pairs, written(shingle_sets(docs, wanted))))
 
-    hubs = lists.join(info.select("node", "met"), "node").groupBy("token").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
-    stars = lists.join(hubs, "token").filter("hub <> node").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
+    held = info.select("node", "met", F.explode("tokens").alias("token"))
+    hubs = held.groupBy("token").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
+    stars = held.join(hubs, "token").filter("hub <> node").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
     links = verified(possible(stars, info))
     found = components(links)
     grouped = written(

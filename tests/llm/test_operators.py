@@ -511,6 +511,23 @@ def test_pairs_about_the_threshold_beside_longer_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_pairs_are_met_when_tokens_look_alike():
+    """Two tokens of a set with the same 16 bits are two tokens: a pair that shares both is not lost."""
+    side = {"group": np.array([1]), "n": np.array([10]), "matches": np.array([3]), "length": np.array([3]), "last": np.array([5])}
+    alike = [np.array([7, 7, 3], np.int16)]
+    src, dst = jaccard._close(side | {"node": np.array([2]), "tokens": alike}, side | {"node": np.array([1]), "group": np.array([2]), "tokens": alike})
+    assert (src.tolist(), dst.tolist()) == ([2], [1])
+
+
+def test_rows_without_a_partner_stay_out_of_the_shuffle(spark):
+    rows = spark.range(200_000).selectExpr("id AS token", "cast(id % 7 AS int) AS cell")
+    keys = rows.filter("token % 100 = 0")
+    near = jaccard.marked(rows, keys, ["token", "cell"])
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.join(keys, ["token", "cell"]).count() == 2_000
+    assert near.count() < 20_000
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ROWS)
