@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from cliptide.llm.common import byte_texts, doc_id, in_cells, keyed, marked_cells, real_id, text_batches, text_or_empty, tie, where_marked, written
 from cliptide.llm.rlindex import RunIndex
-from cliptide.llm.shingles import rolled, stretches
+from cliptide.llm.shingles import gram_hashes, rolled, stretches
 from cliptide.session import BROADCAST_LIMIT_BYTES, broadcast_when_small
 
 #: Bytes of a string that may not repeat, and of the grams whose smallest hash anchors a string.
@@ -27,6 +27,9 @@ CORES = (LENGTH - GRAM) // STEP + 1
 #: Index strings per index, and streamed strings that share an anchor before they are parted.
 GROUP_STRINGS, HOT = 4000, 2000
 BATCH_BYTES = 1 << 20
+#: Strings whose anchors are looked for at once, and the bits of a key that tell a gram's place among them.
+BLOCK, PLACE = 1 << 15, np.uint64(0xFFFF)
+ORDER = np.arange(BLOCK + SPAN - 1, dtype=np.uint64)
 NONE = bytes(16)
 
 
@@ -40,54 +43,70 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def anchor_runs(data: np.ndarray, sums: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where strings of ``LENGTH`` bytes start that have another anchor than the one before or begin a text, and their anchors' places.
+
+    Works on blocks of ``BLOCK`` strings, whose arrays stay in a core's cache. A gram's place in its block takes the lowest
+    bits of its hash, so one minimum gives the leftmost gram of smallest hash, told by the other 48 bits.
+    """
+    count = len(data) - LENGTH + 1
+    opens, places, before = [], [], -1
+    for low in range(0, count, BLOCK):
+        strings = min(BLOCK, count - low)
+        keys = gram_hashes(sums, low, low + strings + SPAN - 1, GRAM)
+        keys &= ~PLACE
+        keys |= ORDER[: len(keys)]
+        least = sliding(keys, SPAN, np.minimum)
+        changes = np.empty(strings, bool)
+        changes[0] = int(least[0] & PLACE) + low != before
+        np.not_equal(least[1:], least[:-1], out=changes[1:])
+        changes[begins[np.searchsorted(begins, low) : np.searchsorted(begins, low + strings)] - low] = True
+        found = np.flatnonzero(changes)
+        opens.append(found + low)
+        places.append((least[found] & PLACE).astype(np.int64) + low)
+        before = int(least[-1] & PLACE) + low
+    return np.concatenate(opens), np.concatenate(places)
+
+
 class Anchored:
     """Texts of a batch with their strings of ``LENGTH`` bytes, each anchored at its leftmost gram of smallest hash.
 
     Strings that follow each other with the same anchor make one stretch: ``owner`` is its text, ``low`` to ``high``
     are where its strings start (in the text), ``anchor`` hashes the gram and ``body`` all its bytes and the anchor's place.
     ``left`` and ``right`` hash the gram with the ``REACH`` bytes on one side, 0 where the stretch does not go so far: two
-    stretches that share a string share one of them.
+    stretches that share a string share one of them. With ``cells`` only stretches whose anchor is in a marked one are
+    taken; ``bare`` ones have no ``body``, ``left`` and ``right``.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], cells: np.ndarray | None = None, bare: bool = False):
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(texts), np.uint8)
-        counts = np.maximum(sizes - LENGTH + 1, 0)
-        text = np.repeat(np.arange(len(texts)), counts)
-        starts = np.arange(len(text)) - (np.cumsum(counts) - counts)[text] + begins[text]
-        if not len(starts):
+        if not (sizes >= LENGTH).any():
             self.owner = self.low = self.high = self.rel = self.anchor = self.body = self.left = self.right = np.zeros(0, np.int64)
             return
         sums = rolled(data)
-        grams = np.arange(len(data) - GRAM + 1)
-        hashes = stretches(sums, grams, grams + GRAM)
-        least = sliding(hashes, SPAN, np.minimum)
-        # a gram is the smallest of some string if the largest of those strings' minima is its own hash
-        edge = np.zeros(SPAN - 1, np.uint64)
-        chosen = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum) == hashes)
-        at = np.searchsorted(chosen, starts)
-        wanted = least[starts]
-        off = np.flatnonzero(hashes[chosen[at]] != wanted)
-        while len(off):
-            at[off] += 1
-            off = off[hashes[chosen[at[off]]] != wanted[off]]
-        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-        last = np.append(first[1:], len(at)) - 1
-        place = chosen[at[first]]
-        self.owner = text[first]
-        self.low, self.high = starts[first] - begins[self.owner], starts[last] - begins[self.owner]
-        self.rel = place - starts[first]
-        self.anchor = hashes[place].view(np.int64)
+        first, place = anchor_runs(data, sums, begins)
+        last = np.append(first[1:], len(data) - LENGTH + 1) - 1
+        # strings that reach from one text into the next are none
+        owner = np.searchsorted(begins, first, side="right") - 1
+        final = (begins + sizes - LENGTH)[owner]
+        inside = np.flatnonzero(first <= final)
+        anchor = stretches(sums, place[inside], place[inside] + GRAM).view(np.int64)
+        if cells is not None:
+            marked = in_cells(cells, anchor)
+            inside, anchor = inside[marked], anchor[marked]
+        self.owner, self.anchor = owner[inside], anchor
+        first, last, place = first[inside], np.minimum(last, final)[inside], place[inside]
+        self.low, self.high = first - begins[self.owner], last - begins[self.owner]
+        self.rel = place - first
+        if bare:
+            return
         begin, end = np.maximum(place - REACH, 0), np.minimum(place + GRAM + REACH, len(data))
-        self.left = np.where(place - REACH >= starts[first], stretches(sums, begin, place + GRAM) | np.uint64(1), np.uint64(0)).view(np.int64)
-        self.right = np.where(place + GRAM + REACH <= starts[last] + LENGTH, stretches(sums, place, end) | np.uint64(1), np.uint64(0)).view(np.int64)
-        whole = stretches(sums, starts[first], starts[last] + LENGTH)
-        self.body = (whole + (place - starts[first]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-
-    def keep(self, mask: np.ndarray) -> None:
-        for name, values in vars(self).items():
-            setattr(self, name, values[mask])
+        self.left = np.where(place - REACH >= first, stretches(sums, begin, place + GRAM) | np.uint64(1), np.uint64(0)).view(np.int64)
+        self.right = np.where(place + GRAM + REACH <= last + LENGTH, stretches(sums, place, end) | np.uint64(1), np.uint64(0)).view(np.int64)
+        whole = stretches(sums, first, last + LENGTH)
+        self.body = (whole + self.rel.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
     def later(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether an equal stretch stands earlier in the batch, by id and tie of the texts and place."""
@@ -105,22 +124,30 @@ class Anchored:
 STRETCH = "id bigint, tie bigint, low int, high int, rel int, anchor bigint, body bigint, left int, right int, salt int"
 
 
-def anchored(docs: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
-    """The stretches of (id, tie, text); with ``cells`` those whose anchor is in a marked one.
+def anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, n): the anchors of the texts' stretches, those of a batch counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, BATCH_BYTES):
+            found, n = np.unique(Anchored(byte_texts(batch), bare=True).anchor, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+    return docs.select("text").mapInArrow(run, "anchor bigint, n bigint")
+
+
+def anchored(docs: DataFrame, cells: np.ndarray) -> DataFrame:
+    """The stretches of (id, tie, text) whose anchor is in a marked one of ``cells``.
 
     ``salt`` is 0 for the first of equal stretches of a batch, and spreads the others, which are not the first of all.
     """
-    shipped = None if cells is None else docs.sparkSession.sparkContext.broadcast(cells)
+    shipped = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, BATCH_BYTES):
-            a = Anchored(byte_texts(batch))
-            if shipped is not None:
-                a.keep(in_cells(shipped.value, a.anchor))
+            a = Anchored(byte_texts(batch), shipped.value)
             at, salt = pa.array(a.owner), np.zeros(len(a.owner), np.int32)
-            if shipped is not None:
-                later = a.later(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-                salt[later] = 1 + np.arange(np.count_nonzero(later))
+            later = a.later(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            salt[later] = 1 + np.arange(np.count_nonzero(later))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at), batch.column(1).take(at),
@@ -209,23 +236,28 @@ def streamed(strings: DataFrame) -> DataFrame:
         ids, ties, low, high, rel, cores = (table.column(c).to_numpy() for c in ("id", "tie", "low", "high", "rel", "cores"))
         index = RunIndex([pieces[k] for k in np.flatnonzero(indexed)])
         lanes = np.flatnonzero(~indexed)
-        owner, starts, stops, digests = [], [], [], []
-        for part in np.array_split(lanes, -(-len(lanes) // 4096) or 1):
-            for k, lengths in zip(part, index.matching_statistics([pieces[k] for k in part]), strict=True):
-                place = np.arange(high[k] - low[k] + 1)
-                held = lengths[: len(place)] >= LENGTH
-                edges = np.flatnonzero(np.diff(held.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                open_ = np.flatnonzero(~held & ((cores[k] >> ((rel[k] - place) // STEP)) & 1).astype(bool))
-                owner += [k] * (len(edges) + len(open_))
-                starts += [*(low[k] + edges[:, 0]), *(low[k] + open_)]
-                stops += [*(low[k] + edges[:, 1] - 1 + LENGTH), *(low[k] + open_ + LENGTH)]
-                digests += [NONE] * len(edges)
-                digests += [hashlib.blake2b(pieces[k][s : s + LENGTH], digest_size=16).digest() for s in open_]
+        owner, starts, stops, digests = [lanes[:0]], [lanes[:0]], [lanes[:0]], []
+        for part in np.array_split(lanes, -(-len(lanes) // 4096)) if len(lanes) else ():
+            counts = high[part] - low[part] + 1
+            lengths = index.matching_statistics([pieces[k] for k in part], LENGTH)
+            held = np.concatenate([found[:n] for found, n in zip(lengths, counts, strict=True)]) == LENGTH
+            of, ends = np.repeat(part, counts), np.cumsum(counts)
+            place = np.arange(len(of)) - np.repeat(ends - counts, counts)
+            turns = held[1:] != held[:-1]
+            turns[ends[:-1] - 1] = True
+            begins = np.flatnonzero(np.append(True, turns) & held)
+            stays = np.flatnonzero(np.append(turns, True) & held)
+            open_ = np.flatnonzero(~held & ((cores[of] >> ((rel[of] - place) // STEP)) & 1).astype(bool))
+            owner += [of[begins], of[open_]]
+            starts += [low[of[begins]] + place[begins], low[of[open_]] + place[open_]]
+            stops += [low[of[begins]] + place[stays] + LENGTH, low[of[open_]] + place[open_] + LENGTH]
+            digests += [NONE] * len(begins)
+            digests += [hashlib.blake2b(pieces[k][s : s + LENGTH], digest_size=16).digest() for k, s in zip(of[open_].tolist(), place[open_].tolist(), strict=True)]
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         mask = np.array([d is NONE for d in digests], bool)
-        at = np.array(owner, np.int64)
+        at, start, stop = (np.concatenate(x) for x in (owner, starts, stops))
         return pa.table(
-            {"id": pa.array(ids[at]), "tie": pa.array(ties[at]), "start": pa.array(starts, pa.int32()), "stop": pa.array(stops, pa.int32())}
+            {"id": pa.array(ids[at]), "tie": pa.array(ties[at]), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32))}
             | {f"h{k + 1}": pa.array(np.ascontiguousarray(halves[:, k]), mask=mask) for k in (0, 1)}
         )
 
@@ -248,7 +280,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counted by digest. No group but a set of index strings is ever gathered.
     """
     texts = keyed(docs)
-    shared = written(anchored(texts).groupBy("anchor").count().filter("count > 1").select("anchor"))
+    shared = written(anchors(texts).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
     # an anchor that only shares a cell has one variant and goes with the other single ones
     places = anchored(texts, marked_cells(shared, "anchor"))
     # rows of one document that stands twice are equal in place: none of them is later than the other

@@ -45,6 +45,12 @@ def stretches(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def gram_hashes(sums: np.ndarray, low: int, high: int, width: int) -> np.ndarray:
+    """Hashes of the stretches of ``width`` bytes that start from ``low`` on, up to but not at ``high``."""
+    _, down = powers(len(sums))
+    return mixed((sums[low + width : high + width] - sums[low:high]) * down[low:high])
+
+
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text with fewer words is one shingle, without words none."""
     parts = text.lower().split()

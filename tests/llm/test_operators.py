@@ -401,6 +401,67 @@ def test_long_repeats_odd_rows(odd, empty):
     assert longrepeats.remove(empty).count() == 0
 
 
+def test_long_repeats_anchors_by_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.choice(list(b"ab"), size=n).astype(np.uint8)) for n in (99, 700, 0, 100, 320)] + [b"a" * 230, b""]
+    whole = longrepeats.Anchored(texts)
+    monkeypatch.setattr(longrepeats, "BLOCK", 53)
+    parted = longrepeats.Anchored(texts)
+    for name, values in vars(whole).items():
+        assert values.tolist() == vars(parted)[name].tolist()
+    starts = [(o, p) for o, low, high in zip(whole.owner, whole.low, whole.high, strict=True) for p in range(low, high + 1)]
+    assert starts == [(k, p) for k, t in enumerate(texts) for p in range(len(t) - longrepeats.LENGTH + 1)]
+    # the anchor is the leftmost gram of smallest hash in every string of its stretch
+    anchor = {o: {} for o in range(len(texts))}
+    for o, low, high, rel in zip(whole.owner, whole.low, whole.high, whole.rel, strict=True):
+        anchor[o] |= {p: low + rel for p in range(low, high + 1)}
+    for o, text in enumerate(texts):
+        sums = longrepeats.rolled(np.frombuffer(text, np.uint8))
+        for p, place in anchor[o].items():
+            grams = np.arange(p, p + longrepeats.SPAN)
+            hashes = longrepeats.stretches(sums, grams, grams + longrepeats.GRAM) >> np.uint64(16)
+            assert place == p + int(np.argmin(hashes))
+
+
+def test_long_repeats_hashes_stretches_of_kept_anchors_only(monkeypatch):
+    hashed, stretches = [], longrepeats.stretches
+
+    def counted(sums, starts, ends):
+        hashed.append(len(starts))
+        return stretches(sums, starts, ends)
+
+    monkeypatch.setattr(longrepeats, "stretches", counted)
+    text = bytes(np.random.default_rng(13).integers(32, 127, 20_000, dtype=np.uint8))
+    found = len(longrepeats.Anchored([text]).anchor)
+    assert sum(hashed) == 4 * found < len(text) / 2
+    # the pass that counts anchors hashes nothing else
+    hashed.clear()
+    bare = longrepeats.Anchored([text], bare=True)
+    assert sum(hashed) == len(bare.anchor) == found
+
+
+def test_long_repeats_counts_anchors_by_batch(spark):
+    rows = [(k, 0, "".join(chr(97 + (i * i + 7 * i) % 23) for i in range(300))) for k in range(40)]
+    got = longrepeats.anchors(spark.createDataFrame(rows, "id bigint, tie bigint, text string").coalesce(1)).collect()
+    one = longrepeats.Anchored([rows[0][2].encode()]).anchor
+    assert {r.anchor for r in got} == set(one.tolist()) and sum(r.n for r in got) == 40 * len(one)
+    assert len(got) == len(set(one.tolist()))
+
+
+def test_matching_statistics_against_brute_force():
+    rng = np.random.default_rng(14)
+    for alphabet in (b"ab", b"abc", b"\x00\xfe\xff", bytes(range(256))):
+        make = lambda n: bytes(rng.choice(list(alphabet), size=n).astype(np.uint8))  # noqa: B023, E731
+        core = make(40)
+        strings = [make(rng.integers(0, 40)) + core[rng.integers(0, 20) :] for _ in range(5)] + [b""]
+        patterns = [make(9) + core[:30] + make(9), strings[0], b"", strings[1] * 2]
+        index = rlindex.RunIndex(strings)
+        for most in (None, 8):
+            for p, lengths in zip(patterns, index.matching_statistics(patterns, most), strict=True):
+                want = [max(n for n in range(len(p) - j + 1) if any(p[j : j + n] in s for s in strings)) for j in range(len(p))]
+                assert lengths.tolist() == [min(n, most or n) for n in want]
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(8)
     for alphabet in (b"ab", bytes(range(256))):
