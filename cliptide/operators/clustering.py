@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliptide.functions import vectors as V
-from cliptide.operators import carry, graph, intervals, scoring
+from cliptide.operators import carry, folds, graph, intervals, scoring
 from cliptide.operators.carry import Running
 from cliptide.session import broadcast_when_small, cut_lineage, fits_broadcast
 
-#: Clusters of one recording that a single task still folds (a matrix of 8 MB); more are merged in tables.
+#: Clusters of one recording whose scores a single task still holds (a matrix of 8 MB): of centres, and of a block.
 FOLD_CLUSTERS = 1024
+#: Clusters or directions of one recording, and values of their vectors (64 MB), that a single task still links, which holds no scores of
+#: all pairs; more are merged in tables.
+LINK_CLUSTERS, LINK_VALUES = 131072, 1 << 23
 #: Pairs of groups of one graph that a single task still merges, as many as such a matrix has cells.
 FOLD_PAIRS = FOLD_CLUSTERS * FOLD_CLUSTERS
 #: Mean cosine at which speakers part, chunks from which a recording is long, chunks of a minor
@@ -102,64 +105,52 @@ def nearest_clusters(clusters: DataFrame, keys: list[str], floor: float, block_r
     return best.select(*keys, "id", "best.other", (-F.col("best.less")).alias("score"))
 
 
-def _linked(total: np.ndarray, n: np.ndarray, floor: float) -> list[tuple[int, int]]:
-    """Merges (kept, gone) of average linkage, several mutually nearest pairs at a time."""
-    products = total @ total.T
-    live = np.arange(len(n))
-    n = n.astype(float)
-    merges = []
-    while len(live) > 1:
-        scores = np.round(products[np.ix_(live, live)] / np.outer(n[live], n[live]), V.SCORE_DIGITS)
-        np.fill_diagonal(scores, -np.inf)
-        best = scores.argmax(1)
-        mutual = np.flatnonzero((best[best] == np.arange(len(live))) & (np.arange(len(live)) < best))
-        mutual = mutual[scores[mutual, best[mutual]] >= floor]
-        if not len(mutual):
-            break
-        for a, b in zip(live[mutual], live[best[mutual]], strict=True):
-            products[a] += products[b]
-            products[:, a] += products[:, b]
-            n[a] += n[b]
-            merges.append((int(a), int(b)))
-        live = np.delete(live, best[mutual])
-    return merges
+def _beyond(rows: DataFrame, keys: list[str], vector: str, most: int) -> DataFrame:
+    """Keys of recordings with more than ``most`` rows or more than ``LINK_VALUES`` values of vectors."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__rows"), F.sum(F.size(vector)).alias("__values"))
+    return sizes.filter((F.col("__rows") > most) | (F.col("__values") > LINK_VALUES)).select(*keys)
+
+
+def _rooted(keys: list[str], table: pa.Table, root: np.ndarray) -> pa.Table:
+    """Edges from the first row of each group to its other rows."""
+    ids, arrow = table["id"].to_pylist(), table.schema.field("id").type
+    at = np.flatnonzero(root != np.arange(len(root)))
+    ends = {"src": pa.array([ids[k] for k in root[at].tolist()], arrow), "dst": pa.array([ids[k] for k in at.tolist()], arrow)}
+    return _table(keys, table, len(at), ends)
 
 
 def _fold(clusters: DataFrame, keys: list[str], floor: float) -> DataFrame:
-    """Edges of the merges of recordings with few clusters."""
+    """Edges of the merges of recordings that one task links."""
     kind = dict(clusters.dtypes)["id"]
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        merges = _linked(_matrix(table["total"]), table["n"].to_numpy(), floor)
-        ids, arrow = table["id"].to_pylist(), table.schema.field("id").type
-        ends = {name: pa.array([ids[m[side]] for m in merges], arrow) for side, name in enumerate(("src", "dst"))}
-        return _table(keys, table, len(merges), ends)
+        return _rooted(keys, table, folds.linked(_matrix(table["total"]), table["n"].to_numpy(), floor))
 
     return clusters.groupBy(*keys).applyInArrow(fold, _schema(clusters, keys, f"src {kind}", f"dst {kind}"))
 
 
 def linkage_edges(
-    chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float, fold_clusters: int = FOLD_CLUSTERS
+    chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float, fold_clusters: int = LINK_CLUSTERS
 ) -> DataFrame:
     """Edges (keys, src, dst) that join the chunks of each cluster of average linkage, cut at mean cosine ``floor``.
 
     Average linkage is reducible: two clusters that are each other's nearest are merged sooner or later
     whatever else is, so each round merges all such pairs of a recording at once. A cluster is the sum of its unit
     vectors and a count. A cluster that is near none is done, since a merge brings it no nearer to others than both parts were.
-    A recording goes through rounds of tables until at most ``fold_clusters`` clusters are not done; then one task ends it.
+    A recording goes through rounds of tables until at most ``fold_clusters`` clusters are not done; then one task ends it, which
+    holds their sums and a block of scores.
     A cluster that takes its members one by one needs a round for each while it is in tables.
     """
     clusters, edges = cluster_sums(chunks, keys, order, vector)
     clusters, edges = cut_lineage(clusters), [edges]
     while True:
-        sizes = clusters.groupBy(*keys).agg(F.count("*").alias("__clusters"))
-        large = sizes.filter(F.col("__clusters") > fold_clusters).select(*keys)
+        large = cut_lineage(_beyond(clusters, keys, "total", fold_clusters))
         edges = _stored(edges, _fold(clusters.join(large, keys, "left_anti"), keys, floor))
         if large.isEmpty():
             break
         clusters = cut_lineage(clusters.join(large, keys, "left_semi"))
-        near = cut_lineage(nearest_clusters(clusters, keys, floor, fold_clusters))
+        near = cut_lineage(nearest_clusters(clusters, keys, floor, min(fold_clusters, FOLD_CLUSTERS)))
         back = near.select(*keys, F.col("other").alias("id"), F.col("id").alias("__back"))
         mutual = near.join(back, [*keys, "id"]).filter((F.col("other") == F.col("__back")) & (F.col("id") < F.col("other")))
         merges = cut_lineage(mutual.select(*keys, F.col("id").alias("src"), F.col("other").alias("dst")))
@@ -188,7 +179,7 @@ def numbered(rows: DataFrame, edges: DataFrame, keys: list[str], order: str, nam
 
 
 def average_linkage(
-    chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = SPEAKER_FLOOR, fold_clusters: int = FOLD_CLUSTERS
+    chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = SPEAKER_FLOOR, fold_clusters: int = LINK_CLUSTERS
 ) -> DataFrame:
     """(keys, order, speaker) by average linkage of the chunks of each recording, numbered by their first chunk."""
     edges = linkage_edges(chunks, keys, order, vector, floor, fold_clusters)
@@ -309,13 +300,13 @@ def relabelled(labels: DataFrame, keys: list[str], order: str, label: str) -> Da
 
 def speakers(
     chunks: DataFrame, keys: list[str], order: str, vector: str, floor: float = SPEAKER_FLOOR, least: int = MINOR,
-    merge_floor: float | None = None, fold_clusters: int = FOLD_CLUSTERS,
+    merge_floor: float | None = None, fold_clusters: int = FOLD_CLUSTERS, link_clusters: int = LINK_CLUSTERS,
 ) -> DataFrame:
     """Speaker of every chunk: linkage, then minor clusters dissolved, then close centres merged if ``merge_floor`` is given.
 
     Numbered from zero by first chunk; a recording of one chunk has speaker zero.
     """
-    labels = cut_lineage(average_linkage(chunks, keys, order, vector, floor, fold_clusters))
+    labels = cut_lineage(average_linkage(chunks, keys, order, vector, floor, link_clusters))
     labels = cut_lineage(without_minor(chunks, labels, keys, order, vector, "speaker", least))
     if merge_floor is not None:
         labels = merged_centres(chunks, labels, keys, order, vector, "speaker", merge_floor, fold_clusters)
