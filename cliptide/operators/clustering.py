@@ -111,6 +111,12 @@ def _beyond(rows: DataFrame, keys: list[str], vector: str, most: int) -> DataFra
     return sizes.filter((F.col("__rows") > most) | (F.col("__values") > LINK_VALUES)).select(*keys)
 
 
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Recordings dealt evenly among the tasks: few rows take long, so that by hashes or by bytes some tasks would end late."""
+    spark = rows.sparkSession
+    return rows.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _rooted(keys: list[str], table: pa.Table, root: np.ndarray) -> pa.Table:
     """Edges from the first row of each group to its other rows."""
     ids, arrow = table["id"].to_pylist(), table.schema.field("id").type
@@ -127,7 +133,7 @@ def _fold(clusters: DataFrame, keys: list[str], floor: float) -> DataFrame:
         table = table.sort_by("id")
         return _rooted(keys, table, folds.linked(_matrix(table["total"]), table["n"].to_numpy(), floor))
 
-    return clusters.groupBy(*keys).applyInArrow(fold, _schema(clusters, keys, f"src {kind}", f"dst {kind}"))
+    return _dealt(clusters, keys).groupBy(*keys).applyInArrow(fold, _schema(clusters, keys, f"src {kind}", f"dst {kind}"))
 
 
 def linkage_edges(
@@ -314,29 +320,14 @@ def speakers(
 
 
 def _fold_careful(rows: DataFrame, keys: list[str], threshold: float, floor: float) -> DataFrame:
-    """Edges of the careful merges of graphs with few characters, pair after pair."""
+    """Edges of the careful merges of graphs that one task links."""
     kind = dict(rows.dtypes)["id"]
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        ids, v = table["id"].to_pylist(), _matrix(table["v"])
-        scores = np.round(v @ v.T, V.SCORE_DIGITS)
-        i, j = np.nonzero(np.triu(scores >= threshold, 1))
-        order = np.lexsort((j, i, -scores[i, j]))
-        members = [[k] for k in range(len(ids))]
-        merges = []
-        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            one, two = members[a], members[b]
-            if one is not two and (scores[np.ix_(one, two)] >= floor).all():
-                merges.append((one[0], two[0]))
-                one += two
-                for k in two:
-                    members[k] = one
-        arrow = table.schema.field("id").type
-        ends = {name: pa.array([ids[m[side]] for m in merges], arrow) for side, name in enumerate(("src", "dst"))}
-        return _table(keys, table, len(merges), ends)
+        return _rooted(keys, table, folds.careful(_matrix(table["v"]), threshold, floor))
 
-    return rows.groupBy(*keys).applyInArrow(fold, _schema(rows, keys, f"src {kind}", f"dst {kind}"))
+    return _dealt(rows, keys).groupBy(*keys).applyInArrow(fold, _schema(rows, keys, f"src {kind}", f"dst {kind}"))
 
 
 def _fold_fitting(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -378,31 +369,11 @@ def _fold_fitting(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).applyInArrow(fold, _schema(pairs, keys, f"src {kind}", f"dst {kind}"))
 
 
-def careful_merges(
-    characters: DataFrame, keys: list[str], node: str, vector: str, threshold: float,
-    fold_clusters: int = FOLD_CLUSTERS, block_rows: int = 1024, fold_pairs: int = FOLD_PAIRS,
-) -> DataFrame:
-    """(keys, node, group) of characters merged from the most similar pair on, if all members of both sides stay similar.
-
-    Pairs with cosine >= ``threshold`` are taken in order (ties by ids); a pair joins the groups of its ends
-    if every cosine between them is at least ``KEPT_SHARE`` of the threshold. Kept per two groups are the number of such
-    good pairs and their first pair in order. Groups fit if that number is the product of their sizes; groups that do
-    not fit never will, and are dropped. A pair that comes first for both its groups depends on nothing that is
-    still open, so all such pairs of a round are settled at once. A group without an open pair is done, and so are its pairs: a merge
-    of another group opens none. A graph of up to ``fold_clusters`` distinct directions is folded by one task, and one of more
-    as soon as at most ``fold_pairs`` pairs of groups are left; a group that takes its members one by one needs a round for each until then.
-    """
-    unit = characters.select(*keys, F.col(node).alias("id"), V.normalize(F.col(vector)).alias("v"))
-    same = unit.groupBy(*keys, "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    copies = unit.join(same.select(*keys, "v", "rep"), [*keys, "v"]).filter("id <> rep")
-    every = cut_lineage(same.select(*keys, F.col("rep").alias("id"), "v", "n"))
-    floor = round(KEPT_SHARE * threshold, 12)
-    large = every.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > fold_clusters).select(*keys)
-    rows = every.join(large, keys, "left_semi")
-    merges = [
-        copies.select(*keys, F.col("rep").alias("src"), F.col("id").alias("dst")),
-        _fold_careful(every.join(large, keys, "left_anti").drop("n"), keys, threshold, floor),
-    ]
+def _careful_tables(
+    rows: DataFrame, large: DataFrame, keys: list[str], threshold: float, floor: float, block_rows: int, fold_pairs: int
+) -> list[DataFrame]:
+    """Edges of the careful merges of graphs that are too large for one task, from tables of the pairs of groups that fit."""
+    merges: list[DataFrame] = []
     dealt = graph.block_pairs(rows, keys, floor if floor > 0 else -1.0, block_rows, ["n"])
     kind = dict(rows.dtypes)["id"]
 
@@ -459,6 +430,36 @@ def careful_merges(
             moved = moved.join(into.withColumnsRenamed({"id": end, "__into": f"__{end}"}), [*keys, end], "left").withColumn(end, F.coalesce(f"__{end}", end)).drop(f"__{end}")
         low, high = F.least("src", "dst"), F.greatest("src", "dst")
         between = moved.filter("src <> dst").groupBy(*keys, low.alias("src"), high.alias("dst")).agg(F.sum("good").alias("good"), F.min("first").alias("first"))
+    return merges
+
+
+def careful_merges(
+    characters: DataFrame, keys: list[str], node: str, vector: str, threshold: float,
+    fold_clusters: int = LINK_CLUSTERS, block_rows: int = 1024, fold_pairs: int = FOLD_PAIRS,
+) -> DataFrame:
+    """(keys, node, group) of characters merged from the most similar pair on, if all members of both sides stay similar.
+
+    Pairs with cosine >= ``threshold`` are taken in order (ties by ids); a pair joins the groups of its ends
+    if every cosine between them is at least ``KEPT_SHARE`` of the threshold. A graph of up to ``fold_clusters`` distinct directions is
+    merged by one task, which holds the vectors and a block of scores. For one of more, kept per two groups are the number of such
+    good pairs and their first pair in order. Groups fit if that number is the product of their sizes; groups that do
+    not fit never will, and are dropped. A pair that comes first for both its groups depends on nothing that is
+    still open, so all such pairs of a round are settled at once. A group without an open pair is done, and so are its pairs: a merge
+    of another group opens none. One task ends the graph as soon as at most ``fold_pairs`` pairs of groups are left; a group that takes its
+    members one by one needs a round for each until then.
+    """
+    unit = characters.select(*keys, F.col(node).alias("id"), V.normalize(F.col(vector)).alias("v"))
+    same = unit.groupBy(*keys, "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    copies = unit.join(same.select(*keys, "v", "rep"), [*keys, "v"]).filter("id <> rep")
+    every = cut_lineage(same.select(*keys, F.col("rep").alias("id"), "v", "n"))
+    floor = round(KEPT_SHARE * threshold, 12)
+    large = cut_lineage(_beyond(every, keys, "v", fold_clusters))
+    merges = [
+        copies.select(*keys, F.col("rep").alias("src"), F.col("id").alias("dst")),
+        _fold_careful(every.join(large, keys, "left_anti").drop("n"), keys, threshold, floor),
+    ]
+    if not large.isEmpty():
+        merges += _careful_tables(every.join(large, keys, "left_semi"), large, keys, threshold, floor, block_rows, fold_pairs)
     out = functools.reduce(DataFrame.unionByName, merges)
     return numbered(characters.select(*keys, node), out, keys, node, "group")
 

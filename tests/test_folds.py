@@ -7,7 +7,7 @@ import pytest
 
 from cliptide.operators import clustering as C
 from cliptide.operators import folds
-from tests.test_clustering import as_sets, frame, groups_of, linkage, recordings
+from tests.test_clustering import as_sets, careful, frame, groups_of, linkage, recordings
 
 
 def vectors(seed):
@@ -47,13 +47,31 @@ def test_linked_like_one_pair_at_a_time(monkeypatch, seed):
     assert folds.linked(v, np.ones(len(v)), floor).tolist() == first_of(linkage(rows, floor), len(v))
 
 
-def test_linked_holds_no_scores_of_all_pairs(monkeypatch):
+@pytest.mark.parametrize("seed", range(40))
+def test_careful_like_one_pair_at_a_time(monkeypatch, seed):
+    if seed % 3:
+        small_blocks(monkeypatch, seed)
+    v, threshold = vectors(seed), (0.2, 0.5, -0.3, 0.9)[seed // 4 % 4]
+    rows = [(0, k, x.tolist()) for k, x in enumerate(v)]
+    got = folds.careful(v, threshold, round(C.KEPT_SHARE * threshold, 12))
+    assert {(0, frozenset(np.flatnonzero(got == g).tolist())) for g in got.tolist()} == careful(rows, threshold)
+
+
+def test_careful_leaves_a_vector_without_numbers_alone():
+    v = np.array([[1.0, 0.0], [0.8, 0.6], [np.nan, np.nan], [0.0, 1.0]])
+    assert folds.careful(v, 0.7, 0.63).tolist() == [0, 0, 2, 3]
+
+
+@pytest.mark.parametrize("fold", [lambda v: folds.linked(v, np.ones(len(v)), 0.5), lambda v: folds.careful(v, 0.5, 0.45)])
+def test_folds_hold_no_scores_of_all_pairs(monkeypatch, fold):
     monkeypatch.setattr(folds, "BLOCK_SCORES", 1 << 16)
+    monkeypatch.setattr(folds, "KEPT_BYTES", 1 << 20)
     v = np.random.default_rng(0).normal(size=(3000, 16))
+    v[:400] = v[0] + 0.02 * v[:400]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     tracemalloc.start()
     try:
-        folds.linked(v, np.ones(len(v)), 0.5)
+        fold(v)
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
@@ -64,3 +82,9 @@ def test_a_recording_of_1200_clusters_needs_no_rounds_of_tables(spark, monkeypat
     rows = recordings([1200], 0.8, wide=16)
     monkeypatch.setattr(C, "nearest_clusters", lambda *_: pytest.fail("a round of tables"))
     assert groups_of(C.average_linkage(frame(spark, rows), ["rec"], "at", "v", 0.8), "speaker") == as_sets(rows, linkage(rows, 0.8))
+
+
+def test_a_graph_of_1200_directions_forms_no_table_of_pairs(spark, monkeypatch):
+    rows = recordings([1200], 0.8, wide=16)
+    monkeypatch.setattr(C.graph, "block_pairs", lambda *_: pytest.fail("a table of pairs"))
+    assert groups_of(C.careful_merges(frame(spark, rows), ["rec"], "at", "v", 0.6), "group") == careful(rows, 0.6)
