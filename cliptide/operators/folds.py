@@ -74,7 +74,7 @@ def linked(total: np.ndarray, n: np.ndarray, floor: float) -> np.ndarray:
         lost = live[merged[best[live]] & ~merged[live]]
         hub = root[best[lost]]
         now = np.round(np.einsum("ij,ij->i", total[lost], total[hub]) / (n[lost] * n[hub]), V.SCORE_DIGITS)
-        stays = now > second[lost]
+        stays = (now > second[lost]) | (now >= top[lost])  # others with its old score have larger first rows
         best[lost[stays]], top[lost[stays]] = hub[stays], now[stays]
         stale = np.concatenate([kept, lost[~stays], live[~alive[best[live]] & ~merged[best[live]] & ~merged[live]]])
     return _roots(root)
@@ -99,9 +99,10 @@ class _Columns:
 
     def __init__(self, v: np.ndarray, open_: np.ndarray, of: np.ndarray):
         at = np.flatnonzero(open_[of])
-        group, size = np.unique(of[at], return_counts=True)
-        order = np.argsort(-size, kind="stable")
-        self.groups, self.sizes = group[order], size[order]
+        size = np.bincount(of[at], minlength=len(of))
+        group = np.flatnonzero(size)
+        self.groups = group[np.argsort(-size[group], kind="stable")]
+        self.sizes = size[self.groups]
         place = np.empty(len(of), int)
         place[self.groups] = np.arange(len(group))
         self.place = place
@@ -205,11 +206,18 @@ class _Careful:
         scores[np.arange(len(part)), columns.place[part]] = -np.inf
         return scores
 
-    def first(self, one: int, two: int, score: float) -> tuple[int, int]:
-        """The first pair with ``score`` of two groups."""
-        a, b = np.nonzero(np.round(self.v[self.members[one]] @ self.v[self.members[two]].T, V.SCORE_DIGITS) >= score)
-        a, b = self.members[one][a], self.members[two][b]
-        return min(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True), default=(len(self.v), one))
+    def first(self, own: int, tied: np.ndarray, score: float, columns: _Columns) -> int:
+        """Of groups whose first score with a group is the same, the one with the first pair: smallest first end, then smallest other end."""
+        taken = np.zeros(len(self.v), bool)
+        taken[tied] = True
+        mine, theirs = np.sort(self.members[own]), np.sort(columns.rows[taken[self.of[columns.rows]]])
+        for low in np.sort(np.concatenate([mine, theirs])):
+            others = theirs if self.of[low] == own else mine
+            others = others[np.searchsorted(others, low) :]
+            met = others[np.round(self.v[others] @ self.v[low], V.SCORE_DIGITS) >= score]
+            if len(met):
+                return int(self.of[met[0] if self.of[low] == own else low])
+        return int(tied[0])
 
     def look(self, stale: np.ndarray, columns: _Columns, asked: np.ndarray, hub: np.ndarray) -> np.ndarray:
         """Finds the first partners of ``stale`` groups, and tells which of ``asked`` fit their ``hub``, one of them."""
@@ -226,8 +234,8 @@ class _Careful:
             equal = np.round(scores.max(1), V.SCORE_DIGITS) == self.top[part]
             for k in np.flatnonzero(equal & (self.top[part] >= self.threshold)):
                 own = part[k]
-                tied = [self.best[own], *columns.groups[np.round(scores[k], V.SCORE_DIGITS) == self.top[own]]]
-                self.best[own] = min(map(int, tied), key=lambda g, own=own: self.first(own, g, self.top[own]))
+                tied = columns.groups[np.round(scores[k], V.SCORE_DIGITS) == self.top[own]]
+                self.best[own] = self.first(own, np.append(tied, self.best[own]), self.top[own], columns)
         return fit
 
     def run(self) -> np.ndarray:

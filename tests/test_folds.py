@@ -57,6 +57,21 @@ def test_careful_like_one_pair_at_a_time(monkeypatch, seed):
     assert {(0, frozenset(np.flatnonzero(got == g).tolist())) for g in got.tolist()} == careful(rows, threshold)
 
 
+def test_scaled_copies_are_settled_by_their_first_rows(monkeypatch):
+    """Cosines of one to nine digits: every pair of the copies is a tie, and a hub takes them one by one without computing all rows again."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 8))
+    v[rng.choice(90, 60, replace=False)] = rng.normal(size=8) * rng.uniform(0.5, 2, size=(60, 1))
+    v = (v.astype(np.float32) / np.linalg.norm(v, axis=1, keepdims=True)).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows, asked, blocks = [(0, k, x.tolist()) for k, x in enumerate(v)], [], folds._blocks
+    monkeypatch.setattr(folds, "_blocks", lambda part, width: asked.append(len(part)) or blocks(part, width))
+    assert folds.linked(v, np.ones(90), 0.5).tolist() == first_of(linkage(rows, 0.5), 90)
+    assert sum(asked) < 6 * 90
+    got = folds.careful(v, 0.5, 0.45)
+    assert {(0, frozenset(np.flatnonzero(got == g).tolist())) for g in got.tolist()} == careful(rows, 0.5)
+
+
 def test_careful_leaves_a_vector_without_numbers_alone():
     v = np.array([[1.0, 0.0], [0.8, 0.6], [np.nan, np.nan], [0.0, 1.0]])
     assert folds.careful(v, 0.7, 0.63).tolist() == [0, 0, 2, 3]
